@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, sentencepiece_codec
+from . import ann, exact_topk, license_scan, mixing, near_dedup, sentencepiece_codec, suffix_dedup, toxicity
 from .common import table
 
 #: The tokenizer's vocabulary file; None takes the installed public one.
@@ -27,12 +27,32 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op7_mixing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op4_ann, op5_suffix_dedup, op6_toxicity, op7_mixing, op9_exact_topk, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
