@@ -27,10 +27,18 @@ CELLS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _size():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _u():
+    """A uniform number from 0 to 1 that depends on the row alone."""
+    return F.xxhash64("doc_id", "source", "text").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, u): words per document and a uniform number that depends on the row alone."""
-    u = F.xxhash64("doc_id", "source", "text").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), u.alias("u"))
+    """(doc_id, source, size, u): words per document, and what its rounding depends on."""
+    return docs.select("doc_id", "source", _size().alias("size"), _u().alias("u"))
 
 
 def targets(histogram: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -174,3 +182,13 @@ def _edge(cells: DataFrame, cell: str) -> DataFrame:
     x = cells.withColumn("before", F.coalesce(F.sum("more").over(run), F.lit(0).cast("long"))).filter(F.col("before") <= F.col("need"))
     x = x.withColumn("last", F.max(cell).over(Window.partitionBy("source"))).filter(F.col(cell) == F.col("last"))
     return x.withColumn("need", F.col("need") - F.col("before")).drop("last", "before")
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it whole."""
+    columns = docs.columns
+    by_source = plan(written(sized(docs), "mix-sizes"), weights, share, cap)
+    names = {"doc_id", "source", "text", "size", "u"}
+    held = docs.select(*(c for c in columns if c in names - {"size", "u"}), F.struct(*columns).alias("_row"))
+    x = apply(held.withColumns({"size": _size(), "u": _u()}), by_source, cap)
+    return x.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

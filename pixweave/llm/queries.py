@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_topk, license_scan, mixing, near_dedup, sentencepiece_codec, suffix_dedup, toxicity
+from . import ann, chat, exact_topk, license_scan, mixing, near_dedup, pii, sentencepiece_codec, suffix_dedup, toxicity
 from .common import table
 
 #: The tokenizer's vocabulary file; None takes the installed public one.
@@ -27,6 +27,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -39,6 +43,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -52,7 +60,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op4_ann, op5_suffix_dedup, op6_toxicity, op7_mixing, op9_exact_topk, op10_near_dedup)}
+    every = (
+        op1_sentencepiece, op2_license_scan, op3_quotation_linking, op4_ann, op5_suffix_dedup,
+        op6_toxicity, op7_mixing, op8_pii, op9_exact_topk, op10_near_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -233,6 +233,12 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
     return _mapped(docs, model_path, _digest, T.StructType([docs.schema["doc_id"], *(T.StructField(*x) for x in names)]))
 
 
+def encoded(docs: DataFrame, model_path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every text."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return _mapped(docs, model_path, lambda codec, text: (len(ids := codec.encode(text)[0]), ids.astype(np.int32)), schema)
+
+
 def decoded(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text, n_tokens): every text after a round trip through ids."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_tokens", T.LongType())])
