@@ -1,16 +1,60 @@
-"""From raw documents to tokenised training text, in stages."""
+"""From raw documents to tokenised training text, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixweave.llm import mixing, near_dedup, pii, sentencepiece_codec, toxicity
+from pixweave.llm.common import table, written
+from pixweave.llm.queries import model_path
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below a half; the score is learnt from the table ``labels``."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, into="_toxicity").filter(F.col("_toxicity.score") < 0.5).select(docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.dropped(docs).select(docs.columns)
+
+
+def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data; ``n_chars`` follows the new text."""
+    x = pii.surrogate_texts(docs, into="_pii").withColumn("text", F.col("_pii.text"))
+    return x.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every row."""
+    return sentencepiece_codec.encoded(docs, model_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_dedup", without_near_copies),
+    ("pii", with_surrogates),
+    ("mixing", mixed),
+    ("sentencepiece", encoded),
+]
+#: No SQL: the stages hash, learn and encode. Tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over the table ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages, one after the other, over the table ``documents``; each result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
