@@ -1 +1,13 @@
-"""pixweave.functions"""
+"""Scalar functions as column expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once: it becomes a lambda's variable, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import let
+
 # Media types and extensions of the formats.
 BY_TYPE = {"image/jpeg": "jpeg", "image/jpg": "jpeg", "image/png": "png", "image/gif": "gif", "image/webp": "webp", "image/bmp": "bmp", "image/x-ms-bmp": "bmp", "image/tiff": "tiff", "image/avif": "avif"}
 BY_EXTENSION = {".jpg": "jpeg", ".jpeg": "jpeg", ".png": "png", ".gif": "gif", ".webp": "webp", ".bmp": "bmp", ".tif": "tiff", ".tiff": "tiff", ".avif": "avif"}
@@ -71,9 +73,11 @@ def _number(body: Column, start: int, size: int, little: bool = False) -> Column
     return F.conv(F.concat(*(reversed(parts) if little else parts)), 16, 10).cast("long")
 
 
-def _walked(body: bytes | None, kind: str | None) -> tuple[int, int] | None:
+def _walked(b: bytes | None) -> tuple[int, int] | None:
     try:
-        return {"jpeg": jpeg_size, "tiff": tiff_size, "avif": avif_size}[kind](body) if body is not None else None
+        if b is None:
+            return None
+        return jpeg_size(b) if b[:2] == b"\xff\xd8" else tiff_size(b) if b[:2] in (b"II", b"MM") else avif_size(b)
     except (struct.error, IndexError, KeyError, ValueError):
         return None
 
@@ -138,15 +142,30 @@ def avif_size(b: bytes) -> tuple[int, int] | None:
     return None
 
 
-def _walked_column(bodies: pa.Array, kinds: pa.Array) -> pa.Array:
-    sizes = [_walked(b, k) for b, k in zip(bodies.to_pylist(), kinds.to_pylist(), strict=True)]
+def _walked_column(bodies: pa.Array) -> pa.Array:
+    sizes = [_walked(b) for b in bodies.to_pylist()]
     return pa.array([None if s is None else {"width": s[0], "height": s[1]} for s in sizes], pa.struct([("width", pa.int64()), ("height", pa.int64())]))
 
 
 def image_info(body: Column, content_type: Column, extension: Column) -> Column:
     """struct<format, width, height, mime, extension>; null where no size above 0 can be read."""
-    kind = sniff_format(body, content_type, extension)
-    walked = F.arrow_udf(_walked_column, "width long, height long")(F.when(kind.isin("jpeg", "tiff", "avif"), body), kind)
+    needs_walk = (_hex(body, 1, 2) == "FFD8") | _hex(body, 1, 4).isin("49492A00", "4D4D002A") | (_hex(body, 5, 4) == "66747970")
+    walked = F.arrow_udf(_walked_column, "width long, height long")(F.when(needs_walk, body))
+    none = F.lit(None).cast("string")
+    known = F.struct(F.substring(body, 1, 64).alias("b"), sniff_format(body, content_type, extension).alias("kind"), sniff_format(body, none, none).alias("shown"), walked.alias("walked"))
+
+    def sized(v: Column) -> Column:
+        kind, size = v["kind"], let(v, _fixed_size)
+        info = F.struct(kind.alias("format"), size["width"].alias("width"), size["height"].alias("height"), _picked(kind, MIME).alias("mime"), _picked(kind, EXTENSION).alias("extension"))
+        # A format that only the header or the name claims has to have the bytes of one.
+        return F.when(v["shown"] == kind, let(info, lambda i: F.when((i["width"] > 0) & (i["height"] > 0), i)))
+
+    return let(known, sized)
+
+
+def _fixed_size(v: Column) -> Column:
+    """struct<width, height> from fixed places of PNG, GIF, BMP and WebP, else what the walk found."""
+    body, kind, walked = v["b"], v["kind"], v["walked"]
     chunk, signed = _hex(body, 13, 4), lambda n: F.abs(F.when(n >= 1 << 31, n - (1 << 32)).otherwise(n))
     masked = lambda at, size, mask: _number(body, at, size, True).bitwiseAND(F.lit(mask))
     packed = _number(body, 22, 4, True)
@@ -154,7 +173,4 @@ def image_info(body: Column, content_type: Column, extension: Column) -> Column:
     webp_h = F.when(chunk == "56503820", masked(29, 2, 0x3FFF)).when(chunk == "5650384C", F.shiftright(packed, 14).bitwiseAND(F.lit(0x3FFF)) + 1).when(chunk == "56503858", _number(body, 28, 3, True) + 1)
     width = F.when(kind == "png", _number(body, 17, 4)).when(kind == "gif", _number(body, 7, 2, True)).when(kind == "bmp", _number(body, 19, 4, True)).when(kind == "webp", webp_w).otherwise(walked["width"])
     height = F.when(kind == "png", _number(body, 21, 4)).when(kind == "gif", _number(body, 9, 2, True)).when(kind == "bmp", signed(_number(body, 23, 4, True))).when(kind == "webp", webp_h).otherwise(walked["height"])
-    # A format that only the header or the name claims has to have the bytes of one.
-    shown = sniff_format(body, F.lit(None).cast("string"), F.lit(None).cast("string")) == kind
-    info = F.struct(kind.alias("format"), width.alias("width"), height.alias("height"), _picked(kind, MIME).alias("mime"), _picked(kind, EXTENSION).alias("extension"))
-    return F.when(shown & (width > 0) & (height > 0), info)
+    return F.struct(width.alias("width"), height.alias("height"))

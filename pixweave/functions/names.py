@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import let
 from .tokens import path_unescape
 
 # Names that Windows keeps for itself.
@@ -27,30 +28,39 @@ def _stem(name: Column, ext: Column) -> Column:
 def sanitize(name: Column) -> Column:
     """A safe file name, or the empty string where nothing is left of it."""
     base = F.regexp_extract(F.rtrim(F.btrim(name, F.lit(WHITE)), F.lit("/")), r"(?s)([^/]*)$", 1)
-    clean = F.regexp_replace(F.when(base == ".", "").otherwise(base), r'[\\/:*?"<>|\x00-\x1f]', "_")
-    ext = _extension(clean)
-    stem = F.rtrim(_stem(clean, ext), F.lit(" ."))
-    safe = F.when(F.upper(stem).isin(RESERVED), F.concat(F.lit("_"), stem)).otherwise(stem)
-    return F.when(stem == "", "").otherwise(F.concat(safe, F.rtrim(ext, F.lit(" ."))))
+
+    def safe(clean: Column) -> Column:
+        ext = _extension(clean)
+
+        def joined(stem: Column) -> Column:
+            own = F.when(F.upper(stem).isin(RESERVED), F.concat(F.lit("_"), stem)).otherwise(stem)
+            return F.when(stem == "", "").otherwise(F.concat(own, F.rtrim(ext, F.lit(" ."))))
+
+        return let(F.rtrim(_stem(clean, ext), F.lit(" .")), joined)
+
+    return let(F.regexp_replace(F.nullif(base, F.lit(".")), r'[\\/:*?"<>|\x00-\x1f]', "_"), lambda c: F.coalesce(safe(c), F.when(name.isNotNull(), "")))
 
 
 def ensure_extension(name: Column, detected: Column) -> Column:
     """The name, with the detected extension unless it has one that means the same."""
-    low = F.lower(detected)
-    want = F.when(low.startswith("."), low).otherwise(F.concat(F.lit("."), low))
-    ext = F.lower(_extension(name))
-    same = ext == want
-    for kind, others in COMPATIBLE.items():
-        same = same | (want == kind) & ext.isin(*others)
-    # An extension in capitals stays in the name when another one is added.
-    stem = F.when((ext != "") & name.endswith(ext), _stem(name, ext)).otherwise(name)
-    return F.when(name == "", "").when((ext != "") & (ext != ".") & same, name).otherwise(F.concat(stem, want))
+
+    def ensured(v: Column) -> Column:
+        name, ext, low = v["name"], v["ext"], v["low"]
+        want = F.when(low.startswith("."), low).otherwise(F.concat(F.lit("."), low))
+        same = ext == want
+        for kind, others in COMPATIBLE.items():
+            same = same | (want == kind) & ext.isin(*others)
+        # An extension in capitals stays in the name when another one is added.
+        stem = F.when((ext != "") & name.endswith(ext), _stem(name, ext)).otherwise(name)
+        return F.when(name == "", "").when((ext != "") & (ext != ".") & same, name).otherwise(F.concat(stem, want))
+
+    return let(name, lambda n: let(F.struct(n.alias("name"), F.lower(_extension(n)).alias("ext"), F.lower(detected).alias("low")), ensured))
 
 
 def filename_from_path(path: Column) -> Column:
     """A file name from a URL's decoded path; its last segment is decoded a second time."""
     base = F.regexp_extract(F.rtrim(path, F.lit("/")), r"(?s)([^/]*)$", 1)
-    return F.when(base.isin("", "."), "").otherwise(sanitize(path_unescape(base)))
+    return let(base, lambda b: F.when(b.isin("", "."), "").otherwise(let(path_unescape(b), sanitize)))
 
 
 def _disposition(headers: pa.Array) -> pa.Array:
@@ -66,15 +76,16 @@ def _disposition(headers: pa.Array) -> pa.Array:
 
 def disposition_filename(header: Column) -> Column:
     """The safe file name of a Content-Disposition header; empty where it has none or can't be read."""
-    return sanitize(F.arrow_udf(_disposition, "string")(header))
+    return let(F.arrow_udf(_disposition, "string")(header), sanitize)
 
 
 def resolve_filename(disposition: Column, path: Column, detected: Column, sha: Column) -> Column:
     """A file name from the header, else from the URL's path, else from the content's digest."""
     digest = F.when(F.coalesce(sha, F.lit("")) == "", "asset").otherwise(F.substring(sha, 1, 8))
-    named = F.coalesce(F.nullif(disposition_filename(disposition), F.lit("")), F.nullif(filename_from_path(path), F.lit("")), F.concat(F.lit("image_"), digest))
-    final = sanitize(ensure_extension(named, detected))
-    return F.when(final == "", F.concat(F.lit("image_"), digest, detected)).otherwise(final)
+    given = F.struct(disposition_filename(disposition).alias("a"), filename_from_path(path).alias("b"), F.concat(F.lit("image_"), digest).alias("c"))
+    named = let(given, lambda g: F.coalesce(F.nullif(g["a"], F.lit("")), F.nullif(g["b"], F.lit("")), g["c"]))
+    final = let(ensure_extension(named, detected), sanitize)
+    return let(final, lambda f: F.when(f == "", F.concat(F.lit("image_"), digest, detected)).otherwise(f))
 
 
 def host_folder(hostname: Column) -> Column:

@@ -47,9 +47,9 @@ def landing_pages(slots: DataFrame, responses: DataFrame) -> DataFrame:
 
 def landing_candidates(pages: DataFrame) -> DataFrame:
     """(landing_url, seq, source, priority, raw_url, resolved_url, descriptor) of landing pages that are HTML."""
-    x = pages.filter("not direct").select("landing_url", F.col("effective").alias("url"), F.decode("body", "UTF-8").alias("html"))
-    c = extract.candidates(x, keep=("landing_url",))
-    return c.select(F.col("landing_url"), (F.col("slot_idx").cast("long") * 64 + F.col("cand_idx")).alias("seq"), "source", "priority", "raw_url", "resolved_url", "descriptor")
+    x = pages.filter("not direct").select(F.col("landing_url").alias("_of"), F.col("effective").alias("url"), F.decode("body", "UTF-8").alias("html"))
+    c = extract.candidates(x, keep=("_of",))
+    return c.select(F.col("_of").alias("landing_url"), (F.col("slot_idx").cast("long") * 64 + F.col("cand_idx")).alias("seq"), "source", "priority", "raw_url", "resolved_url", "descriptor")
 
 
 def matched(slots: DataFrame, found: DataFrame, key: list[str] = KEY) -> DataFrame:
