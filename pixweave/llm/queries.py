@@ -67,5 +67,55 @@ def queries() -> dict:
     return {f.__name__: f for f in every}
 
 
+LOWER = f"translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}')"
+
+#: Every rule's matches, then those that no other one hides. The rules are the same table that the scan uses.
+LICENSE_SQL = """
+WITH d AS (SELECT doc_id, {lower} AS low FROM documents),
+w AS (SELECT doc_id, low, regexp_extract_all(low, '{word}') AS words FROM d),
+n AS (SELECT doc_id, low, len(words) AS n_words, ' ' || array_to_string(list_transform(words, lambda x, i: x || '#' || (i - 1)), ' ') AS t FROM w),
+rules(rule, label, key, priority, rx) AS (VALUES {rules}),
+base(label, rx) AS (VALUES {base}),
+m AS (SELECT doc_id, rule, label, priority, unnest(regexp_extract_all(t, rx)) AS hit FROM n JOIN rules ON contains(low, key) WHERE regexp_matches(low, '{gate}')),
+p AS (SELECT doc_id, rule, label, priority, CAST(regexp_extract(hit, '#([0-9]+)', 1) AS BIGINT) AS a, CAST(regexp_extract(hit, '#([0-9]+)$', 1) AS BIGINT) AS z FROM m),
+k AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p e WHERE e.doc_id = p.doc_id AND e.a <= p.a AND e.z >= p.z AND (e.priority > p.priority OR e.priority = p.priority AND (e.z - e.a > p.z - p.a OR e.a = p.a AND e.z = p.z AND e.rule < p.rule)))),
+b AS (SELECT doc_id, label, CAST(regexp_extract(hit, '#([0-9]+)', 1) AS BIGINT) AS a FROM (SELECT doc_id, label, unnest(regexp_extract_all(t, rx)) AS hit FROM n, base)),
+kd AS (SELECT doc_id, count(*) AS n_detections, max(priority) AS top FROM k GROUP BY doc_id),
+bd AS (SELECT doc_id, count(*) AS n_base, min(a) AS first_word, max(a) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+ld AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM k UNION ALL SELECT doc_id, label FROM b) GROUP BY doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CAST(coalesce(n_detections, 0) AS BIGINT) AS n_detections, greatest(coalesce(top, 0), CASE WHEN n_base > 0 THEN 90 ELSE 0 END) / 100.0::DOUBLE AS score
+FROM n LEFT JOIN kd USING (doc_id) LEFT JOIN bd USING (doc_id) LEFT JOIN ld USING (doc_id)
+"""
+
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+NEAR_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+  ELSE list_transform(range(1, len(words) - 2), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3]) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """op1, op4, op6, op7, op8 and the pipeline have none: SQL has no tokenizer, search graph, fitted model, Newton step or cipher."""
+    quoted = lambda x: "'" + str(x).replace("'", "''") + "'"
+    rules = ", ".join(f"({o}, {quoted(label)}, {quoted(key)}, {p}, {quoted(rx)})" for o, label, key, p, rx in license_scan.RULES)
+    base = ", ".join(f"({quoted(label)}, {quoted(license_scan._pattern(phrase))})" for phrase, label in license_scan.BASE)
+    return {
+        "op2_license_scan": LICENSE_SQL.format(lower=LOWER, word=license_scan.WORD, rules=rules, base=base, gate=license_scan.GATE),
+        "op9_exact_topk": TOPK_SQL,
+        "op10_near_dedup": NEAR_SQL.format(lower=LOWER),
+    }
