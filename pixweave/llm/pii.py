@@ -8,7 +8,7 @@ the same gender, card numbers keep their kind of check digit, public addresses s
 
 What a permutation can't promise is that a surrogate isn't somebody else's original, or that two templates never
 meet. A distributed check joins all distinct surrogates with all distinct originals; who collides moves on with
-another tweak, until nobody does. Only these exceptions, a tiny part, are joined back to their documents.
+another tweak, until nobody does; short names and addresses whose format is used up become longer. Only these exceptions, a tiny part, are joined back to their documents.
 
 Edge cases: a null text stays null, an empty one empty, both without entities; texts of any length are read whole;
 repeated rows get the same text; null ids keep their rows; an empty table gives an empty result; other columns pass.
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import small, written
 
+#: Tweaks that are tried before a template of letters is made longer, and tries in all.
+WIDEN, TRIES = 6, 200
 #: The secret that permutations depend on; pass your own.
 KEY = b"pixweave surrogates"
 
@@ -148,8 +150,10 @@ class Surrogates:
         return known
 
     def _made(self, kind: str, value: str, tweak: int) -> str:
+        longer = tweak // WIDEN  # a template that has no room left gives way to a longer one
         if kind == "email":
             local, _, domain = value.rpartition("@")
+            local += local[0] * longer
             kinds = ["digit" if c in "0123456789" else "latin" if c in _ALPHABETS["latin"] else None for c in local]
             return self._string(f"email@{domain}", local, kinds, tweak) + "@" + domain
         if kind == "card":
@@ -165,7 +169,9 @@ class Surrogates:
             names = GIVEN[where]
             return names[self._move(f"given{where}", names.index(value), len(names), tweak)]
         if kind.startswith(("given", "surname")):
+            value += value[0] * longer
             return self._string(kind, value, [_CLASS.get(c) for c in value], tweak)
+        value += "0" * longer if kind == "secret" else ""
         hexes = kind == "mac" or kind == "secret" and not re.search("[g-zG-Z]", value)
         kinds, low = [], value.lower()
         for i, c in enumerate(low):
@@ -298,7 +304,7 @@ def tweaks(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     family = F.regexp_extract("kind", "^[a-z]+", 0)  # given names of all genders are one family of surrogates
     state = written(entities.select("kind", "value").distinct().withColumn("tweak", F.lit(0)), "pii-entities")
     originals = state.select(family.alias("f"), F.col("value").alias("v")).distinct()
-    for _ in range(40):
+    for _ in range(TRIES):
         x = written(state.withColumn("family", family).withColumn("surrogate", make("kind", "value", "tweak")), "pii-surrogates")
         theirs = x.join(originals, (F.col("family") == F.col("f")) & (F.col("surrogate") == F.col("v")), "left_semi").select("kind", "value")
         first = x.groupBy("family", "surrogate").agg(F.min(F.struct("tweak", "kind", "value")).alias("m"), F.count("*").alias("n")).filter("n > 1")
@@ -306,9 +312,9 @@ def tweaks(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         listed = F.col("kind").startswith("given") & F.col("value").isin(list(_LISTED))  # a list has no names to spare
         moved = written(theirs.unionByName(twice).distinct().filter(~listed).withColumn("again", F.lit(1)), "pii-moved")
         if not moved.limit(1).count():
-            break
+            return state.filter("tweak > 0")
         state = written(state.join(moved, ["kind", "value"], "left").select("kind", "value", (F.col("tweak") + F.coalesce("again", F.lit(0))).alias("tweak")), "pii-entities")
-    return state.filter("tweak > 0")
+    raise ValueError("a format has more entities than distinct surrogates")
 
 
 def surrogate_texts(docs: DataFrame, key: bytes = KEY, into: str = "pii") -> DataFrame:
