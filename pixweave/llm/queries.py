@@ -102,13 +102,40 @@ g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(w
   ELSE list_transform(range(1, len(words) - 2), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3]) END) AS shingle FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-link AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
 """
 
 
+QUOTES_SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT r, string_split_regex(text, '\r?\n') AS x FROM m),
+l AS (SELECT r, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM s),
+k AS (SELECT r, i, line, regexp_extract(line, '{marks}') AS marks FROM l),
+v AS (SELECT r, i, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, substr(line, length(marks) + 1) AS body FROM k),
+n AS (SELECT *, lead(level) OVER (PARTITION BY r ORDER BY i) AS next FROM v),
+a AS (SELECT r, i, level, body FROM n WHERE NOT coalesce(level < next AND regexp_matches(body, '{attribution}'), FALSE)),
+g AS (SELECT *, CASE WHEN lag(level) OVER (PARTITION BY r ORDER BY i) IS DISTINCT FROM level THEN 1 ELSE 0 END AS first FROM a),
+h AS (SELECT *, sum(first) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
+p AS (SELECT r, run, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS body FROM h GROUP BY r, run),
+o AS (SELECT r, trim(coalesce(string_agg(body, chr(10) ORDER BY run) FILTER (WHERE level = 0), ''), ' ' || chr(9) || chr(13) || chr(10)) AS own, count(*) FILTER (WHERE level > 0) AS n_quotes, max(level) AS quote_depth FROM p GROUP BY r),
+parts AS (SELECT r, level, body FROM p UNION ALL SELECT r, level, unnest(string_split_regex(body, '\n[ \t]*\n')) FROM p
+  UNION ALL SELECT r, level, x FROM (SELECT r, level, unnest(string_split(body, chr(10))) AS x FROM p) WHERE len(regexp_extract_all(x, '\S+')) >= 3),
+u AS (SELECT DISTINCT conv_id, turn, level, md5(c) AS unit FROM (SELECT r, level, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS c FROM parts) JOIN m USING (r) WHERE c <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+originals AS (SELECT conv_id, unit, min(turn) AS original FROM u WHERE level = 0 GROUP BY conv_id, unit),
+linked AS (SELECT q.conv_id, q.turn, q.level, f.original FROM u q JOIN originals f ON f.conv_id = q.conv_id AND f.unit = q.unit WHERE q.level > 0 AND f.original < q.turn),
+links AS (SELECT conv_id, turn, arg_max(original, (-level, original)) AS reply_to, count(DISTINCT original) AS n_linked FROM linked GROUP BY conv_id, turn),
+up(conv_id, turn, top, steps) AS (SELECT conv_id, turn, reply_to, 1 FROM links UNION ALL SELECT up.conv_id, up.turn, links.reply_to, steps + 1 FROM up JOIN links ON links.conv_id = up.conv_id AND links.turn = up.top),
+tree AS (SELECT conv_id, turn, arg_max(top, steps) AS thread_root, max(steps) AS reply_depth FROM up GROUP BY conv_id, turn)
+SELECT m.conv_id, m.turn, m.role, o.own AS text, '<|' || coalesce(m.role, '') || '|>' || chr(10) || o.own || '<|end|>' || chr(10) AS formatted,
+  CAST(n_quotes AS BIGINT) AS n_quotes, CAST(quote_depth AS BIGINT) AS quote_depth, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, reply_to,
+  coalesce(thread_root, m.turn) AS thread_root, CAST(coalesce(reply_depth, 0) AS BIGINT) AS reply_depth
+FROM m JOIN o USING (r) LEFT JOIN links ON links.conv_id = m.conv_id AND links.turn = m.turn LEFT JOIN tree ON tree.conv_id = m.conv_id AND tree.turn = m.turn
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """op1, op4, op6, op7, op8 and the pipeline have none: SQL has no tokenizer, search graph, fitted model, Newton step or cipher."""
     quoted = lambda x: "'" + str(x).replace("'", "''") + "'"
@@ -116,6 +143,7 @@ def oracle_sql() -> dict[str, str]:
     base = ", ".join(f"({quoted(label)}, {quoted(license_scan._pattern(phrase))})" for phrase, label in license_scan.BASE)
     return {
         "op2_license_scan": LICENSE_SQL.format(lower=LOWER, word=license_scan.WORD, rules=rules, base=base, gate=license_scan.GATE),
+        "op3_quotation_linking": QUOTES_SQL.replace("{marks}", chat.MARKS).replace("{attribution}", chat.ATTRIBUTION),
         "op9_exact_topk": TOPK_SQL,
         "op10_near_dedup": NEAR_SQL.format(lower=LOWER),
     }
