@@ -3,14 +3,15 @@
 1. Every text becomes its set of hashed word shingles, MinHash samples, band keys over them and an odd sketch: each
    sample flips one bit of a bitmap, so that the population count of two bitmaps' XOR estimates the samples that differ.
    Equal sets are folded into one node, so exact copies cost nothing further.
-2. In every band bucket each node is paired with the bucket's leader (its smallest node). Sketches drop the pairs that
-   are far off, full sets decide the rest, components follow.
-3. In a bucket that still holds several components, every node outside the largest one is compared, by sketch, with all
-   nodes of the bucket in blocks; what passes is decided on full sets. After that no two nodes of a bucket are
-   untested unless they are in one component already, so no bucket needs a cap and no group emits all its pairs.
+2. In every band bucket each node is paired with two leaders, the bucket's smallest and largest node. Sketches drop
+   the pairs that are far off, full sets decide the rest, components follow.
+3. Pairs whose sketches are near by a looser bar make clusters. Nodes with a link lie in one cluster: both are near to
+   their buckets' leaders, as distances add up to no more than 0.4. In a cluster of several components every node
+   outside the largest one is compared with all others, in blocks, nearest first, until it is joined. So no bucket
+   needs a cap, no group emits its pairs, and what is left unjoined has been compared.
 
 With 24 bands of 4 samples a pair at similarity 0.8 shares no bucket with a chance of 3 in a million, less above it;
-the sketch bar lies five standard deviations below what such a pair shows.
+the sketch bars lie five standard deviations below what pairs at their similarity show.
 
 Edge cases: null and empty texts, and texts without words, have the empty set and are linked with nothing; a text with
 fewer words than a shingle has is one shingle; texts of any length are read whole; repeated rows are copies of each
@@ -29,11 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import small, text_batches, written
 
 BANDS, ROWS, BITS = 24, 4, 512
+#: The similarity whose sketches still make a cluster.
+LOOSE = 0.7
 SAMPLES = BANDS * ROWS
-#: Text that is hashed at a time, and nodes of a large bucket in one block.
+#: Text that is hashed at a time, and nodes of a large cluster in one block.
 CHUNK_BYTES, BLOCK = 1 << 20, 512
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -135,7 +138,7 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, tk, n, node, bands, sketch); node is a digest of the shingle set, null for the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             for a, b in chunks(texts):
                 sets = shingles(texts[a:b], words)
@@ -147,12 +150,20 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
                         node[i], bands[i], sketch[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), k, s
                 columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tk", "n", "node", "bands", "sketch"])
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     x = docs.select("doc_id", text_key().alias("tk"), F.col("text").cast("binary").alias("text"))
     return x.mapInArrow(run, f"doc_id {kind}, tk binary, n long, node binary, bands array<long>, sketch binary")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     a, size = 0, 0
     for i, t in enumerate(texts):
@@ -164,34 +175,40 @@ def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield a, len(texts)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """Of the pairs (a, b) of nodes, those whose full sets reach the similarity."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _full(nodes: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, full): the shingle sets of ``nodes``, read again from their representatives' texts."""
     wanted = written(sets.join(nodes, "node", "left_semi").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.tk").alias("key")), "near-wanted")
     x = docs.select("doc_id", text_key().alias("tk"), F.col("text").cast("binary").alias("text"))
     texts = x.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tk") == F.col("key"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = batch.column(1).to_pylist()
             for a, b in chunks(found):
                 full = [s.tobytes() for s in shingles(found[a:b], words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(full, pa.large_binary()).cast(pa.binary())], ["node", "full"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(full, pa.binary())], ["node", "full"])
 
-    full = written(texts.mapInArrow(run, "node binary, full binary").dropDuplicates(["node"]), "near-sets")
-    num, den = similarity
+    return written(texts.mapInArrow(run, "node binary, full binary").dropDuplicates(["node"]), "near-sets")
+
+
+def alike(p: np.ndarray, q: np.ndarray, similarity: tuple[int, int]) -> bool:
+    """Whether two sorted sets reach the similarity, as a fraction of whole numbers."""
+    small_, large = (p, q) if len(p) <= len(q) else (q, p)
+    at = np.searchsorted(large, small_)
+    both = int((large[np.minimum(at, len(large) - 1)] == small_).sum())
+    return similarity[1] * both >= similarity[0] * (len(p) + len(q) - both)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """Of the pairs (a, b) of nodes, those whose full sets reach the similarity."""
+    full = _full(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), sets, docs, words)
 
-    @F.arrow_udf("boolean")
-    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(den * both >= num * (len(p) + len(q) - both))
-        return pa.array(out, pa.bool_())
+    def column(left: pa.Array, right: pa.Array) -> pa.Array:
+        read = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
+        return pa.array([alike(read(x), read(y), similarity) for x, y in zip(left, right, strict=True)], pa.bool_())
 
     x = pairs.join(full.select(F.col("node").alias("a"), F.col("full").alias("fa")), "a").join(full.select(F.col("node").alias("b"), F.col("full").alias("fb")), "b")
-    return written(x.withColumn("ok", alike("fa", "fb")).filter("ok").select("a", "b"), "near-links")
+    return written(x.withColumn("ok", F.arrow_udf(column, "boolean")("fa", "fb")).filter("ok").select("a", "b"), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,58 +227,79 @@ def components(links: DataFrame) -> DataFrame:
 
 def group(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """(doc_id, tk, n_shingles, comp, component_id): ``tk`` is the text's digest, ``comp`` the component's key (null: empty set)."""
+    text_batches(docs.sparkSession)
     described = written(_described(docs, words), "near-described")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tk")).alias("rep")
     sets = written(described.filter("node is not null").groupBy("node").agg(rep, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-nodes")
     rows = sets.select("node", F.explode("bands").alias("key"))
-    buckets = written(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1"), "near-buckets")
-    members = written(rows.join(buckets, "key"), "near-members")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).filter("size > 1").drop("size")
+    led = rows.join(buckets, "key").select("node", F.explode(F.array("low", "high")).alias("leader")).filter("node != leader")
+    pairs = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     num, den = similarity
-    high, apart = bar(num / den), F.arrow_udf(_apart, "int")
-    light = sets.select("node", "n", "sketch")
-    side = lambda c: light.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    near = lambda x: (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (apart("s_a", "s_b") <= x)
-    pairs = members.filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    first = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(near(high)).select("a", "b"), "near-pairs")
+    apart = F.arrow_udf(_apart, "int")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    scored = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", apart("s_a", "s_b")).filter(F.col("apart") <= bar(LOOSE))
+    scored = written(scored.select("a", "b", "apart", "n_a", "n_b"), "near-pairs")
+    first = scored.filter((F.col("apart") <= bar(num / den)) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)).select("a", "b")
     links = _confirmed(first, sets, docs, words, similarity)
     comp = components(links)
+    more = written(_within_clusters(components(scored), comp, sets, docs, words, similarity), "near-more")
+    if more.limit(1).count():
+        comp = components(written(links.unionByName(more), "near-links"))
+    x = described.select("doc_id", "tk", F.col("n").alias("n_shingles"), "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = x.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    x = x.drop("node").join(named, "comp", "left")
+    return x.withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+
 
-    # Buckets of three and more that aren't one component yet.
-    placed = members.filter("size > 2").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    open_ = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1").select("key", F.col("m.comp").alias("major"))
-    open_ = written(placed.join(open_, "key").join(light, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "near-open")
-    columns = ["key", "block", "node", "comp", "n", "sketch"]
+def _within_clusters(clusters: DataFrame, comp: DataFrame, sets: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): links between components of one cluster, as many as it takes to join all that the full sets join.
+
+    In a cluster of several components every node outside the largest one meets all nodes of the cluster, these in
+    blocks. In a block it is compared with the nearest by sketch first; a pair that is in one component by then is
+    passed over, so that only links that join something leave the task.
+    """
+    placed = clusters.withColumnRenamed("comp", "cluster").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    per = placed.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
+    several = per.groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("c").alias("size")).filter("comps > 1 and size > 2")
+    several = several.select("cluster", F.col("m.comp").alias("major"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    open_ = written(placed.join(several, "cluster"), "near-open")
+    full = _full(open_.select("node"), sets, docs, words)
+    open_ = open_.join(sets.select("node", "sketch"), "node").join(full, "node")
+    columns = ["cluster", "block", "node", "comp", "sketch", "full"]
     few = open_.filter("comp != major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(columns)
-    all_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select(*columns, (F.col("comp") == F.col("major")).alias("major"))
+    all_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select(*(F.col(c).alias(c) for c in columns))
+    high, (num, den) = bar(similarity[0] / similarity[1]), similarity
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list] = ([], [])
         if left.num_rows and right.num_rows:
-            a, ca, b, cb = (t[c].to_pylist() for t in (left, right) for c in ("node", "comp"))
-            na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-            sb = np.frombuffer(b"".join(right["sketch"].to_pylist()), np.uint64).reshape(len(b), -1)
-            major = right["major"].to_numpy(zero_copy_only=False)
-            for i, s in enumerate(left["sketch"].to_pylist()):
-                apart = np.bitwise_count(sb ^ np.frombuffer(s, np.uint64)[None, :]).sum(1)
-                fit = (apart <= high) & (np.minimum(nb, na[i]) * den >= np.maximum(nb, na[i]) * num)
-                for j in np.flatnonzero(fit).tolist():
-                    if ca[i] != cb[j] and (major[j] or a[i] < b[j]):
-                        out[0].append(a[i])
+            a, ca, sa, fa, b, cb, sb, fb = (t[c].to_pylist() for t in (left, right) for c in ("node", "comp", "sketch", "full"))
+            sketches = np.frombuffer(b"".join(sb), np.uint64).reshape(len(b), -1)
+            read = lambda x: np.frombuffer(x, np.uint64)
+            sizes = np.array([len(f) for f in fb])
+            up: dict[bytes, bytes] = {}
+
+            def root(x: bytes) -> bytes:
+                while x in up:
+                    x = up[x]
+                return x
+
+            for node, c, s, f in sorted(zip(a, ca, sa, fa, strict=True)):
+                apart = np.bitwise_count(sketches ^ np.frombuffer(s, np.uint64)[None, :]).sum(1)
+                fit = (apart <= high) & (np.minimum(sizes, len(f)) * den >= np.maximum(sizes, len(f)) * num)
+                near = np.flatnonzero(fit)
+                own = read(f)
+                for j in near[np.argsort(apart[near], kind="stable")].tolist():
+                    mine, theirs = root(c), root(cb[j])
+                    if mine != theirs and alike(own, read(fb[j]), similarity):
+                        up[max(mine, theirs)] = min(mine, theirs)
+                        out[0].append(node)
                         out[1].append(b[j])
         return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["a", "b"])
 
-    by = ["key", "block"]
-    more = few.groupBy(by).cogroup(all_.groupBy(by)).applyInArrow(compare, "a binary, b binary").distinct()
-    tested = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = written(more.join(tested, ["a", "b"], "left_anti"), "near-more")
-    if more.limit(1).count():
-        links = written(links.unionByName(_confirmed(more, sets, docs, words, similarity)), "near-links")
-        comp = components(links)
-    x = described.select("doc_id", "tk", F.col("n").alias("n_shingles"), "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = x.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    x = x.drop("node").join(named, "comp", "left")
-    return x.withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    by = ["cluster", "block"]
+    return few.groupBy(by).cogroup(all_.groupBy(by)).applyInArrow(compare, "a binary, b binary")
 
 
 def _apart(a: pa.Array, b: pa.Array) -> pa.Array:
