@@ -5,8 +5,9 @@ largest length (queries get 0). Centroids are fitted on a bounded sample by k-me
 Every vector goes to its nearest list and, if it lies near a boundary, to more lists whose centroids are almost as
 near and lie in other directions. A query walks the graph of centroids from a fixed entry, nearest first, and takes
 the lists whose centroid is at most ``ratio`` times as far as the nearest one. The ratio is calibrated on the sample,
-against brute force, for the recall that is asked for. Every row is indexed. Long lists and many queries of one list
-are cut into blocks, so a task's memory has a bound.
+against brute force, for the recall that is asked for. Every row is indexed. Lists are dealt out to shards, and large
+shards and many queries are cut into blocks, so a task's memory has a bound; a task answers each of its queries once,
+from all the lists that it holds.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id;
 a shorter vector counts as padded with zeros; equal vectors are folded and dealt out again, ties go to smaller ids;
@@ -30,8 +31,8 @@ from .common import written
 
 #: Vectors that the lists are fitted on, at most, and lists at most: what is broadcast doesn't grow with the data.
 SAMPLE, LISTS = 16_384, 4096
-#: Vectors per list aimed at; vectors and queries in one block of a list.
-LIST_ROWS, BLOCK, ASKED = 256, 8192, 4096
+#: Vectors per list aimed at; shards that lists are dealt out to; vectors and queries that meet in one task, at most.
+LIST_ROWS, SHARDS, BLOCK, ASKED = 256, 8, 65_536, 4096
 #: Replicas of a boundary vector at most, and how much farther than the nearest their centroids may be.
 REPLICAS, BOUNDARY = 4, 1.1
 DEGREE, BEAM = 16, 16
@@ -153,35 +154,51 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vec: str = "embedding",
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [lists.value.choose(q) for q in read(b.column(1).to_pylist())] if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32()))], ["key", "vec", "lists"])
-
-    posted = written(all_.mapInArrow(place, "vec binary, ids array<long>, lists array<int>").withColumn("list", F.explode("lists")).drop("lists"), "ann-lists")
-    chosen = written(asked.groupBy("key").agg(F.first("vec").alias("vec")).mapInArrow(choose, "key binary, vec binary, lists array<int>").withColumn("list", F.explode("lists")).drop("lists"), "ann-chosen")
-    # A row per list, at most LISTS of them: into how many blocks its vectors and its queries are cut.
-    blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = F.broadcast(blocks.join(F.broadcast(chosen.groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("rounds"))), "list"))
+            keys, packed, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), []
+            for i, q in enumerate(read(packed) if packed else ()):
+                by_shard: dict[int, list[int]] = {}
+                for j in lists.value.choose(q):
+                    by_shard.setdefault(j % SHARDS, []).append(j)
+                rows += [(keys[i], packed[i], s, found) for s, found in by_shard.items()]
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["key", "vec", "shard", "lists"])
+
+    posted = all_.mapInArrow(place, "vec binary, ids array<long>, lists array<int>").withColumn("list", F.explode("lists")).drop("lists")
+    posted = written(posted.withColumn("shard", F.col("list") % SHARDS), "ann-lists")
+    distinct = asked.groupBy("key").agg(F.first("vec").alias("vec"))
+    chosen = written(distinct.mapInArrow(choose, "key binary, vec binary, shard int, lists array<int>"), "ann-chosen")
+    # A row per shard: into how many blocks its vectors and its queries are cut.
+    blocks = posted.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.broadcast(blocks.join(F.broadcast(chosen.groupBy("shard").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("rounds"))), "shard"))
     deal = lambda n, of: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
-    left = chosen.join(blocks, "list").select("list", deal("rounds", "key").alias("round"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "key", "vec")
-    right = posted.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"), deal("blocks", "vec").alias("block"), "vec", "ids")
+    left = chosen.join(blocks, "shard").select("shard", deal("rounds", "key").alias("round"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "key", "vec", "lists")
+    right = posted.join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"), deal("blocks", "vec").alias("block"), "vec", "ids", "list")
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if a.num_rows and b.num_rows:
-            q, x, ids = read(a["vec"].to_pylist()), read(b["vec"].to_pylist()), b["ids"].to_pylist()
-            first = np.array([i[0] for i in ids])
-            few = min(k + 1, len(x))
-            for key, one in zip(a["key"].to_pylist(), q, strict=True):
-                s = x @ one
+            b = b.sort_by("list")
+            at, packed, ids = b["list"].to_numpy(), b["vec"].to_pylist(), b["ids"].to_pylist()
+            q, x, first = read(a["vec"].to_pylist()), read(packed), np.array([i[0] for i in ids])
+            number: dict[bytes, int] = {}
+            same = np.array([number.setdefault(v, i) for i, v in enumerate(packed)])  # replicas of one vector
+            starts, ends = np.searchsorted(at, np.arange(at[-1] + 1)), np.searchsorted(at, np.arange(at[-1] + 1), "right")
+            for key, one, mine in zip(a["key"].to_pylist(), q, a["lists"].to_pylist(), strict=True):
+                spans = [(starts[j], ends[j]) for j in sorted(mine) if j < len(starts) and ends[j] > starts[j]]
+                if not spans:
+                    continue
+                rows = np.concatenate([np.arange(s, e) for s, e in spans])
+                s = (x @ one)[rows] if 4 * len(rows) > len(x) else x[rows] @ one
+                few = min((k + 1) * REPLICAS, len(rows))
                 bar = np.partition(s, len(s) - few)[len(s) - few]
-                top = np.flatnonzero(s >= bar - 1e-9 * abs(bar))
+                top = np.unique(same[rows[s >= bar - 1e-9 * abs(bar)]])
                 s = (x[top] * one).sum(1)  # the same sum wherever the vector lies
-                best = np.lexsort((first[top], -s))[:few]
-                out[0].extend([key] * few)
+                best = np.lexsort((first[top], -s))[: k + 1]
+                out[0].extend([key] * len(best))
                 out[1].extend(s[best].tolist())
                 out[2].extend(ids[j] for j in top[best].tolist())
         return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.int64()))], ["key", "score", "ids"])
 
-    by = ["list", "round", "block"]
+    by = ["shard", "round", "block"]
     found = left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(score, "key binary, score double, ids array<long>")
     return vectors.answers(asked.select("id", "key"), vectors.merged(found.dropDuplicates(), k + 1), k)
