@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words and their first 4, 5 and 6 letters, so that inflected forms meet. A bounded sample of
-labelled rows gives the vocabulary (the terms that tell the classes apart best), the document frequencies and the
+labelled rows gives the vocabulary (the terms that speak best for the toxic class), the document frequencies and the
 examples. The index holds for each term the weights of the examples, in blocks, and each block's largest weight. For
 a query the sums of these maxima bound every block; blocks are scored in falling order of their bounds until none can
 beat the k-th best cosine, so the neighbours are exact. Neighbours vote with weights that fall with distance; the vote
@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_batches, written
 
 #: Labelled rows that the model is fitted on, at most, and terms at most: the model's size doesn't grow with the data.
 SAMPLE, TERMS = 12_000, 768
 NEIGHBOURS, BLOCK, AT_ONCE = 15, 64, 4
-#: Examples that hold a term at least, and how many times likelier it is among toxic ones, or the other way round.
+#: Examples that hold a term at least, and how many times likelier it is among toxic ones than among others.
 LEAST, RATIO = 5, 4.0
+#: Words remembered with their terms, at most.
+KNOWN = 100_000
 BINS = 10
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -72,7 +74,7 @@ class Model:
         for word, n in Counter(WORD.findall((text or "").lower())).items():
             at = known.get(word)
             if at is None:
-                if len(known) > 500_000:
+                if len(known) > KNOWN:
                     known.clear()
                 at = known[word] = tuple({self.terms[t] for t in (word, *(word[:p] for p in PREFIXES)) if t in self.terms})
             for t in at:
@@ -86,7 +88,7 @@ class Model:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k examples of the largest cosine above 0, largest first, ties to the first example."""
-        bound = w @ self.most[at] * (1 + 1e-9)
+        bound = w @ self.most[at] * (1 + 1e-6)
         order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int]] = []
         for i in range(0, len(order), AT_ONCE):
@@ -136,6 +138,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled rows that aren't held out; what reaches the driver is bounded by it."""
     spark = docs.sparkSession
+    text_batches(spark)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample))
     texts = docs.select("doc_id", "text").join(chosen, "doc_id")
@@ -152,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     by_term = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
     p, q = F.col("bad") / max(pos, 1), (F.col("n") - F.col("bad")) / max(n - pos, 1)
     apart = (F.abs(p - q) / F.sqrt((p + q) / min(max(pos, 1), max(n - pos, 1)))).alias("apart")
-    tells = (p >= RATIO * q) | (q >= RATIO * p) & (q >= 0.2)
+    tells = p >= RATIO * q
     best = by_term.filter(F.col("n") >= LEAST).filter(tells).select("term", "n", apart).orderBy(F.desc("apart"), "term").limit(TERMS).collect()
     terms = {r.term: i for i, r in enumerate(best)}
     idf = np.array([1 + math.log(n / r.n) for r in best])
@@ -162,12 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     held = rows.select("doc_id", "toxic", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("doc_id", "toxic", F.col("x.terms").alias("term"), F.col("x.counts").alias("count"))
     examples = held.join(table, "term").groupBy("doc_id", "toxic").agg(F.collect_list(F.struct("at", "count")).alias("found")).orderBy("toxic", "doc_id").collect()
     blocks = -(-len(examples) // BLOCK)
-    weights = np.zeros((len(terms), blocks * BLOCK))
+    weights = np.zeros((len(terms), blocks * BLOCK), np.float32)
     ids = np.array([int(r.doc_id) if r.doc_id.lstrip("-").isdigit() else -1 for r in examples], np.int64)
     model = Model(terms, idf, ids, np.array([r.toxic == 1 for r in examples]), weights.reshape(len(terms), blocks, BLOCK))
     for i, r in enumerate(examples):
         at, w = model.weighted({x["at"]: x["count"] for x in r.found})
-        weights[at, i] = w
+        weights[at, i] = w  # in single precision, for the memory of executors
     bad = int(sum(r.toxic for r in examples))
     model = Model(terms, idf, ids, model.toxic, weights.reshape(len(terms), blocks, BLOCK), (pos - bad + 0.01) / (n - len(examples) + 1))
     model.calibrate()
@@ -176,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "toxicity") -> DataFrame:
     """``docs`` with a struct column: score, neighbours (ids of the nearest examples) and cosines."""
+    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("score double, neighbours array<long>, cosines array<double>")
