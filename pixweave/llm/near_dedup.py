@@ -7,7 +7,7 @@
    the pairs that are far off, full sets decide the rest, components follow.
 3. Pairs whose sketches are near by a looser bar make clusters. Nodes with a link lie in one cluster: both are near to
    their buckets' leaders, as distances add up to no more than 0.4. In a cluster of several components every node
-   outside the largest one is compared with all others, in blocks, nearest first, until it is joined. So no bucket
+   outside the largest one is compared with all others, in blocks. So no bucket
    needs a cap, no group emits its pairs, and what is left unjoined has been compared.
 
 With 24 bands of 4 samples a pair at similarity 0.8 shares no bucket with a chance of 3 in a million, less above it;
@@ -256,8 +256,8 @@ def _within_clusters(clusters: DataFrame, comp: DataFrame, sets: DataFrame, docs
     """(a, b): links between components of one cluster, as many as it takes to join all that the full sets join.
 
     In a cluster of several components every node outside the largest one meets all nodes of the cluster, these in
-    blocks. In a block it is compared with the nearest by sketch first; a pair that is in one component by then is
-    passed over, so that only links that join something leave the task.
+    blocks, by its full set; the block's shingles are indexed once. A pair that is in one component by then is passed
+    over, so that only links that join something leave the task.
     """
     placed = clusters.withColumnRenamed("comp", "cluster").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     per = placed.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
@@ -277,7 +277,7 @@ def _within_clusters(clusters: DataFrame, comp: DataFrame, sets: DataFrame, docs
             a, ca, sa, fa, b, cb, sb, fb = (t[c].to_pylist() for t in (left, right) for c in ("node", "comp", "sketch", "full"))
             sketches = np.frombuffer(b"".join(sb), np.uint64).reshape(len(b), -1)
             read = lambda x: np.frombuffer(x, np.uint64)
-            sizes = np.array([len(f) for f in fb])
+            sizes = np.array([len(f) // 8 for f in fb])
             up: dict[bytes, bytes] = {}
 
             def root(x: bytes) -> bytes:
@@ -285,14 +285,22 @@ def _within_clusters(clusters: DataFrame, comp: DataFrame, sets: DataFrame, docs
                     x = up[x]
                 return x
 
+            flat = np.concatenate([read(f) for f in fb])
+            order = np.argsort(flat, kind="stable")
+            flat, member = flat[order], np.repeat(np.arange(len(fb)), sizes)[order]  # which sets hold a shingle
             for node, c, s, f in sorted(zip(a, ca, sa, fa, strict=True)):
                 apart = np.bitwise_count(sketches ^ np.frombuffer(s, np.uint64)[None, :]).sum(1)
-                fit = (apart <= high) & (np.minimum(sizes, len(f)) * den >= np.maximum(sizes, len(f)) * num)
-                near = np.flatnonzero(fit)
+                if not (fit := apart <= high).any():
+                    continue
                 own = read(f)
-                for j in near[np.argsort(apart[near], kind="stable")].tolist():
+                first, last = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+                count = last - first
+                held = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                both = np.bincount(member[held], minlength=len(b))  # the full sets' intersections, all at once
+                linked = np.flatnonzero(fit & (den * both >= num * (len(own) + sizes - both)))
+                for j in linked[np.argsort(apart[linked], kind="stable")].tolist():
                     mine, theirs = root(c), root(cb[j])
-                    if mine != theirs and alike(own, read(fb[j]), similarity):
+                    if mine != theirs:
                         up[max(mine, theirs)] = min(mine, theirs)
                         out[0].append(node)
                         out[1].append(b[j])
