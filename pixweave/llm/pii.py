@@ -3,12 +3,14 @@
 An entity's canonical form (digits of a phone, lower-case address, name word by word) is ranked among all strings of
 its template and moved by a keyed permutation of that set, a Feistel network with cycle walking. So equal entities get
 equal surrogates in all documents and spellings, different ones get different surrogates, and no table is needed:
-letters stay letters of their script, digits digits, vowels of names vowels, listed given names stay listed names of
-the same gender, card numbers keep their kind of check digit, public addresses stay public.
+letters stay letters of their script, digits digits, vowels of names vowels, listed given names become other listed
+names of the same gender, card numbers keep their kind of check digit, public addresses stay public.
 
 What a permutation can't promise is that a surrogate isn't somebody else's original, or that two templates never
 meet. A distributed check joins all distinct surrogates with all distinct originals; who collides moves on with
-another tweak, until nobody does; short names and addresses whose format is used up become longer. Only these exceptions, a tiny part, are joined back to their documents.
+another tweak, until nobody does; short names and addresses whose format is used up become longer. Listed names are
+checked like all others; where too many names of a list are originals, they become unlisted ones of the same letters'
+kinds. Only the exceptions are joined back to their documents, a tiny part; listed ones, few by the lists' size, go to all.
 
 Edge cases: a null text stays null, an empty one empty, both without entities; texts of any length are read whole;
 repeated rows get the same text; null ids keep their rows; an empty table gives an empty result; other columns pass.
@@ -19,10 +21,10 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, text_batches, written
@@ -167,7 +169,10 @@ class Surrogates:
             return value[:keep] + self._string(f"phone{value[:keep]}", value[keep:], ["digit"] * (len(value) - keep), tweak)
         if kind.startswith("given") and (where := _LISTED.get(value)):
             names = GIVEN[where]
-            return names[self._move(f"given{where}", names.index(value), len(names), tweak)]
+            if not longer:
+                return self._other(f"given{where}", names, value, tweak)
+            value += value[0] * (longer - 1)
+            return self._string(f"given{where}", value, [_CLASS.get(c) for c in value], tweak)
         if kind.startswith(("given", "surname")):
             value += value[0] * longer
             return self._string(kind, value, [_CLASS.get(c) for c in value], tweak)
@@ -181,6 +186,13 @@ class Surrogates:
         out = self._string(f"{kind}{case}", low, kinds, tweak)
         return "".join(c.upper() if m == "A" else c for c, m in zip(out, case, strict=True))
 
+    def _other(self, name: str, names: list[str], value: str, tweak: int) -> str:
+        """The next name on a keyed cycle through all of the list: never the name itself."""
+        if (following := self.made.get((name, tweak))) is None:
+            cycle = sorted(names, key=lambda n: self._move(name, names.index(n), len(names), tweak))
+            following = self.made[name, tweak] = dict(zip(cycle, cycle[1:] + cycle[:1], strict=True))
+        return following[value]
+
     def _ip(self, value: str, tweak: int) -> str:
         ip = ipaddress.IPv4Address(value)
         for net in map(ipaddress.IPv4Network, ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "224.0.0.0/3", "0.0.0.0/8")):
@@ -293,6 +305,10 @@ def _entities(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("dk"), "text").mapInArrow(run, f"doc_id {kind}, dk long, kind string, value string")
 
 
+def _listed(names: Iterable[str] = tuple(_LISTED)) -> Column:
+    return F.col("kind").startswith("given") & F.col("value").isin(list(names))
+
+
 def tweaks(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, value, tweak): the entities whose first surrogate collides, with the tweak under which none does."""
     made: Surrogates = Surrogates(key)
@@ -302,15 +318,18 @@ def tweaks(entities: DataFrame, key: bytes = KEY) -> DataFrame:
 
     make = F.arrow_udf(surrogate, "string")
     family = F.regexp_extract("kind", "^[a-z]+", 0)  # given names of all genders are one family of surrogates
-    state = written(entities.select("kind", "value").distinct().withColumn("tweak", F.lit(0)), "pii-entities")
+    found = written(entities.select("kind", "value").distinct(), "pii-distinct")
+    taken = {r.value for r in found.filter(_listed()).select("value").distinct().collect()}
+    full = [n for names in GIVEN.values() if 2 * len(taken & set(names)) > len(names) for n in names]  # fewer names to spare than needed
+    state = written(found.withColumn("tweak", F.when(_listed(full), WIDEN).otherwise(0)), "pii-entities")
     originals = state.select(family.alias("f"), F.col("value").alias("v")).distinct()
     for _ in range(TRIES):
         x = written(state.withColumn("family", family).withColumn("surrogate", make("kind", "value", "tweak")), "pii-surrogates")
         theirs = x.join(originals, (F.col("family") == F.col("f")) & (F.col("surrogate") == F.col("v")), "left_semi").select("kind", "value")
         first = x.groupBy("family", "surrogate").agg(F.min(F.struct("tweak", "kind", "value")).alias("m"), F.count("*").alias("n")).filter("n > 1")
-        twice = x.join(first, ["family", "surrogate"]).filter(F.struct("tweak", "kind", "value") != F.col("m")).select("kind", "value")
-        listed = F.col("kind").startswith("given") & F.col("value").isin(list(_LISTED))  # a list has no names to spare
-        moved = written(theirs.unionByName(twice).distinct().filter(~listed).withColumn("again", F.lit(1)), "pii-moved")
+        same = _listed() & (F.col("value") == F.col("m.value"))  # a listed name is one name, whatever title it comes with
+        twice = x.join(first, ["family", "surrogate"]).filter((F.struct("tweak", "kind", "value") != F.col("m")) & ~same).select("kind", "value")
+        moved = written(theirs.unionByName(twice).distinct().withColumn("again", F.lit(1)), "pii-moved")
         if not moved.limit(1).count():
             return state.filter("tweak > 0")
         state = written(state.join(moved, ["kind", "value"], "left").select("kind", "value", (F.col("tweak") + F.coalesce("again", F.lit(0))).alias("tweak")), "pii-entities")
@@ -322,14 +341,15 @@ def surrogate_texts(docs: DataFrame, key: bytes = KEY, into: str = "pii") -> Dat
     text_batches(docs.sparkSession)
     entities = written(_entities(docs.select("doc_id", "text")), "pii-found")
     odd = written(tweaks(entities, key), "pii-odd")
-    per = entities.join(small(odd), ["kind", "value"]).groupBy("doc_id", "dk").agg(F.collect_set(F.struct("kind", "value", "tweak")).alias("_odd"))
+    everywhere = {(r.kind, r.value): r.tweak for r in odd.filter(_listed()).collect()}  # many documents hold them
+    per = entities.join(small(odd.filter(~_listed())), ["kind", "value"]).groupBy("doc_id", "dk").agg(F.collect_set(F.struct("kind", "value", "tweak")).alias("_odd"))
     per = written(per.select(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk"), "_odd"), "pii-exceptions")
     x = docs.join(small(per), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_dk")), "left")
 
     def run(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         make = Surrogates(key)
         for text, exceptions in texts:
-            rows = [replaced(t, make, {(o["kind"], o["value"]): o["tweak"] for o in odd or ()}) for t, odd in zip(text.to_pylist(), exceptions.to_pylist(), strict=True)]
+            rows = [replaced(t, make, everywhere | {(o["kind"], o["value"]): o["tweak"] for o in odd or ()}) for t, odd in zip(text.to_pylist(), exceptions.to_pylist(), strict=True)]
             ints = pa.list_(pa.int32())
             yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([[s[2] for s in r[1]] for r in rows], pa.list_(pa.string())), pa.array([[s[0] for s in r[1]] for r in rows], ints), pa.array([[s[1] for s in r[1]] for r in rows], ints)], ["text", "kinds", "starts", "ends"])
 

@@ -349,6 +349,30 @@ def test_pii(spark):
     assert pii.digest(df.limit(0)).count() == 0
 
 
+def test_no_key_keeps_a_listed_name():
+    for key in (pii.KEY, b"key", b"other"):
+        make = pii.Surrogates(key)
+        for where, names in pii.GIVEN.items():
+            for tweak in range(pii.WIDEN):
+                made = [make(f"given-{where[0]}-{where[1]}", n, tweak) for n in names]
+                assert sorted(made) == sorted(names) and all(a != b for a, b in zip(names, made, strict=True))
+
+
+def test_listed_names_collide_with_nobody(spark):
+    few, all_of = pii.GIVEN["m", "latin"][:4], pii.GIVEN["m", "cyrillic"]  # a list with names to spare, and one without
+    unlisted = ["Xaver", "Juri", "Sepp", "Bo", "Ansgar"]
+    rows = [(f"Mr {n.capitalize()} Smith", n) for n in few] + [(f"г-н {n.capitalize()} Кто", n) for n in all_of] + [(f"Mr {n} Smith", n.lower()) for n in unlisted]
+    rows += [("Ms Paul Smith", "paul"), ("Dr Paul Smith", "paul")]
+    out = {r.doc_id: r for r in pii.digest(docs(spark, [(i, t, "s") for i, (t, _) in enumerate(rows)])).collect()}
+    made = {}
+    for i, (_, n) in enumerate(rows):
+        new = out[i].text[out[i].starts[0] : out[i].ends[0]].lower()
+        assert out[i].kinds[0].startswith("given") and made.setdefault(n, new) == new
+    originals = {n for _, n in rows}
+    assert len(set(made.values())) == len(made) and not originals & set(made.values())
+    assert all(made[n] in pii.GIVEN["m", "latin"] for n in few)
+
+
 # 10
 
 
