@@ -210,6 +210,18 @@ def pagination_walk(spark, sf_dir):
     return paginate.walk(paginate.with_next(pages), starts, spark_dir=_scratch(spark)).select("run_id", "page_no", "url")
 
 
+def pagination_walk_all(spark, sf_dir):
+    """A run from every row of ``pages`` over the table's own pages; a link beyond them ends it, with found = false. No SQL; a test compares with brute force."""
+    n = F.col("page_id")
+    table = _table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(BASE), n.cast("string")).alias("url"))
+    pages = table.select("url", F.concat(F.lit('<a rel="next" href="'), F.when(n % 10 == 6, n - 3).otherwise(n + 1).cast("string"), F.lit('">x</a>')).alias("html"))
+    starts = table.select(n.cast("string").alias("run_id"), "url")
+    return paginate.walk(paginate.with_next(pages), starts, spark_dir=_scratch(spark)).select("run_id", "page_no", "url", "found")
+
+
+QUERIES["pagination_walk_all"] = pagination_walk_all
+
+
 def _scratch(spark: SparkSession) -> str:
     import tempfile
     import uuid

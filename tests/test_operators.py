@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixweave.operators import download, extract, landing, paginate
-from pixweave.plans import crawl, options
+from pixweave.plans import crawl, options, queries
 from pixweave.sources import html, http as web
 
 PAGE = "https://example.com/gallery/"
@@ -154,3 +154,19 @@ def test_stream(spark, tmp_path):
     q = incremental.write_candidates(incremental.read_pages(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_walk_from_every_page(spark, tmp_path):
+    ids = [*range(40), 52, 53]  # the table ends in the middle of a chain, and has gaps
+    spark.createDataFrame([(i, PAGE, "") for i in ids], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = set()
+    for start in ids:
+        n, seen = start, []
+        while n not in seen:
+            seen.append(n)
+            want.add((str(start), len(seen), queries.BASE + str(n), n in ids))
+            if n not in ids:
+                break
+            n = n - 3 if n % 10 == 6 else n + 1
+    got = [tuple(r) for r in queries.QUERIES["pagination_walk_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
