@@ -1,11 +1,13 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words and their first 4, 5 and 6 letters, so that inflected forms meet. A bounded sample of
-labelled rows gives the vocabulary (the terms that speak best for the toxic class), the document frequencies and the
-examples. The index holds for each term the weights of the examples, in blocks, and each block's largest weight. For
-a query the sums of these maxima bound every block; blocks are scored in falling order of their bounds until none can
-beat the k-th best cosine, so the neighbours are exact. Neighbours vote with weights that fall with distance; the vote
-is calibrated by the examples' own leave-one-out votes. The neighbours are returned as evidence.
+labelled rows gives the vocabulary (all of its terms, known by 64-bit marks), the document frequencies and the
+examples, all of them. Like examples form a block. The weights of terms that are frequent in a block are held densely,
+with each term's largest weight in the block; all others are postings (example, weight). For a batch of queries the
+postings are added up, and these sums and the largest weights bound every block; blocks are scored in falling order of
+their bounds until none can beat the k-th best cosine, so the neighbours are exact. Neighbours vote with weights that
+fall with distance; the vote is calibrated by the examples' own leave-one-out votes. The neighbours are returned as
+evidence.
 
 Edge cases: null and empty texts, and texts without a known term, get the sample's rate of toxic documents among texts
 without a known term; very long texts are read whole; repeated rows and null ids keep a row each; without labelled
@@ -14,7 +16,9 @@ rows every score is 0; an empty table gives an empty result; extra columns are p
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,13 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import text_batches, written
 
-#: Labelled rows that the model is fitted on, at most, and terms at most: the model's size doesn't grow with the data.
-SAMPLE, TERMS = 12_000, 768
-NEIGHBOURS, BLOCK, AT_ONCE = 15, 64, 4
-#: Examples that hold a term at least, and how many times likelier it is among toxic ones than among others.
-LEAST, RATIO = 5, 4.0
+#: Labelled rows that the model is fitted on, at most: the model's size doesn't grow with the data.
+SAMPLE = 12_000
+NEIGHBOURS, AT_ONCE = 15, 256
+#: Blocks of like examples, the terms that tell them apart, and the share of a block that makes a term frequent in it.
+BLOCKS, LIKE, OFTEN = 8, 512, 1 / 8
 #: Words remembered with their terms, at most.
 KNOWN = 100_000
+#: Bytes of the index that travel in a row.
+PART = 1 << 22
 BINS = 10
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -48,6 +54,15 @@ def term_counts(text: str | None) -> Counter:
     return out
 
 
+def mark(term: str) -> int:
+    return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start .. start + size - 1 of every span, one span after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -56,51 +71,142 @@ def held_out(doc_id: Column) -> Column:
 class Model:
     """Vocabulary, inverted index and calibration."""
 
-    terms: dict[str, int]
+    terms: np.ndarray  # marks, ascending
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
-    weights: np.ndarray  # term x block x place
+    starts: np.ndarray  # of each term and one past the last: its first posting
+    example: np.ndarray  # of each posting, as is the next
+    weight: np.ndarray
+    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # examples; frequent terms; their largest weights; all, term x example
     base: float = 0.0
     curve: np.ndarray = field(default_factory=lambda: (np.arange(BINS) + 0.5) / BINS)
-
-    def __post_init__(self):
-        self.most = self.weights.max(2) if self.weights.size else self.weights.sum(2)
-        self.known: dict[str, tuple[int, ...]] = {}
+    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    columns: list[np.ndarray] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, toxic: np.ndarray, marks: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> Model:
+        """The index of examples with ``sizes`` terms each, whose marks and counts follow each other."""
+        n = len(ids)
+        order = np.argsort(marks, kind="stable")
+        marks = marks[order]
+        example = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+        weight = (1 + np.log(counts[order].astype(np.float32))).astype(np.float32)
+        del order
+        starts = np.flatnonzero(np.concatenate([np.ones(min(len(marks), 1), bool), marks[1:] != marks[:-1]]))
+        held = np.diff(np.append(starts, len(marks)))
+        terms, idf = marks[starts], 1 + np.log(n / held)
+        del marks
+        weight *= np.repeat(idf.astype(np.float32), held)
+        weight /= np.sqrt(np.maximum(np.bincount(example, weight.astype(np.float64) ** 2, n), 1e-24)).astype(np.float32)[example]
+        term = np.repeat(np.arange(len(terms), dtype=np.int32), held)
+        blocks, rest = [], np.ones(len(term), bool)
+        near = cls._alike(n, term, example, weight, held)
+        for b in range(BLOCKS):
+            own = np.flatnonzero(near == b)
+            inside = near[example] == b
+            often = np.flatnonzero(np.bincount(term[inside], minlength=len(terms)) >= max(OFTEN * len(own), 8))
+            column, row = np.full(len(terms), -1, np.int32), np.full(n, -1, np.int32)
+            column[often], row[own] = np.arange(len(often)), np.arange(len(own))
+            dense = inside & (column[term] >= 0)
+            weights = np.zeros((len(often), len(own)), np.float32)
+            weights[column[term[dense]], row[example[dense]]] = weight[dense]
+            rest &= ~dense
+            if len(own):
+                blocks.append((own, often, weights.max(1), weights))
+        starts = np.append(0, np.cumsum(np.bincount(term[rest], minlength=len(terms))))
+        bare = sizes == 0  # texts without a term
+        base = (float(toxic[bare].sum()) + 0.01) / (float(bare.sum()) + 1)
+        return cls(terms, idf, ids, toxic, starts, example[rest], weight[rest], blocks, base)
+
+    @staticmethod
+    def _alike(n: int, term: np.ndarray, example: np.ndarray, weight: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Each example's block, by a few rounds of spherical k-means over the commonest terms. It decides speed, not results."""
+        column = np.full(len(held), -1, np.int32)
+        column[np.argsort(-held, kind="stable")[:LIKE]] = np.arange(min(LIKE, len(held)))
+        x, at = np.zeros((n, LIKE), np.float32), column[term] >= 0
+        x[example[at], column[term[at]]] = weight[at]
+        middle = x[np.linspace(0, max(n - 1, 0), BLOCKS).astype(int)] if n else x
+        near = np.zeros(n, np.int64)
+        for _ in range(5 if n else 0):
+            near = (x @ middle.T).argmax(1)
+            sums = np.stack([x[near == b].sum(0) for b in range(BLOCKS)])
+            middle = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        return near
+
+    @property
+    def weights(self) -> np.ndarray:
+        """The index as a dense array, term x example; only for small models."""
+        out = np.zeros((len(self.terms), len(self.ids)), np.float32)
+        out[np.repeat(np.arange(len(self.terms)), np.diff(self.starts)), self.example] = self.weight
+        for own, often, _, weights in self.blocks:
+            out[np.ix_(often, own)] += weights
+        return out
+
+    def places(self, marks: list[int]) -> list[int]:
+        """The terms with these marks; -1 for one that no example holds."""
+        if not len(self.terms):
+            return [-1] * len(marks)
+        at = np.searchsorted(self.terms, marks).clip(max=len(self.terms) - 1)
+        return np.where(self.terms[at] == marks, at, -1).tolist()
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms and their weights, of length 1."""
-        known, found = self.known, {}
-        for word, n in Counter(WORD.findall((text or "").lower())).items():
-            at = known.get(word)
-            if at is None:
-                if len(known) > KNOWN:
-                    known.clear()
-                at = known[word] = tuple({self.terms[t] for t in (word, *(word[:p] for p in PREFIXES)) if t in self.terms})
-            for t in at:
+        counts, found = Counter(WORD.findall((text or "").lower())), {}
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        known = self.known
+        if new := [word for word in counts if word not in known]:
+            of = [[*{word, *(word[:p] for p in PREFIXES)}] for word in new]
+            at = iter(self.places([mark(t) for ts in of for t in ts]))
+            for word, ts in zip(new, of, strict=True):
+                known[word] = tuple(i for i in (next(at) for _ in ts) if i >= 0)
+        for word, n in counts.items():
+            for t in known[word]:
                 found[t] = found.get(t, 0) + n
         return self.weighted(found)
 
     def weighted(self, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(sorted(found), np.int64)
-        w = np.array([1 + math.log(found[t]) for t in at.tolist()]) * self.idf[at] if len(at) else np.zeros(0)
+        w = (1 + np.log(np.array([found[t] for t in at.tolist()]))) * self.idf[at] if len(at) else np.zeros(0)
         return at, w / max(math.sqrt((w * w).sum()), 1e-12)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k examples of the largest cosine above 0, largest first, ties to the first example."""
-        bound = w @ self.most[at] * (1 + 1e-6)
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        for i in range(0, len(order), AT_ONCE):
-            if bound[order[i]] <= 0 or len(best) == k and bound[order[i]] < best[-1][0]:
-                break
-            blocks = order[i : i + AT_ONCE]
-            s = np.tensordot(w, self.weights[at][:, blocks], 1)
-            ids = blocks[:, None] * BLOCK + np.arange(BLOCK)[None, :]
-            bar = best[-1][0] if len(best) == k else 0.0
-            hit = (s >= bar) & (s > 0)
-            if hit.any():
-                best = sorted([*best, *zip(s[hit].tolist(), ids[hit].tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
+        return self.search([(at, w)], k)[0]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """``nearest`` of each query."""
+        best: list[list[tuple[float, int]]] = [[] for _ in queries]
+        if not self.blocks:
+            return best
+        if not self.columns:
+            for _, often, _, _ in self.blocks:
+                self.columns.append(np.full(len(self.terms), -1, np.int16 if len(often) < 1 << 15 else np.int32))
+                self.columns[-1][often] = np.arange(len(often))
+        rest = np.zeros((len(queries), len(self.ids)), np.float32)
+        dense = [np.zeros((len(queries), len(often)), np.float32) for _, often, _, _ in self.blocks]
+        for i, (at, w) in enumerate(queries):
+            sizes = self.starts[at + 1] - self.starts[at]
+            posting = spans(self.starts[at], sizes)
+            rest[i] = np.bincount(self.example[posting], np.repeat(w, sizes) * self.weight[posting], len(self.ids))
+            for column, d in zip(self.columns, dense, strict=True):
+                c = column[at]
+                d[i, c[c >= 0]] = w[c >= 0]
+        parts = [rest[:, own] for own, *_ in self.blocks]
+        bound = np.stack([p.max(1) + d @ most for p, d, (_, _, most, _) in zip(parts, dense, self.blocks, strict=True)], 1) * (1 + 1e-5)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        for turn in range(len(self.blocks)):
+            for b, (own, _, _, weights) in enumerate(self.blocks):
+                floor = [x[-1][0] if len(x) == k else 0.0 for x in best]
+                rows = [i for i in np.flatnonzero(order[:, turn] == b).tolist() if bound[i, b] > 0 and bound[i, b] >= floor[i]]
+                if not rows:
+                    continue
+                cosines = parts[b][rows] + dense[b][rows] @ weights
+                for i, s in zip(rows, cosines, strict=True):
+                    bar = max(floor[i], float(np.partition(s, -k)[-k]) if len(s) > k else 0.0)
+                    hit = np.flatnonzero((s > 0) & (s >= bar))
+                    best[i] = sorted([*best[i], *zip(s[hit].tolist(), own[hit].tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
         return best
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -110,23 +216,14 @@ class Model:
     def calibrated(self, vote: float) -> float:
         return float(np.interp(vote, (np.arange(BINS) + 0.5) / BINS, self.curve))
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """The score, and the ids and cosines of the examples that it comes from."""
-        at, w = self.vector(text)
-        near = self.nearest(at, w, NEIGHBOURS) if len(at) and len(self.ids) else []
-        if not near:
-            return self.base, [], []
-        return self.calibrated(self.vote(near)), [int(self.ids[i]) for _, i in near], [s for s, _ in near]
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int], list[float]]]:
+        """Each text's score, and the ids and cosines of the examples that it comes from."""
+        for i in range(0, len(texts), AT_ONCE):
+            for near in self.search([self.vector(t) for t in texts[i : i + AT_ONCE]], NEIGHBOURS):
+                yield (self.calibrated(self.vote(near)), [int(self.ids[i]) for _, i in near], [s for s, _ in near]) if near else (self.base, [], [])
 
-    def calibrate(self) -> None:
+    def calibrate(self, votes: list[tuple[float, bool]]) -> None:
         """Set the curve from leave-one-out votes: each bin's rate of toxic examples, never falling."""
-        votes = []
-        flat = self.weights.reshape(len(self.weights), -1)
-        for i in range(len(self.ids)):
-            at = np.flatnonzero(flat[:, i])
-            near = [x for x in self.nearest(at, flat[at, i], NEIGHBOURS + 1) if x[1] != i][:NEIGHBOURS]
-            if near:
-                votes.append((self.vote(near), bool(self.toxic[i])))
         middle = (np.arange(BINS) + 0.5) / BINS
         rates = []
         for b in range(BINS):
@@ -141,39 +238,55 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     text_batches(spark)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample))
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text")
+    rows = written(texts.dropDuplicates(["doc_id"]), "toxicity-sample")  # texts are shorter than their lists of terms
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: dict[str, int] = {}
+        found = []
+        for b in batches:
+            for name, toxic, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                counts = term_counts(text)
+                if len(marks) > KNOWN:
+                    marks.clear()
+                for t in counts:
+                    if t not in marks:
+                        marks[t] = mark(t)
+                found.append((toxic, name, np.array([marks[t] for t in counts], np.int64), np.array(list(counts.values()), np.int32)))
+        found.sort(key=lambda x: x[:2])
+        ids = np.array([int(x[1]) if x[1].lstrip("-").isdigit() else -1 for x in found], np.int64)
+        toxic, names, sizes = np.array([x[0] == 1 for x in found], bool), {x[1]: i for i, x in enumerate(found)}, np.array([len(x[2]) for x in found], np.int64)
+        every, counts = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]) for i in (2, 3))
+        del found, marks
+        raw = pickle.dumps((Model.of(ids, toxic, every, sizes, counts), names), 5)
+        for i in range(0, len(raw), PART):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([raw[i : i + PART]], pa.binary())], ["at", "raw"])
+
+    # One task makes the index of the bounded sample; the driver gets it as it is sent on.
+    parts = sorted(rows.coalesce(1).mapInArrow(built, "at long, raw binary").collect())
+    model, names = pickle.loads(b"".join(p.raw for p in parts)) if parts else (None, {})
+    del parts
+    if not names:
+        none = np.zeros(0, np.int64)
+        model = Model.of(none, none == 1, none, none, none)
+        model.base = 0.0
+        return model
+    sent = spark.sparkContext.broadcast((model, names))
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, number = sent.value
         for b in batches:
-            counts = [term_counts(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in b.column(0).to_pylist()]), b.column(2).cast(pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
-
-    rows = written(texts.mapInArrow(counted, "doc_id string, toxic int, terms array<string>, counts array<int>").dropDuplicates(["doc_id"]), "toxicity-sample")
-    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not n:
-        return Model({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, 0, BLOCK)))
-    by_term = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
-    p, q = F.col("bad") / max(pos, 1), (F.col("n") - F.col("bad")) / max(n - pos, 1)
-    apart = (F.abs(p - q) / F.sqrt((p + q) / min(max(pos, 1), max(n - pos, 1)))).alias("apart")
-    tells = p >= RATIO * q
-    best = by_term.filter(F.col("n") >= LEAST).filter(tells).select("term", "n", apart).orderBy(F.desc("apart"), "term").limit(TERMS).collect()
-    terms = {r.term: i for i, r in enumerate(best)}
-    idf = np.array([1 + math.log(n / r.n) for r in best])
-    table = F.broadcast(spark.createDataFrame(list(terms.items()), "term string, at int")) if terms else None
-    if table is None:
-        return Model({}, idf, np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, 0, BLOCK)), pos / n)
-    held = rows.select("doc_id", "toxic", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("doc_id", "toxic", F.col("x.terms").alias("term"), F.col("x.counts").alias("count"))
-    examples = held.join(table, "term").groupBy("doc_id", "toxic").agg(F.collect_list(F.struct("at", "count")).alias("found")).orderBy("toxic", "doc_id").collect()
-    blocks = -(-len(examples) // BLOCK)
-    weights = np.zeros((len(terms), blocks * BLOCK), np.float32)
-    ids = np.array([int(r.doc_id) if r.doc_id.lstrip("-").isdigit() else -1 for r in examples], np.int64)
-    model = Model(terms, idf, ids, np.array([r.toxic == 1 for r in examples]), weights.reshape(len(terms), blocks, BLOCK))
-    for i, r in enumerate(examples):
-        at, w = model.weighted({x["at"]: x["count"] for x in r.found})
-        weights[at, i] = w  # in single precision, for the memory of executors
-    bad = int(sum(r.toxic for r in examples))
-    model = Model(terms, idf, ids, model.toxic, weights.reshape(len(terms), blocks, BLOCK), (pos - bad + 0.01) / (n - len(examples) + 1))
-    model.calibrate()
+            ids, texts, votes = b.column(0).to_pylist(), b.column(2).to_pylist(), []
+            for i in range(0, len(texts), AT_ONCE):
+                found = m.search([m.vector(t) for t in texts[i : i + AT_ONCE]], NEIGHBOURS + 1)
+                for name, near in zip(ids[i : i + AT_ONCE], found, strict=True):
+                    near = [x for x in near if x[1] != number[name]][:NEIGHBOURS]
+                    votes.append(m.vote(near) if near else None)
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column(1)], ["vote", "toxic"])
+
+    votes = rows.mapInArrow(voted, "vote double, toxic int")
+    model.calibrate([(r.vote, r.toxic == 1) for r in votes.filter("vote is not null").collect()])
+    sent.destroy()
     return model
 
 
@@ -186,7 +299,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "toxici
     def scored(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
         for part in column:
-            rows = [m.score(x.as_py()) for x in part]
+            rows = list(m.scores(part.to_pylist()))
             yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["score", "neighbours", "cosines"])
 
     return docs.withColumn(into, scored(text))

@@ -273,6 +273,26 @@ def test_block_max_search_is_exact(spark):
         assert np.allclose([x for x, _ in model.nearest(at, w, 15)], [-x for x, _ in want])
 
 
+def test_neighbours_by_all_terms(spark):
+    rows = toxic_corpus()
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(spark, [(i, t, "s") for i, t, _ in rows]), labels)
+    train = [(i, toxicity.term_counts(t)) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    held = collections.Counter(t for _, c in train for t in c)
+    assert sorted(model.ids.tolist()) == [i for i, _ in train] and len(model.terms) == len(held)
+
+    def vector(counts):
+        w = {t: (1 + math.log(n)) * (1 + math.log(len(train) / held[t])) for t, n in counts.items() if t in held}
+        return {t: x / math.sqrt(sum(y * y for y in w.values())) for t, x in w.items()}
+
+    examples = {i: vector(c) for i, c in train}
+    tested = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0][:30]
+    for text, (_, ids, cosines) in zip(tested, model.scores(tested), strict=True):
+        q = vector(toxicity.term_counts(text))
+        exact = {i: sum(x * e.get(t, 0.0) for t, x in q.items()) for i, e in examples.items()}
+        assert np.allclose(cosines, sorted(exact.values(), reverse=True)[:15], atol=1e-5) and np.allclose(cosines, [exact[i] for i in ids], atol=1e-5)
+
+
 # 7
 
 
