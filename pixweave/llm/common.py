@@ -2,43 +2,72 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only after its rows have been counted and found to be at most this many.
 BROADCAST_ROWS = 20_000
+#: Rows with texts that a Python worker gets at a time: thousands of long texts don't fit beside each other.
+BATCH = 1000
 
-_written: list[str] = []
+_written: dict[str, None] = {}
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The folder that the session names in ``spark.checkpoint.dir``; a folder of our own only where it is unset.
+
+    A folder of our own is on this machine, which only a local session can share with its tasks: elsewhere it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="pixweave-"))
         path = _own[0]
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and outlives lost executors."""
+def written(df: DataFrame, name: str, count: Column | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and outlives lost executors.
+
+    The result's ``counted`` is the number of rows (or of those for which ``count`` is true), taken by the same job.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count_if(F.lit(True) if count is None else count).alias("n")).write.parquet(path)
+    _written[path] = None
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch, back.counted = path, seen.get["n"]
+    return back
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more."""
+    for table_ in tables:
+        path = getattr(table_, "scratch", None)
+        if path in _written:
+            del _written[path]
+            _delete(table_.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every scratch table of this driver. Call it once the results have been stored."""
+    """Delete every scratch table of this driver that is left. Call it once the results have been stored."""
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.popitem()[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -46,11 +75,48 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).collect()) <= limit else df
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send Python workers at most ``rows`` texts at a time from now on: thousands of long texts don't fit beside each other."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
-        spark.conf.set(name, str(rows))
+#: Words of 64 bits in the bitmap of ``likely``: 1 MB, whatever the size of the data.
+BITMAP = 1 << 17
+
+
+def likely(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The rows of ``df`` whose hash ``key`` may be among the hashes ``wanted_key`` of ``wanted``, with few others.
+
+    A filter before a join of long rows with few short ones: a bitmap of fixed size with a bit for each hash, sent to
+    all tasks. As ``wanted`` outgrows it more rows pass, and the join after it sees to what is right.
+    """
+    word, bit = (lambda h: F.pmod(F.shiftright(h, 6), F.lit(BITMAP))), (lambda h: h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    bits = wanted.select(wanted_key.alias("h")).select(word(F.col("h")).alias("_word"), bit(F.col("h")).alias("at"))
+    bits = bits.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("_bits"))
+    x = df.withColumn("_hash", key).withColumn("_word", word(F.col("_hash"))).join(F.broadcast(bits), "_word")
+    return x.filter(F.getbit("_bits", bit(F.col("_hash"))) == 1).drop("_hash", "_word", "_bits")
+
+
+def in_small_batches(operator):
+    """While ``operator`` (whose first argument is a DataFrame) runs, Python workers get at most BATCH rows at a time.
+
+    For operators that run their jobs before they return; the session's own setting holds again afterwards.
+    """
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options):
+        conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        held = conf.get(name)
+        if not 0 < int(held) <= BATCH:
+            conf.set(name, str(BATCH))
+        try:
+            return operator(docs, *args, **options)
+        finally:
+            conf.set(name, held)
+
+    return run
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """The batches, which Spark bounds in bytes (64 MB unless set), in smaller parts: few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, text_batches, written
+from .common import in_small_batches, small, written
 
 #: Tweaks that are tried before a template of letters is made longer, and tries in all.
 WIDEN, TRIES = 6, 200
@@ -336,9 +336,9 @@ def tweaks(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     raise ValueError("a format has more entities than distinct surrogates")
 
 
+@in_small_batches
 def surrogate_texts(docs: DataFrame, key: bytes = KEY, into: str = "pii") -> DataFrame:
     """``docs`` with a struct column: text (the new one), kinds, starts and ends (of the entities in the new text)."""
-    text_batches(docs.sparkSession)
     entities = written(_entities(docs.select("doc_id", "text")), "pii-found")
     odd = written(tweaks(entities, key), "pii-odd")
     everywhere = {(r.kind, r.value): r.tweak for r in odd.filter(_listed()).collect()}  # many documents hold them

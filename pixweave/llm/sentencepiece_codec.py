@@ -22,7 +22,6 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import text_batches
 
 SPACE = "\u2581".encode()
 
@@ -197,7 +196,6 @@ def codec_of(model: bytes) -> Codec:
 
 
 def _mapped(docs: DataFrame, model_path: str, row, schema: T.StructType) -> DataFrame:
-    text_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     kinds = {T.LongType: pa.int64(), T.StringType: pa.string(), T.ArrayType: pa.list_(pa.int32())}
