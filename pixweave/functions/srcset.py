@@ -61,9 +61,20 @@ def ordered(found: list[dict]) -> list[dict]:
     return [found[i] for i in order]
 
 
+_KIND = pa.list_(pa.struct([("url", pa.string()), ("width", pa.int64()), ("density", pa.float64()), ("descriptor", pa.string())]))
+
+
 def _column(texts: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("url", pa.string()), ("width", pa.int64()), ("density", pa.float64()), ("descriptor", pa.string())]))
-    return pa.array([None if t is None else ordered(parse(t)) for t in texts.to_pylist()], kind)
+    return pa.array([None if t is None else ordered(parse(t)) for t in texts.to_pylist()], _KIND)
+
+
+def _plain(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else parse(t) for t in texts.to_pylist()], _KIND)
+
+
+def srcset_entries(text: Column | str) -> Column:
+    """The entries of a srcset in document order."""
+    return F.arrow_udf(_plain, TYPE)(text)
 
 
 def parse_srcset(text: Column | str) -> Column:
@@ -73,7 +84,15 @@ def parse_srcset(text: Column | str) -> Column:
 
 def best_entry(found: Column | str) -> Column:
     """Of entries in document order the widest; without widths the densest, the first among equals; without both the last."""
-    c = F.col(found) if isinstance(found, str) else found
-    by = lambda f: F.filter(c, lambda e: e[f] == F.array_max(F.transform(c, lambda x: x[f])))[0]
-    widths, densities = (F.exists(c, lambda e, f=f: e[f] > 0) for f in ("width", "density"))
-    return F.when(F.size(c) > 0, F.when(widths, by("width")).when(densities, by("density")).otherwise(F.element_at(c, -1)))
+    entries_ = F.col(found) if isinstance(found, str) else found
+
+    def most(name: str) -> Column:
+        """The largest width or density, null where none is above 0."""
+        top = F.array_max(F.transform(entries_, lambda e: e[name]))
+        return F.when(top > 0, top)
+
+    def first(name: str) -> Column:
+        return F.get(F.filter(entries_, lambda e: e[name] == most(name)), F.lit(0))
+
+    last = F.when(F.size(entries_) > 0, F.element_at(entries_, -1))
+    return F.when(most("width").isNotNull(), first("width")).when(most("density").isNotNull(), first("density")).otherwise(last)

@@ -1,9 +1,10 @@
 """From ranked candidates to files: fallback chains, duplicates by URL and by content, names, and totals.
 
-A run is defined as its serial order (page_no, slot_idx, cand_idx). Whether a candidate is tried depends on all slots
-before it, so ``process`` folds each run's short rows in order, runs in parallel; bodies never enter the fold, all
-that is read from them is computed before by column expressions. ``first_urls`` and ``first_contents`` are the
-set-based forms for outcomes that are known beforehand.
+A run is defined as its serial order (page_no, slot_idx, cand_idx). Whether a candidate is tried depends on earlier
+slots only where they share a URL, a content or a file name with it. ``process`` folds the short rows of such slots in
+order, run by run, and settles all others by one aggregation; bodies never enter the fold, all that is read from them
+is computed before by column expressions. ``first_urls`` and ``first_contents`` are the set-based forms for outcomes
+that are known beforehand.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import names, urls
 from ..functions.images import image_info
 from ..sources.http import MAX_IMAGE
+from ..sources.scratch import stored
 
 ORDER = ["page_no", "slot_idx", "cand_idx"]
 RESULT = "run_id string, page_no int, slot_idx int, cand_idx int, resolved_url string, status string, reason string, filename string, sha256 string, width long, height long"
@@ -36,6 +38,13 @@ def first_contents(rows: DataFrame, key: list[str], content: Column, order: list
     return first_urls(rows.withColumn("sha256", F.sha2(content, 256)), key, "sha256", order)
 
 
+def url_seen(rows: DataFrame, known: DataFrame, url: str, known_url: str | None = None) -> DataFrame:
+    """``rows`` with seen: whether ``known`` holds the row's URL. A null URL hasn't been seen."""
+    there = known.select(F.col(known_url or url).alias("_known")).filter("_known is not null").distinct().withColumn("_seen", F.lit(True))
+    x = rows.join(there, rows[url] == there["_known"], "left")
+    return x.select(*(rows[c] for c in rows.columns), F.coalesce("_seen", F.lit(False)).alias("seen"))
+
+
 def keeps_size(width: Column, height: Column, limit: int) -> Column:
     """The longer side has ``limit`` pixels at least; 0 keeps all."""
     return F.lit(True) if limit <= 0 else F.greatest(width, height) >= limit
@@ -74,7 +83,10 @@ class Names:
 
 
 def fold(rows: list[dict], taken: set[str] | None = None) -> list[dict]:
-    """One run's slots in order: the last try of each, which is its first success or duplicate if it has one."""
+    """One run's slots in order: the last try of each, which is its first success or duplicate if it has one.
+
+    A file that can't be saved (``unsaved`` says why) is an error; its content counts as new again, its name stays used.
+    """
     seen, contents, names_, out = set(), {}, Names(taken), {}
     closed: set[tuple] = set()
     for r in sorted(rows, key=lambda r: tuple(r[c] for c in ORDER)):
@@ -87,7 +99,11 @@ def fold(rows: list[dict], taken: set[str] | None = None) -> list[dict]:
         elif r["outcome"] != "Error" and r["sha256"] in contents:
             res |= {"status": "Duplicate", "reason": f"identical content to {contents[r['sha256']]}"}
         elif r["outcome"] == "Downloaded":
-            contents[r["sha256"]] = res["filename"] = names_.allocate(r["base_name"])
+            name = names_.allocate(r["base_name"])
+            if r.get("unsaved"):
+                res |= {"status": "Error", "reason": r["unsaved"]}
+            else:
+                contents[r["sha256"]] = res["filename"] = name
         seen.add(r["resolved_url"])
         if res["status"] in ("Downloaded", "Duplicate"):
             closed.add(slot)
@@ -95,17 +111,50 @@ def fold(rows: list[dict], taken: set[str] | None = None) -> list[dict]:
     return list(out.values())
 
 
-def process(tried: DataFrame) -> DataFrame:
-    """A row per slot from rows of ``outcomes``: status, reason, filename, sha256, size. One task at a time holds one run's short rows."""
-    names_ = [c.split()[0] for c in RESULT.split(", ")]
-    columns = ["run_id", *ORDER, "resolved_url", "outcome", "reason", "sha256", "width", "height", "base_name"]
+SLOT = ["run_id", "page_no", "slot_idx"]
+
 
-    def run(table: pa.Table) -> pa.Table:
-        found = fold(table.to_pylist())
+def entangled(tried: DataFrame) -> DataFrame:
+    """(run_id, page_no, slot_idx) of slots that share a URL, a content or a family of file names with another slot of the run.
+
+    A family is the name without numbers that may have been added, so that a slot's own name can't be another's numbered one.
+    """
+    family = F.regexp_replace("base_name", r"(?:_[0-9]+)+(\.[^.]*)?$", "$1")
+    keys = F.array(
+        F.struct(F.lit("url").alias("kind"), F.col("resolved_url").alias("value")),
+        F.struct(F.lit("content").alias("kind"), F.when(F.col("outcome") != "Error", F.col("sha256")).alias("value")),
+        F.struct(F.lit("name").alias("kind"), family.alias("value")),
+    )
+    x = tried.select(*SLOT, F.explode(keys).alias("k")).select(*SLOT, "k.*").filter("value is not null").distinct()
+    shared = stored(x.groupBy("run_id", "kind", "value").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "run-shared")
+    return stored(x.join(shared, ["run_id", "kind", "value"], "left_semi").select(*SLOT).distinct(), "run-entangled")
+
+
+def process(tried: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """A row per slot from rows of ``outcomes``: status, reason, filename, sha256, size.
+
+    ``taken`` (run_id, filename) are names that are on disk already. One task at a time holds one run's slots that hang
+    together and its taken names.
+    """
+    names_ = [c.split()[0] for c in RESULT.split(", ")]
+    columns = ["run_id", *ORDER, "resolved_url", "outcome", "reason", "sha256", "width", "height", "base_name", "unsaved"]
+    x = tried if "unsaved" in tried.columns else tried.withColumn("unsaved", F.lit(None).cast("string"))
+    x = stored(x.select(F.col("run_id").cast("string").alias("run_id"), *columns[1:]), "run-tried")
+    known = (taken if taken is not None else x.select("run_id", F.col("base_name").alias("filename")).limit(0)).select(F.col("run_id").cast("string").alias("run_id"), "filename")
+    bound = entangled(x) if taken is None else x.select(*SLOT).distinct()
+
+    def run(rows: pa.Table, disk: pa.Table) -> pa.Table:
+        found = fold(rows.to_pylist(), set(disk["filename"].to_pylist()))
         kinds = {"page_no": pa.int32(), "slot_idx": pa.int32(), "cand_idx": pa.int32(), "width": pa.int64(), "height": pa.int64()}
         return pa.table([pa.array([r[n] for r in found], kinds.get(n, pa.string())) for n in names_], names_)
 
-    return tried.select(F.col("run_id").cast("string").alias("run_id"), *columns[1:]).groupBy("run_id").applyInArrow(run, RESULT)
+    serial = x.join(bound, SLOT, "left_semi").groupBy("run_id").cogroup(known.groupBy("run_id")).applyInArrow(run, RESULT)
+    good = F.col("outcome").isin("Downloaded") & F.col("unsaved").isNull()
+    row = F.struct("cand_idx", "resolved_url", "outcome", "reason", "sha256", "width", "height", "base_name", "unsaved")
+    alone = x.join(bound, SLOT, "left_anti").groupBy(*SLOT).agg(F.coalesce(F.min(F.when(good, row)), F.max(row)).alias("r")).select(*SLOT, "r.*")
+    status = F.when(F.col("unsaved").isNotNull() & (F.col("outcome") == "Downloaded"), "Error").otherwise(F.col("outcome"))
+    alone = alone.select(*SLOT, "cand_idx", "resolved_url", status.alias("status"), F.coalesce(F.when(status != F.col("outcome"), F.col("unsaved")), "reason").alias("reason"), F.when(status == "Downloaded", F.col("base_name")).alias("filename"), "sha256", "width", "height")
+    return serial.unionByName(alone)
 
 
 def fallback(tries: DataFrame, key: list[str], order: str, status: str = "status") -> DataFrame:

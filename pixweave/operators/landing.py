@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.images import is_raster_type
 from ..functions.tokens import tokens_of
 from ..functions.urls import url_parts
+from ..sources.scratch import stored
 from . import extract
 
 #: Bytes of a landing page at most; priority of a promoted candidate; priority from which candidates are indexed.
@@ -74,16 +75,43 @@ def direct(slots: DataFrame, pages: DataFrame, key: list[str] = KEY) -> DataFram
     return slots.join(pages.filter("direct"), "landing_url").select(*key, F.col("landing_url").alias("raw_url"), F.col("effective").alias("resolved_url"), F.lit(None).cast("string").alias("descriptor"))
 
 
+def readers(slots: DataFrame, found: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """The key of each slot whose landing page is read: no page that an earlier slot of the run had read answers it.
+
+    Slots come up in the order of the key. A page is answered for by the candidates of priority 70 or more, by their
+    tokens. Whether a slot reads depends on the earlier ones, so it is settled in rounds, for all runs at once: a slot
+    whose token a page holds that surely was read earlier is answered; one that no earlier slot still in question
+    could answer reads. Both are minima per run and token. The first open slot of a run is settled in every round, and
+    all that don't hang on each other with it.
+    """
+    run, place = key[0], F.struct(*(F.col(k) for k in key[1:]))
+    asked = stored(slot_tokens(slots, key).select(run, place.alias("place"), "landing_url", "token"), "landing-tokens")
+    held = found.filter(F.col("priority") >= INDEXED).select("landing_url", F.explode(tokens_of(url_parts("resolved_url"))).alias("token")).distinct()
+    offered = stored(slots.select(run, place.alias("place"), "landing_url").join(held, "landing_url").select(run, "place", "token"), "landing-offers")
+    state = stored(slots.select(run, place.alias("place"), F.lit(None).cast("boolean").alias("reads")), "landing-state")
+    while True:
+        able = offered.join(state.filter("reads is null or reads"), [run, "place"])
+        first = able.groupBy(run, "token").agg(F.min("place").alias("may"), F.min(F.when(F.col("reads"), F.col("place"))).alias("has"))
+        first = stored(first, "landing-first")
+        x = asked.join(state.filter("reads is null").select(run, "place"), [run, "place"]).join(first, [run, "token"], "left")
+        settled = x.groupBy(run, "place").agg(F.bool_or(F.coalesce(F.col("has") < F.col("place"), F.lit(False))).alias("hit"), F.bool_and(F.coalesce(F.col("may") >= F.col("place"), F.lit(True))).alias("free"))
+        new = state.join(settled, [run, "place"], "left")
+        # Slots without any token ask nothing of the index: they read at once.
+        reads = F.coalesce("reads", F.when(F.col("hit"), False).when(F.col("free") | F.col("free").isNull(), True))
+        state = stored(new.select(run, "place", reads.alias("reads")), "landing-state", F.col("reads").isNull())
+        if not state.counted:
+            return state.filter("reads").select(run, "place.*")
+
+
 def indexed(slots: DataFrame, found: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """(key, raw_url, resolved_url, descriptor): slots answered by a landing page that an earlier slot of the run led to.
+    """(key, raw_url, resolved_url, descriptor): slots answered by a landing page that an earlier slot of the run had read.
 
-    A page is read when the first slot that leads to it comes up, unless an earlier page answers that slot. Whether it
-    is read depends on all slots before it; here every eligible page counts as read by its first slot. A slot takes the
-    hit of its least token, an index entry the first candidate of priority 70 or more, in the order of reading.
+    A slot takes the hit of its least token, an index entry the first candidate of priority 70 or more, in the order of
+    reading.
     """
-    run = key[0]
-    place = F.struct(*(F.col(k) for k in key[1:]))
-    read = slots.groupBy(run, "landing_url").agg(F.min(place).alias("read"))
+    run, place = key[0], F.struct(*(F.col(k) for k in key[1:]))
+    reading = slots.join(readers(slots, found, key), key, "left_semi")
+    read = reading.groupBy(run, "landing_url").agg(F.min(place).alias("read"))
     entries = read.join(found.filter(F.col("priority") >= INDEXED), "landing_url")
     entries = entries.select(run, "read", "seq", "raw_url", "resolved_url", "descriptor", F.explode(tokens_of(url_parts("resolved_url"))).alias("token"))
     first = entries.groupBy(run, "token").agg(F.min(F.struct("read", "seq", "raw_url", "resolved_url", "descriptor")).alias("e"))
@@ -95,7 +123,8 @@ def resolve(slots: DataFrame, responses: DataFrame, use_index: bool = True, page
     """``slots`` with the landing page's original in front of the candidates of those that have one."""
     asking = eligible(slots, page_url)
     pages = landing_pages(asking, responses)
-    found = landing_candidates(pages)
+    found = stored(landing_candidates(pages), "landing-candidates")  # used by each way to an answer; without bodies
+    pages = pages.select("landing_url", "direct", "effective")
     parts = [indexed(asking, found, key)] * use_index + [direct(asking, pages, key), matched(asking, found, key)]
     answers = None
     for order, part in enumerate(parts):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..sources import html
+from ..sources.scratch import stored
 from .extract import base_url
 
 # Labels of links to the next page, and class names of page lists.
@@ -93,31 +94,33 @@ def with_next(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
     return pages.withColumn("next_url", next_page(html, url))
 
 
-def walk(pages: DataFrame, starts: DataFrame, max_pages: int | None = None, spark_dir: str | None = None) -> DataFrame:
+def walk(pages: DataFrame, starts: DataFrame, max_pages: int | None = None) -> DataFrame:
     """(run_id, page_no, url, found): every run's pages in order, from its start along next links.
 
-    ``pages`` has url (unique under ``canonical``), next_url; ``starts`` has run_id, url. All runs go forward together,
-    a step is one join on the page key. A run ends at a page without a next link, at a page that it has seen, at a page
-    that isn't there (it is counted, with found = false) or after ``max_pages``. Runs are dropped from the join as they
-    end, and the visited keys travel with the run. Every step is cut off from the last by a checkpoint or a table.
+    ``pages`` has url (unique under ``canonical``), next_url; ``starts`` has run_id, url. A run ends at a page without a
+    next link, before a page that it has seen, at a page that isn't there (it is counted, with found = false) or after
+    ``max_pages``.
+
+    All runs go forward together, and twice as far in each round: where a page leads in 1, 2, 4, ... steps is a table
+    that is joined with itself, and a run's first n pages joined with it give the next n. A run that meets a page again
+    keeps each page's first place, which are the places before the first repetition. So a chain of n pages takes
+    log n rounds, and as many rows as pages.
     """
     known = pages.select(canonical(F.col("url")).alias("key"), F.col("next_url"))
-    front = starts.select("run_id", "url", F.lit(1).alias("page_no"), canonical(F.col("url")).alias("key"), F.array().cast("array<string>").alias("seen"))
-    done, step = None, 0
-    while True:
-        step += 1
-        hit = front.filter(~F.array_contains("seen", F.col("key"))).join(known.withColumn("found", F.lit(True)), "key", "left")
-        hit = hit.withColumn("found", F.coalesce("found", F.lit(False)))
-        hit = hit.checkpoint() if spark_dir is None else _stored(hit, f"{spark_dir}/step-{step}")
-        rows = hit.select("run_id", "page_no", "url", "found")
-        done = rows if done is None else done.unionByName(rows)
-        if max_pages is not None and step >= max_pages:
-            return done
-        front = hit.filter("next_url is not null").select("run_id", F.col("next_url").alias("url"), (F.col("page_no") + 1).alias("page_no"), canonical(F.col("next_url")).alias("key"), F.array_append("seen", F.col("key")).alias("seen"))
-        if not front.limit(1).count():
-            return done
-
-
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    jumps = stored(known.filter("next_url is not null").select("key", F.col("next_url").alias("url"), canonical(F.col("next_url")).alias("to")), "walk-jumps")
+    done = stored(starts.select("run_id", F.lit(1).alias("page_no"), "url", canonical(F.col("url")).alias("key")), "walk-pages")
+    open_, reach = done.select("run_id"), 1
+    while max_pages is None or reach < max_pages:
+        there = jumps.select("key", F.col("url").alias("_url"), F.col("to").alias("_to"))
+        more = done.join(open_, "run_id", "left_semi").join(there, "key").select("run_id", (F.col("page_no") + reach).cast("int").alias("page_no"), F.col("_url").alias("url"), F.col("_to").alias("key"))
+        more = stored(more if max_pages is None else more.filter(F.col("page_no") <= max_pages), "walk-more")
+        if not more.counted:
+            break
+        first = F.min(F.struct("page_no", "url")).alias("first")
+        done = stored(done.unionByName(more).groupBy("run_id", "key").agg(first).select("run_id", "first.page_no", "first.url", "key"), "walk-pages")
+        reach *= 2
+        open_ = stored(done.groupBy("run_id").agg(F.count("*").alias("n")).filter(F.col("n") == reach).select("run_id"), "walk-open")
+        if not open_.counted:
+            break
+        jumps = stored(jumps.join(there.withColumnRenamed("key", "_key"), F.col("to") == F.col("_key")).select("key", F.col("_url").alias("url"), F.col("_to").alias("to")), "walk-jumps")
+    return done.join(known.select("key", F.lit(True).alias("found")), "key", "left").select("run_id", "page_no", "url", F.coalesce("found", F.lit(False)).alias("found"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.urls import url_parts
 from ..operators import download, extract, landing, paginate
+from ..sources import files
 from .options import CrawlOptions
 
 
@@ -49,28 +50,13 @@ def folders(pages: DataFrame, url: str = "url") -> DataFrame:
     return x.withColumns({"host_folder": names.host_folder(F.col("_p.hostname")), "page_folder": names.page_folder(F.col("_p"))}).drop("_p")
 
 
-def save(results: DataFrame, responses: DataFrame, base_dir: str, page_url: str) -> DataFrame:
-    """Write the chosen files under ``base_dir``/host/page folder, each by way of a temporary name; returns what was written.
-
-    For a folder that all executors share.
-    """
-    import os
+def target(spark: SparkSession, base_dir: str, page_url: str) -> str:
+    """The folder of a page's files: host and page below ``base_dir``."""
+    one = folders(spark.createDataFrame([(page_url,)], "url string")).first()
+    return "/".join((base_dir.rstrip("/") or ".", one["host_folder"], one["page_folder"]))
 
-    import pyarrow as pa
 
-    spark = results.sparkSession
-    one = folders(spark.createDataFrame([(page_url,)], "url string")).first()
-    target = os.path.join(base_dir, one["host_folder"], one["page_folder"])
-    rows = results.filter("status = 'Downloaded'").join(responses.select(F.col("url").alias("resolved_url"), "body"), "resolved_url").select("filename", "body")
-
-    def run(batches):
-        os.makedirs(target, exist_ok=True)
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                temporary = os.path.join(target, f".{name}.tmp")
-                with open(temporary, "wb") as f:
-                    f.write(body)
-                os.replace(temporary, os.path.join(target, name))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in batch.column(1).to_pylist()], pa.int64())], ["filename", "bytes"])
-
-    return rows.mapInArrow(run, "filename string, bytes long")
+def save(results: DataFrame, responses: DataFrame, folder: str) -> DataFrame:
+    """(filename, bytes, error) of the chosen files, written into a folder that all executors share."""
+    bodies = responses.select(F.col("url").alias("resolved_url"), "body")
+    return files.saved(results.filter("status = 'Downloaded'").join(bodies, "resolved_url").select("filename", "body"), folder)

@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import argparse
+import sys
 from dataclasses import dataclass
 
 from ..functions import urls
 
 
+VERSION = "0.2"
+USAGE = """usage: python -m pixweave.plans.options [flags] URL
+  --output-dir DIR    where files go, below folders of host and page
+  --workers N         images that are fetched at a time (4)
+  --limit-size N      only images whose longer side has N pixels
+  --all-pages         follow links to next pages
+  --max-pages N       pages at most
+  --resolve-landings  look for originals on the pages that images lead to
+  --verbose, -v       a line for every slot"""
+
+
 class UsageError(ValueError):
     """Arguments that can't be meant; a command line ends with status 2."""
 
@@ -58,16 +70,36 @@ def parse_args(args: list[str]) -> CrawlOptions:
 
 
 def main(args: list[str], run=None) -> int:
-    """The command line: 0 after a run, and for --help and --version; 1 where a run breaks off; 2 for wrong usage."""
-    if any(a.lstrip("-") in ("help", "h", "version") and a.startswith("-") for a in args):
+    """The command line: 0 after a run, and for --help and --version; 1 where a run breaks off; 2 for wrong usage.
+
+    ``run`` takes the options; without it the run goes over the network, with a session of its own.
+    """
+    if any(a.lstrip("-") in ("help", "h") and a.startswith("-") for a in args):
+        print(USAGE)
+        return 0
+    if any(a.lstrip("-") == "version" and a.startswith("-") for a in args):
+        print(f"pixweave {VERSION}")
         return 0
     try:
         options = parse_args(args)
-    except UsageError:
+    except UsageError as e:
+        print(f"{e}\n{USAGE}", file=sys.stderr)
         return 2
     try:
-        if run is not None:
-            run(options)
-    except OSError:
+        (run or _live)(options)
+    except OSError as e:
+        print(e, file=sys.stderr)
         return 1
     return 0
+
+
+def _live(options: CrawlOptions) -> None:
+    from pyspark.sql import SparkSession
+
+    from . import live
+
+    live.run(SparkSession.builder.getOrCreate(), options)
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import images, names, tokens, urls
-from ..functions.srcset import parse_srcset
+from ..functions.srcset import best_entry, parse_srcset, srcset_entries
 from ..operators import download, extract, landing, paginate
 from ..sources.html import dom_nodes
 from . import crawl
@@ -127,6 +127,32 @@ def srcset_best(spark, sf_dir):
     return x.select("page_id", "e.width", "e.density", "e.url")
 
 
+@query(_rows("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'wide' || s || '.jpg' WHEN 1 THEN 'dense' || s || '.jpg' ELSE 'last' || s || '.jpg' END AS url FROM p"))
+def srcset_pick(spark, sf_dir):
+    """The one entry that is taken: the widest, without widths the first of the densest, without both the last."""
+    s, k = F.col("page_id").cast("string"), F.col("page_id") % 3
+    wide = F.concat(F.lit("a.jpg 9x, wide"), s, F.lit(".jpg 800w, c.jpg 800w"))
+    dense = F.concat(F.lit("a.jpg 1x, dense"), s, F.lit(".jpg 2x, c.jpg 2x"))
+    last = F.concat(F.lit("a.jpg, b.jpg, last"), s, F.lit(".jpg"))
+    x = _table(spark, sf_dir, "pages").select("page_id", srcset_entries(F.when(k == 0, wide).when(k == 1, dense).otherwise(last)).alias("e"))
+    return x.select("page_id", best_entry("e")["url"].alias("url"))
+
+
+@query(_rows("SELECT page_id, CAST(i AS BIGINT) AS place, ['b' || s, 'd' || s, 'c' || s, 'a' || s][i + 1] || '.jpg' AS url FROM p, (SELECT unnest(range(4)) AS i)"))
+def srcset_ties(spark, sf_dir):
+    """Equal widths: the order is that of exchanges with the front place, so the first entry ends up last."""
+    s = F.col("page_id").cast("string")
+    text = F.concat_ws(", ", *(F.concat(F.lit(n), s, F.lit(f".jpg {w}w")) for n, w in (("a", 400), ("b", 800), ("c", 400), ("d", 800))))
+    x = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(parse_srcset(text)).alias("place", "e"))
+    return x.select("page_id", F.col("place").cast("long").alias("place"), "e.url")
+
+
+@query(_expected((1, 1, "anchor-image", 100, "x{p}.jpg"), (1, 2, "img-srcset", 70, "y{p}.jpg")))
+def slot_distinct(spark, sf_dir):
+    """A URL that a slot finds several times is kept once, with its best source."""
+    return _candidates(spark, sf_dir, '<a href="x{p}.jpg"><img src="x{p}.jpg" data-src="./x{p}.jpg#f" srcset="y{p}.jpg 2x, y{p}.jpg 1x"></a>')
+
+
 @query(_expected((1, 1, "picture-source", 80, "big{p}.avif"), (1, 2, "picture-source", 78, "mid{p}.webp"), (1, 3, "img-src", 50, "{p}.jpg")))
 def picture_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir, '<picture><source srcset="mid{p}.webp 1x"><source data-srcset="big{p}.avif 2x"><img src="{p}.jpg"><source srcset="late.webp 9x"></picture>')
@@ -197,36 +223,31 @@ def next_page(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", paginate.next_page(html, F.lit(BASE)).alias("next_url"))
 
 
-@query("""WITH RECURSIVE w(run_id, page_no, n) AS (SELECT page_id, 1, page_id FROM pages WHERE page_id % 10 = 0 UNION ALL
-SELECT run_id, page_no + 1, CASE WHEN n % 10 = 6 THEN n - 3 ELSE n + 1 END FROM w WHERE page_no < 7)
-SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(page_no AS INTEGER) AS page_no, 'https://site.example/g/' || n AS url FROM w""")
-def pagination_walk(spark, sf_dir):
-    """Chains of seven pages; the last one's link leads back into the chain, where the walk ends."""
-    # Chains that the table's end cuts short go on into pages that aren't there; they are made up here.
-    ids = _table(spark, sf_dir, "pages").filter("page_id % 10 = 0").select(F.explode(F.sequence(F.col("page_id"), F.col("page_id") + 6)).alias("page_id"))
-    n = F.col("page_id")
-    pages = ids.select(F.concat(F.lit(BASE), n.cast("string")).alias("url"), F.concat(F.lit('<a rel="next" href="'), F.when(n % 10 == 6, n - 3).otherwise(n + 1).cast("string"), F.lit('">x</a>')).alias("html"))
-    starts = _table(spark, sf_dir, "pages").filter("page_id % 10 = 0").select(n.cast("string").alias("run_id"), F.concat(F.lit(BASE), n.cast("string")).alias("url"))
-    return paginate.walk(paginate.with_next(pages), starts, spark_dir=_scratch(spark)).select("run_id", "page_no", "url")
+# Every row of pages starts a run over the table's own pages. Page 10k+6 leads back to 10k+3, any other one to the next;
+# a link beyond the table ends the walk at a page that isn't there. So a run has a page for each step before the first
+# repetition: 7 less its start's last digit from 0 to 3, 4 from 4 to 6, and from 7 on those up to the next ten and 7.
+_WALK = """SELECT CAST(page_id AS VARCHAR) AS run_id, CAST(k + 1 AS INTEGER) AS page_no, '{base}' || node AS url, node <= top AS found
+FROM (SELECT page_id, top, k, CASE WHEN page_id % 10 IN (4, 5, 6) AND page_id % 10 + k > 6 THEN page_id + k - 4 ELSE page_id + k END AS node
+  FROM (SELECT page_id, max(page_id) OVER () AS top, CASE WHEN page_id % 10 <= 3 THEN 7 - page_id % 10 WHEN page_id % 10 <= 6 THEN 4 ELSE 17 - page_id % 10 END AS n FROM pages), (SELECT unnest(range(10)) AS k) WHERE k < n)
+WHERE node <= top + 1{more}"""
 
 
-def pagination_walk_all(spark, sf_dir):
-    """A run from every row of ``pages`` over the table's own pages; a link beyond them ends it, with found = false. No SQL; a test compares with brute force."""
+def _chained_pages(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     n = F.col("page_id")
     table = _table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(BASE), n.cast("string")).alias("url"))
-    pages = table.select("url", F.concat(F.lit('<a rel="next" href="'), F.when(n % 10 == 6, n - 3).otherwise(n + 1).cast("string"), F.lit('">x</a>')).alias("html"))
-    starts = table.select(n.cast("string").alias("run_id"), "url")
-    return paginate.walk(paginate.with_next(pages), starts, spark_dir=_scratch(spark)).select("run_id", "page_no", "url", "found")
+    to = F.when(n % 10 == 6, n - 3).otherwise(n + 1).cast("string")
+    pages = table.select("url", F.concat(F.lit('<a rel="next" href="'), to, F.lit('">x</a>')).alias("html"))
+    return paginate.with_next(pages), table.select(n.cast("string").alias("run_id"), "url")
 
 
-QUERIES["pagination_walk_all"] = pagination_walk_all
-
+@query(_WALK.format(base=BASE, more=""))
+def pagination_walk(spark, sf_dir):
+    return paginate.walk(*_chained_pages(spark, sf_dir))
 
-def _scratch(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
 
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/walk-{uuid.uuid4().hex}"
+@query(_WALK.format(base=BASE, more=" AND k < 3"))
+def max_pages(spark, sf_dir):
+    return paginate.walk(*_chained_pages(spark, sf_dir), max_pages=3)
 
 
 # Landing pages.
@@ -255,6 +276,56 @@ def landing_match(spark, sf_dir):
     return x.select("page_no", F.col("candidates")[0]["resolved_url"].alias("resolved_url"), F.col("candidates")[0]["priority"].alias("priority"), F.size("candidates").alias("n"))
 
 
+def _answers(page_ids: DataFrame, land, body) -> DataFrame:
+    """Landing pages that all arrive as HTML."""
+    none = F.lit(None).cast("string")
+    return page_ids.select(land.alias("url"), none.alias("final_url"), F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), none.alias("content_disposition"), F.encode(body, "UTF-8").alias("body"), none.alias("error"), F.lit(1).alias("attempts"))
+
+
+@query("SELECT CAST(page_id // 4 AS VARCHAR) AS run_id, CAST(page_id % 4 AS INTEGER) AS page_no, 'https://site.example/orig/pic-' || page_id || '.jpg?v=' || CASE page_id % 2 WHEN 0 THEN 'own' ELSE 'next' END AS resolved_url, 110 AS priority FROM pages")
+def landing_index(spark, sf_dir):
+    """Every landing page holds its own slot's original and the next slot's. So the index answers each second slot, whose page is not read then."""
+    n = F.col("page_id")
+    s, next_ = n.cast("string"), (n + 1).cast("string")
+    ids = _table(spark, sf_dir, "pages")
+    land = F.concat(F.lit("https://site.example/view/"), s)
+    html = F.concat(F.lit('<a href="/view/'), s, F.lit('"><img src="/thumbs/pic-'), s, F.lit('.jpg"></a>'))
+    pages = ids.select(F.floor(n / 4).cast("string").alias("run_id"), (n % 4).cast("int").alias("page_no"), F.lit(BASE).alias("page_url"), html.alias("html"))
+    body = F.concat(F.lit('<img srcset="/orig/pic-'), s, F.lit('.jpg?v=own 900w"><img srcset="/orig/pic-'), next_, F.lit('.jpg?v=next 900w">'))
+    x = landing.resolve(extract.slots(pages, url="page_url"), _answers(ids, land, body))
+    return x.select("run_id", "page_no", F.col("candidates")[0]["resolved_url"].alias("resolved_url"), F.col("candidates")[0]["priority"].alias("priority"))
+
+
+@query("SELECT CAST(page_id AS INTEGER) AS page_no, 'https://site.example/' || CASE WHEN page_id % 2 = 0 THEN 'b/pic-' || page_id || '.jpg' ELSE 'thumbs/pic-' || page_id || '.jpg' END AS resolved_url, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS n FROM pages")
+def landing_own(spark, sf_dir):
+    """The best match is a URL that the slot has already: it doesn't count, and another one wins (even pages) or none (odd ones)."""
+    n = F.col("page_id")
+    s = n.cast("string")
+    ids = _table(spark, sf_dir, "pages")
+    land = F.concat(F.lit("https://site.example/view/"), s)
+    html = F.concat(F.lit('<a href="/view/'), s, F.lit('"><img src="/thumbs/pic-'), s, F.lit('.jpg"></a>'))
+    pages = ids.select(F.lit("run").alias("run_id"), n.cast("int").alias("page_no"), F.lit(BASE).alias("page_url"), html.alias("html"))
+    own = F.concat(F.lit('<img srcset="/thumbs/pic-'), s, F.lit('.jpg 2000w">'))
+    other = F.when(n % 2 == 0, F.concat(F.lit('<img src="/b/pic-'), s, F.lit('.jpg">'))).otherwise("")
+    x = landing.resolve(extract.slots(pages, url="page_url"), _answers(ids, land, F.concat(own, other)), use_index=False)
+    return x.select("page_no", F.col("candidates")[0]["resolved_url"].alias("resolved_url"), F.size("candidates").alias("n"))
+
+
+@query("SELECT CAST(page_id AS INTEGER) AS page_no, CAST(CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 2 END AS INTEGER) AS n FROM pages")
+def landing_ambiguous(spark, sf_dir):
+    """Two different URLs tie (no original), the same URL twice (one), or a higher priority decides (one)."""
+    n = F.col("page_id")
+    s = n.cast("string")
+    ids = _table(spark, sf_dir, "pages")
+    html = F.concat(F.lit('<a href="/view/'), s, F.lit('"><img src="/thumbs/pic-'), s, F.lit('.jpg"></a>'))
+    pages = ids.select(F.lit("run").alias("run_id"), n.cast("int").alias("page_no"), F.lit(BASE).alias("page_url"), html.alias("html"))
+    image = lambda folder, attr, end="": F.concat(F.lit(f'<img {attr}="/{folder}/pic-'), s, F.lit(f'.jpg{end}">'))
+    body = F.when(n % 3 == 0, F.concat(image("a", "src"), image("b", "src"))).when(n % 3 == 1, F.concat(image("a", "src"), image("a", "src"))).otherwise(F.concat(image("a", "src"), image("b", "srcset", " 900w")))
+    land = F.concat(F.lit("https://site.example/view/"), s)
+    x = landing.resolve(extract.slots(pages, url="page_url"), _answers(ids, land, body), use_index=False)
+    return x.select("page_no", F.size("candidates").alias("n"))
+
+
 @query(_rows("SELECT CAST(page_id AS INTEGER) AS page_no, 'pic-' || s AS token FROM p UNION ALL SELECT CAST(page_id AS INTEGER), s FROM p WHERE length(s) >= 4 AND s NOT IN ('1024','1080','1200','1280','1600','1920','2048')"))
 def slot_tokens(spark, sf_dir):
     slots, _ = _landing_tables(spark, sf_dir)
@@ -317,9 +388,52 @@ def image_sniff(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", images.sniff_format(body, kind, ext).alias("format"))
 
 
-@query("SELECT page_id FROM pages WHERE greatest(page_id % 3000 + 1, page_id % 700 + 2) >= 256")
+@query("SELECT page_id FROM pages WHERE greatest(page_id % 3000 + 1, page_id % 700 + 2) >= 24")
 def size_filter(spark, sf_dir):
-    return _image_bodies(spark, sf_dir).filter(download.keeps_size(F.col("w"), F.col("h"), 256)).select("page_id")
+    return _image_bodies(spark, sf_dir).filter(download.keeps_size(F.col("w"), F.col("h"), 24)).select("page_id")
+
+
+@query("SELECT page_id, greatest(page_id % 3000 + 1, page_id % 700 + 2) AS side FROM pages WHERE page_id % 3000 + 1 >= 10")
+def max_side(spark, sf_dir):
+    """The longer side, of bodies whose size is read from their headers."""
+    none = F.lit(None).cast("string")
+    x = _image_bodies(spark, sf_dir).select("page_id", images.image_info(F.col("body"), none, none).alias("i")).filter("i.width >= 10")
+    return x.select("page_id", F.greatest("i.width", "i.height").alias("side"))
+
+
+def _tried(spark, sf_dir, body, content_type: str, max_bytes: int = images.SNIFFED) -> DataFrame:
+    """What a try of one image per page gives."""
+    s = F.col("page_id").cast("string")
+    none = F.lit(None).cast("string")
+    url = F.concat(F.lit(BASE + "i"), s, F.lit(".gif"))
+    ids = _table(spark, sf_dir, "pages")
+    responses = ids.select(url.alias("url"), F.lit(200).alias("status_code"), F.lit(content_type).alias("content_type"), none.alias("content_disposition"), body.alias("body"), none.alias("error"))
+    return download.outcomes(ids.select("page_id", url.alias("resolved_url")), responses, max_bytes=max_bytes)
+
+
+@query("SELECT page_id, CASE WHEN 13 + page_id % 50 > 40 THEN 'Error' ELSE 'Downloaded' END AS outcome FROM pages")
+def byte_cap(spark, sf_dir):
+    body = F.concat(F.unhex(F.lit("47494638396108000800000000")), F.encode(F.repeat(F.lit("x"), (F.col("page_id") % 50).cast("int")), "UTF-8"))
+    return _tried(spark, sf_dir, body, "image/gif", 40).select("page_id", "outcome")
+
+
+@query("SELECT page_id, 'Skipped' AS outcome, 'unsupported format or invalid image' AS reason FROM pages")
+def svg_rejected(spark, sf_dir):
+    """SVG by its media type, and by its markup even where the header claims a raster image."""
+    body = F.encode(F.concat(F.lit('<?xml version="1.0"?> <SVG id="'), F.col("page_id").cast("string"), F.lit('">')), "UTF-8")
+    return _tried(spark, sf_dir, body, "image/png").select("page_id", "outcome", "reason")
+
+
+@query("SELECT page_id, ['jpeg', 'jpeg', 'png', 'gif', 'webp', 'bmp', 'tiff', 'tiff', 'avif', NULL][CAST(page_id % 10 AS INTEGER) + 1] AS format FROM pages")
+def extension_formats(spark, sf_dir):
+    """Bytes that say nothing and no media type: the extension decides."""
+    ext = F.element_at(F.array(*map(F.lit, ".jpg .JPEG .png .gif .webp .bmp .tif .tiff .avif .xyz".split())), (F.col("page_id") % 10 + 1).cast("int"))
+    return _table(spark, sf_dir, "pages").select("page_id", images.sniff_format(F.unhex(F.lit("00112233")), F.lit(None).cast("string"), ext).alias("format"))
+
+
+@query("SELECT event_id, user_id, coalesce(user_id IN (SELECT s_suppkey FROM supplier), FALSE) AS seen FROM events")
+def url_seen(spark, sf_dir):
+    return download.url_seen(_table(spark, sf_dir, "events").select("event_id", "user_id"), _table(spark, sf_dir, "supplier"), "user_id", "s_suppkey")
 
 
 @query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'a b' || p_partkey || '.jpg' WHEN 1 THEN 'x_' || p_partkey || '.png' WHEN 2 THEN 'f' || p_partkey || '.jpeg' WHEN 3 THEN 'image_' || left(sha256(CAST(p_partkey AS VARCHAR)), 8) || '.jpg' ELSE '_CON.png' END AS filename FROM part")

@@ -7,12 +7,14 @@ with these columns stand in for it, and everything downstream takes either.
 from __future__ import annotations
 
 import email.utils
+import http.client
 import random
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from http.cookiejar import CookieJar
 
 import pyarrow as pa
@@ -23,6 +25,8 @@ RESPONSES = "url string, final_url string, status_code int, content_type string,
 RETRIED = (408, 429, 500, 502, 503, 504)
 ATTEMPTS, REDIRECTS, TIMEOUT, LONGEST_WAIT = 3, 10, 30.0, 10.0
 MAX_IMAGE = 500 * 1024 * 1024
+#: The reference run reads pages whole; this bounds what one answer may take on the driver.
+MAX_PAGE = 1 << 30
 
 
 def retried(status: Column) -> Column:
@@ -49,26 +53,42 @@ def pause(attempt: int, header: str | None = None) -> float:
     return min(asked, LONGEST_WAIT) if asked else 0.1 * 2**attempt + random.uniform(0, 0.1)
 
 
+def escaped(url: str) -> str:
+    """The URL as it goes over the wire: a host in its ASCII form, other characters outside ASCII and white space as escaped UTF-8."""
+    parts = urllib.parse.urlsplit(url.strip())
+    host = parts.netloc
+    if not host.isascii():
+        user, at, name = host.rpartition("@")
+        host = user + at + name.encode("idna").decode()
+    kept = "%/:?#[]@!$&'()*+,;=~"
+    return urllib.parse.urlunsplit((parts.scheme, host, *(urllib.parse.quote(x, safe=kept) for x in parts[2:])))
+
+
 @dataclass
 class Client:
-    """One session: cookies, headers, redirects. ``referer`` is the run's first page."""
+    """One session: cookies, headers, redirects. ``referer`` is the run's first page; ``cookies`` may come from an earlier session."""
 
     referer: str = ""
     timeout: float = TIMEOUT
     sleep: Callable[[float], None] = time.sleep
     agent: str = "Mozilla/5.0 (compatible; pixweave)"
+    cookies: CookieJar = field(default_factory=CookieJar)
 
     def __post_init__(self):
         redirects = urllib.request.HTTPRedirectHandler()
         redirects.max_redirections = REDIRECTS
-        self.opener = urllib.request.build_opener(urllib.request.HTTPCookieProcessor(CookieJar()), redirects)
+        self.opener = urllib.request.build_opener(urllib.request.HTTPCookieProcessor(self.cookies), redirects)
 
     def get(self, url: str, image: bool = False, limit: int = MAX_IMAGE) -> tuple:
         """A row of ``RESPONSES``. A body longer than ``limit`` is an error; at most one byte more is read."""
         if not url.lower().startswith(("http://", "https://")):
             return url, None, None, None, None, None, "unsupported scheme", 0
+        try:
+            request_url = escaped(url)
+        except (ValueError, UnicodeError) as e:
+            return url, None, None, None, None, None, f"invalid URL: {e}", 0
         accept = "image/avif,image/webp,image/*,*/*;q=0.8" if image else "text/html,application/xhtml+xml,*/*;q=0.8"
-        request = urllib.request.Request(url, headers={"User-Agent": self.agent, "Accept": accept} | ({"Referer": self.referer} if self.referer else {}))
+        request = urllib.request.Request(request_url, headers={"User-Agent": self.agent, "Accept": accept} | ({"Referer": self.referer} if self.referer else {}))
         status, error = None, ""
         for attempt in range(1, ATTEMPTS + 1):
             header = None
@@ -83,15 +103,18 @@ class Client:
                 e.close()
                 if e.code not in RETRIED:
                     break
-            except (OSError, ValueError) as e:
+            except (OSError, ValueError, http.client.HTTPException) as e:
                 status, error = None, str(e) or type(e).__name__
             if attempt < ATTEMPTS:
                 self.sleep(pause(attempt, header))
         return url, None, status, None, None, None, error, attempt
 
 
-def fetch(urls: DataFrame, image: bool = False, referer: str = "", limit: int = MAX_IMAGE, tasks: int | None = None) -> DataFrame:
-    """The answers to the distinct URLs in the first column. Each is fetched once; ``tasks`` bounds what runs at a time."""
+def fetch(urls: DataFrame, image: bool = False, referer: str = "", limit: int = MAX_IMAGE, tasks: int | None = None, cookies: tuple = ()) -> DataFrame:
+    """The answers to the distinct URLs in the first column. Each is fetched once; ``tasks`` bounds what runs at a time.
+
+    Every task has a session of its own, which begins with ``cookies``.
+    """
     url = urls.columns[0]
     wanted = urls.select(url).filter(F.col(url).isNotNull()).distinct()
     wanted = wanted.repartition(tasks) if tasks else wanted
@@ -100,6 +123,8 @@ def fetch(urls: DataFrame, image: bool = False, referer: str = "", limit: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = Client(referer)
+        for cookie in cookies:
+            client.cookies.set_cookie(cookie)
         for batch in batches:
             for one in batch.column(0).to_pylist():  # a batch per body, as these are large
                 row = client.get(one, image, limit)

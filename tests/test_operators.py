@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixweave.operators import download, extract, landing, paginate
-from pixweave.plans import crawl, options, queries
-from pixweave.sources import html, http as web
+from pixweave.plans import crawl, live, options, queries
+from pixweave.sources import files, html, http as web
 
 PAGE = "https://example.com/gallery/"
 GIF = b"GIF89a\x2c\x01\xc8\x00\0\0\0"
@@ -57,12 +57,12 @@ def test_next_page(markup, expected):
     assert (min(found)[2].removeprefix("https://example.com/") if found else None) == expected
 
 
-def test_walk(spark, tmp_path):
+def test_walk(spark):
     pages = spark.createDataFrame([("https://e.com/1", "https://E.com/2"), ("https://e.com/2", "https://e.com/3#x"), ("https://e.com/3", "https://e.com/1"), ("https://e.com/9", "https://e.com/gone")], "url string, next_url string")
     starts = spark.createDataFrame([("a", "https://e.com/1"), ("b", "https://e.com/9")], "run_id string, url string")
-    got = sorted(tuple(r) for r in paginate.walk(pages, starts, spark_dir=str(tmp_path / "w")).collect())
+    got = sorted(tuple(r) for r in paginate.walk(pages, starts).collect())
     assert got == [("a", 1, "https://e.com/1", True), ("a", 2, "https://E.com/2", True), ("a", 3, "https://e.com/3#x", True), ("b", 1, "https://e.com/9", True), ("b", 2, "https://e.com/gone", False)]
-    assert paginate.walk(pages, starts, 2, spark_dir=str(tmp_path / "v")).count() == 4
+    assert paginate.walk(pages, starts, 2).count() == 4
 
 
 def responses(spark, rows):
@@ -115,7 +115,7 @@ def test_names():
 
 
 def test_cli():
-    run = options.main
+    run = lambda args: options.main(args, run=lambda _: None)
     assert [run(a) for a in ([], ["https://a.com", "https://b.com"], ["ftp://a.com"], ["--limit-size", "-10", "https://a.com"], ["--workers", "0", "https://a.com"], ["--version"], ["--help"], ["https://a.com", "--max-pages", "2", "-v"])] == [2, 2, 2, 2, 2, 0, 0, 0]
     assert options.parse_args(["https://a.com", "--max-pages", "1"]).paginates is False
 
@@ -168,5 +168,100 @@ def test_walk_from_every_page(spark, tmp_path):
             if n not in ids:
                 break
             n = n - 3 if n % 10 == 6 else n + 1
-    got = [tuple(r) for r in queries.QUERIES["pagination_walk_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in queries.QUERIES["pagination_walk"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.fixture
+def site():
+    """A small site: two gallery pages, a landing page, images, a dead link; it notes cookies and referers."""
+    gif, seen = GIF, []
+    files = {
+        "/g/1": ("text/html", b'<img src="/i/one.gif"><img src="/i/copy.gif"><img data-src="/i/dead.gif" src="/i/two.gif"><a href="/v/9"><img src="/t/pic-9009.gif"></a><img src="/i/odd name\xc3\xa9.gif"><a rel="next" href="/g/2">x</a>'),
+        "/g/2": ("text/html", b'<img src="/i/one.gif"><a rel="next" href="/g/1">x</a>'),
+        "/v/9": ("text/html", b'<img srcset="/o/pic-9009.gif 900w">'),
+        "/i/one.gif": ("image/gif", gif + b"1"), "/i/copy.gif": ("image/gif", gif + b"1"), "/i/two.gif": ("image/gif", gif + b"2"),
+        "/t/pic-9009.gif": ("image/gif", gif + b"t"), "/o/pic-9009.gif": ("image/gif", gif + b"o"), "/i/odd%20name%C3%A9.gif": ("image/gif", gif + b"n"),
+    }
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append((self.path, self.headers.get("Referer"), self.headers.get("Cookie")))
+            kind, body = files.get(self.path, (None, b""))
+            self.send_response(200 if kind else 404)
+            if kind:
+                self.send_header("Content-Type", kind)
+            if self.path == "/g/1":
+                self.send_header("Set-Cookie", "session=s1; Path=/")
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", seen
+    server.shutdown()
+
+
+def test_live_run(spark, site, tmp_path):
+    at, seen = site
+    said = []
+    totals = live.run(spark, options.CrawlOptions(at + "/g/1", output_dir=str(tmp_path), all_pages=True, resolve_landings=True), said.append)
+    assert totals == {"pages": 2, "downloaded": 4, "skipped": 0, "duplicates": 2, "errors": 0, "total_slots": 6}
+    held = sorted(p.name for p in tmp_path.rglob("*.gif"))
+    assert len(held) == 4 and {"one.gif", "two.gif", "pic-9009.gif"} <= set(held) and not [p for p in tmp_path.rglob("*") if p.name.endswith(".tmp")]
+    assert said[0] == "[1/5] one.gif" and said[-1].split() == "Done. Pages processed: 2 Images downloaded: 4 Skipped: 0 Duplicates: 2 Errors: 0".split()
+    images_ = [(r, c) for p, r, c in seen if p.startswith(("/i/", "/o/"))]
+    assert {r for r, _ in images_} == {at + "/g/1"} and {c for _, c in images_} == {"session=s1"}
+    assert "/t/pic-9009.gif" not in [p for p, _, _ in seen]  # the original came first
+    totals = live.run(spark, options.CrawlOptions(at + "/g/1", output_dir=str(tmp_path), verbose=True), said.append)
+    assert totals["downloaded"] == 4 and len([*tmp_path.rglob("*.gif")]) == 8  # names on disk aren't given out again
+    assert any("FALLBACK" in x and "/i/dead.gif failed (HTTP 404)" in x for x in said) and any("DUPLICATE: identical content to" in x for x in said)
+    assert live.run(spark, options.CrawlOptions(at + "/none", output_dir=str(tmp_path)), said.append)["errors"] == 1
+
+
+def test_odd_urls_dont_end_a_run():
+    client = web.Client(sleep=lambda s: None)
+    assert web.escaped("http://bücher.example/ä b?q=ü&x=%20") == "http://xn--bcher-kva.example/%C3%A4%20b?q=%C3%BC&x=%20"
+    assert client.get("http://127.0.0.1:1/a b")[6] and client.get("http://[bad/")[6] and client.get("http://" + "é" * 80 + ".example/")[6].startswith("invalid URL")
+
+
+def test_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.bin").write_bytes(b"abc")
+    assert [(r.length, r.sha256) for r in files.hashed(spark, str(tmp_path / "in")).collect()] == [(3, hashlib.sha256(b"abc").hexdigest())]
+    assert files.names_on_disk(spark, str(tmp_path / "none")).count() == 0 and files.names_on_disk(spark, str(tmp_path / "in")).first().filename == "a.bin"
+    rows = spark.createDataFrame([("ok.gif", bytearray(b"x")), ("no/such/folder.gif", bytearray(b"y"))], "filename string, body binary")
+    got = {r.filename: (r.bytes, r.error) for r in files.saved(rows, str(tmp_path / "out")).collect()}
+    assert got["ok.gif"] == (1, None) and got["no/such/folder.gif"][1] and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["ok.gif"]
+
+
+def test_unsaved_files_roll_back():
+    """A content that couldn't be saved is new again for the next slot."""
+    row = lambda slot, unsaved: {"run_id": "r", "page_no": 1, "slot_idx": slot, "cand_idx": 1, "resolved_url": f"u{slot}", "outcome": "Downloaded", "reason": None, "sha256": "s", "width": 1, "height": 1, "base_name": "a.gif", "unsaved": unsaved}
+    assert [(r["status"], r["filename"]) for r in download.fold([row(1, "disk full"), row(2, None), row(3, None)])] == [("Error", None), ("Downloaded", "a_2.gif"), ("Duplicate", None)]
+
+
+def test_set_based_runs_equal_the_fold(spark):
+    """Slots that share nothing are settled by aggregation, others in order; together they give what one fold gives."""
+    import random
+
+    rnd = random.Random(4)
+    rows = []
+    for run in range(3):
+        for slot in range(60):
+            for cand in range(1, rnd.randint(1, 3) + 1):
+                outcome = rnd.choice(["Downloaded", "Downloaded", "Error", "Skipped"])
+                name = rnd.choice([f"n{slot}.gif", f"n{slot}_2.gif", "same.gif", "same_2.gif", "plain"])
+                rows.append((f"r{run}", 1 + slot // 20, slot % 20, cand, f"u{rnd.randint(0, 90)}", outcome, outcome.lower(), f"s{rnd.randint(0, 60)}" if outcome != "Error" else None, 3, 4, name if outcome == "Downloaded" else None, "disk" if rnd.random() < 0.05 and outcome == "Downloaded" else None))
+    schema = "run_id string, page_no int, slot_idx int, cand_idx int, resolved_url string, outcome string, reason string, sha256 string, width long, height long, base_name string, unsaved string"
+    columns = [c.split()[0] for c in schema.split(", ")]
+    want = [r for run in range(3) for r in download.fold([dict(zip(columns, x)) for x in rows if x[0] == f"r{run}"])]
+    key = lambda r: (r["run_id"], r["page_no"], r["slot_idx"])
+    got = [r.asDict() for r in download.process(spark.createDataFrame(rows, schema)).collect()]
+    pick = ("status", "filename", "cand_idx", "reason")
+    assert [(key(r), *(r[c] for c in pick)) for r in sorted(got, key=key)] == [(key(r), *(r[c] for c in pick)) for r in sorted(want, key=key)]
