@@ -1,18 +1,18 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, in array operations.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are of type S or L, as they are smaller or larger than their right neighbour. The leftmost S suffixes are
 sorted by their substrings: induction from any order of them sorts these, equal substrings get equal names, and the
-string of names is sorted in turn, by recursion where it has few names and by rank doubling where it has many. Two
-linear passes, L from the left and S from the right, then induce the order of all suffixes. A pass goes by buckets of
-first characters; everything that a bucket induces is dealt out at once.
+string of names is sorted in turn by the same function. Two linear passes, L from the left and S from the right, then
+induce the order of all suffixes. Over few characters a pass goes by buckets of first characters, whose inductions are
+array operations; over many (the strings of names) it goes suffix by suffix.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names up to which the reduced string is sorted by recursion; with more, buckets would hold too little each.
-RECURSE = 1024
+#: Places per character from which a pass works on whole buckets at once.
+WIDE = 256
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -33,63 +33,76 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 
 def _sorted(t: np.ndarray, sigma: int) -> np.ndarray:
-    n = len(t)
+    """The order of the suffixes of a string whose last character is its least and stands nowhere else."""
     small = _types(t)
     lms = np.flatnonzero(small & ~np.concatenate([[True], small[:-1]]))
-    if n == 1:
+    if len(t) == 1:
         return np.zeros(1, np.int64)
-    if len(lms) > 1:
-        sa = _induced(t, sigma, small, lms)
-        first = np.zeros(n, bool)
-        first[lms] = True
-        order = sa[first[sa]]
-        names, count = _named(t, lms, order)
-        if count < len(lms):
-            reduced = _sorted(names, count) if count <= RECURSE else _doubled(names)
-            order = lms[reduced]
-    else:
-        order = lms
-    return _induced(t, sigma, small, order)
-
-
-def _named(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
-    """The names of the leftmost S substrings in the text's order: equal ones, next to each other in ``order``, share one."""
-    size = np.zeros(len(t), np.int64)
-    size[lms] = np.append(np.diff(lms), 0) + 1
-    a, b = order[:-1], order[1:]
-    same = size[a] == size[b]
-    live = np.flatnonzero(same)
-    step = 0
+    names, count = _named(t, sigma, lms)
+    order = np.argsort(names) if count == len(lms) else _sorted(names, count)
+    return _induced(t, sigma, small, lms[order])
+
+
+def _named(t: np.ndarray, sigma: int, lms: np.ndarray) -> tuple[np.ndarray, int]:
+    """The ranks of the leftmost S substrings, equal ones sharing one, and the number of ranks.
+
+    Substrings are sorted by as many characters as fit a word, those that tie by the next ones, and so on. One that
+    has ended counts as greater there: where it ends with an S, a longer one that ties has an L.
+    """
+    size = np.append(np.diff(lms), 0) + 1
+    bits = sigma.bit_length()
+    per = 62 // bits
+    padded = np.append(t, np.full(per, sigma))
+    rank, live, at = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
     while len(live):
-        equal = t[a[live] + step] == t[b[live] + step]
-        same[live[~equal]] = False
-        live = live[equal]
-        step += 1
-        live = live[size[a[live]] > step]
-    rank = np.concatenate([[0], np.cumsum(~same)])
-    names = np.zeros(len(t), np.int64)
-    names[order] = rank
-    return names[lms], int(rank[-1]) + 1
-
-
-def _doubled(rank: np.ndarray) -> np.ndarray:
-    """The suffix order of a string by doubling the length that ranks stand for."""
-    n, k = len(rank), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(n - k, 0)] = rank[k:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        k *= 2
+        key = np.zeros(len(live), np.int64)
+        for i in range(at, at + per):
+            key = key << bits | np.where(i < size[live], padded[np.minimum(lms[live] + i, len(padded) - 1)], sigma)
+        by = np.lexsort((key, rank[live])) if at else np.argsort(key, kind="stable")
+        live, key = live[by], key[by]
+        old = rank[live]
+        group = np.append(True, old[1:] != old[:-1])
+        part = group | np.append(True, key[1:] != key[:-1])
+        places = np.arange(len(live))
+        first = np.maximum.accumulate(np.where(part, places, 0))
+        rank[live] = old + first - np.maximum.accumulate(np.where(group, places, 0))
+        tied = np.append(~part[1:], False) | ~part
+        at += per
+        live = live[tied & (size[live] >= at)]
+    held = np.zeros(len(lms), bool)
+    held[rank] = True
+    return (np.cumsum(held) - 1)[rank], int(held.sum())
 
 
 def _induced(t: np.ndarray, sigma: int, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """All suffixes in the order that the given order of the leftmost S suffixes induces."""
+    return (_by_bucket if len(t) >= WIDE * sigma else _by_suffix)(t, sigma, small, lms)
+
+
+def _by_suffix(t: np.ndarray, sigma: int, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    size = np.bincount(t, minlength=sigma)
+    end = np.cumsum(size)
+    first = np.zeros(len(t), np.int64)
+    by = np.argsort(t[lms], kind="stable")
+    first[_places(end - np.bincount(t[lms], minlength=sigma), t[lms][by])] = lms[by]
+    sa, head, tail = first.tolist(), (end - size).tolist(), end.tolist()
+    before = np.append(-1, t[:-1])
+    to_l, to_s = (np.where(np.append(False, kind), before, -1).tolist() for kind in (~small[:-1], small[:-1]))
+    for at in sa:  # reads what has been put ahead of it
+        c = to_l[at]
+        if c >= 0:
+            place = head[c]
+            sa[place] = at - 1
+            head[c] = place + 1
+    for at in reversed(sa):
+        c = to_s[at]
+        if c >= 0:
+            tail[c] = place = tail[c] - 1
+            sa[place] = at - 1
+    return np.array(sa, np.int64)
+
+
+def _by_bucket(t: np.ndarray, sigma: int, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     n = len(t)
     size = np.bincount(t, minlength=sigma)
     end = np.cumsum(size)
