@@ -9,7 +9,8 @@ for it. Every task reports its best per query, which a last aggregation merges.
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; a
 shorter vector counts as padded with zeros; equal vectors are folded and dealt out again, so that ties go to smaller
 ids; repeated ids are rows of their own; with fewer than k candidates all are returned; an empty table gives an empty
-result; extra columns are ignored. Components are clipped to 64 bits after quantisation.
+result; extra columns are ignored. Components are clipped to 64 bits after quantisation, and scores that don't fit
+64 bits are the nearest number that does, after an exact sum; such scores tie.
 """
 
 from __future__ import annotations
@@ -86,13 +87,15 @@ class Search:
         if self.exact:
             score = score.astype(np.int64)
         else:
-            score = np.array([sum(int(a) * int(b) for a, b in zip(self.whole[i], row, strict=True)) for row in block], np.int64)
+            own = self.whole[i].tolist()
+            score = np.array([min(max(sum(a * b for a, b in zip(own, row, strict=True)), -(1 << 63)), (1 << 63) - 1) for row in block.tolist()], np.int64)
         score = np.concatenate([self.scores[i], score])
         ids = self.ids[i] + ids
-        order = np.lexsort(([x[0] for x in ids], -score))[: self.keep]
+        order = np.lexsort(([x[0] for x in ids], ~score))[: self.keep]
         self.scores[i], self.ids[i] = score[order], [ids[k] for k in order.tolist()]
         if len(order) == self.keep:
-            self.bar[i] = float(score[order[-1]])
+            worst = int(score[order[-1]])
+            self.bar[i] = worst if worst > -(1 << 63) else -np.inf  # at the least number lower sums tie
 
 
 def top_k(df: DataFrame, k: int = 5, every: int = 50, vec: str = "embedding", id_: str = "vec_id") -> DataFrame:
@@ -102,11 +105,11 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, vec: str = "embedding", id
     n, dims, top = vectors.shape(rows)
     widest = 256 * top + 1
     exact, dtype = widest * widest * max(dims, 1) < 2.0**53, "<i4" if widest < 2.0**31 else "<i8"
-    all_ = written(vectors.folded(rows, dims, k + 1, dtype, quantised), "topk-vectors")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // PER_TASK))
+    all_ = written(vectors.folded(rows, dims, k + 1, dtype, quantised).repartition(tasks), "topk-vectors")
     asked = written(vectors.packed(rows.filter(F.col("id") % every == 0), dims, dtype, quantised).withColumn("key", vectors.key()), "topk-queries")
     distinct = written(asked.groupBy("key").agg(F.first("vec").alias("vec")), "topk-distinct")
     chunks = -(-distinct.count() // CHUNK)
-    tasks = max(spark.sparkContext.defaultParallelism, -(-n // PER_TASK))
     found = []
     for c in range(chunks):
         part = distinct.filter(F.pmod(F.xxhash64("key"), F.lit(chunks)) == c).select("vec").toArrow().column(0).to_pylist()
@@ -123,7 +126,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, vec: str = "embedding", id
                 lines = [(key, int(s), ids) for j, key in enumerate(keys, i) for s, ids in zip(search.scores[j], search.ids[j], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in lines], pa.binary()), pa.array([x[1] for x in lines], pa.int64()), pa.array([x[2] for x in lines], pa.list_(pa.int64()))], ["key", "score", "ids"])
 
-        found.append(all_.repartition(tasks).mapInArrow(run, "key binary, score long, ids array<long>"))
+        found.append(all_.mapInArrow(run, "key binary, score long, ids array<long>"))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if chunks > 1:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def valid(df: DataFrame, vec: str = "embedding", id_: str = "vec_id") -> DataFrame:
@@ -71,9 +72,14 @@ def key(vec: str = "vec") -> Column:
     return F.unhex(F.md5(vec))
 
 
+def _falling(score: Column, kind: T.DataType) -> Column:
+    """A number that falls as the score rises, and gives the score back if it is taken again; whole numbers don't overflow."""
+    return F.bitwise_not(score) if isinstance(kind, T.LongType) else -score
+
+
 def merged(found: DataFrame, keep: int) -> DataFrame:
     """(key, best): of rows (key, score, ids) the ``keep`` best (score, id), best first, smaller ids first among ties."""
-    best = F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("minus"), i.alias("id"))))))
+    best = F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(_falling(F.col("score"), found.schema["score"].dataType).alias("minus"), i.alias("id"))))))
     return found.groupBy("key").agg(F.slice(best, 1, keep).alias("best"))
 
 
@@ -82,4 +88,5 @@ def answers(queries: DataFrame, best: DataFrame, k: int) -> DataFrame:
     x = queries.join(best, "key").withColumn("own", F.array_position(F.transform("best", lambda b: b["id"]), F.col("id")))
     others = F.filter("best", lambda b, i: i + 1 != F.col("own"))
     x = x.select(F.col("id").alias("query_id"), F.posexplode(F.slice(others, 1, k)).alias("at", "b"))
-    return x.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.minus")).alias("score"))
+    score = _falling(F.col("b.minus"), x.schema["b"].dataType["minus"].dataType)
+    return x.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), score.alias("score"))
