@@ -112,6 +112,13 @@ def in_small_batches(operator):
     return run
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``docs`` has."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH) -> Iterator[pa.RecordBatch]:
     """The batches, which Spark bounds in bytes (64 MB unless set), in smaller parts: few texts are Python objects at a time."""
     for batch in batches:

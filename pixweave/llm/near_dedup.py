@@ -417,9 +417,9 @@ def dropped(docs: DataFrame, words: int = 5) -> DataFrame:
     pair = (F.col("doc_id").alias("id"), F.col("tk").alias("key"))
     gone = small(written(found.filter("not stays").select(*pair).distinct(), "near-gone"), 100_000)
     again = written(found.filter("stays").groupBy("doc_id", "tk").count().filter("count > 1").select(*pair), "near-again")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_tk") == F.col("key"))
-    rows = docs.withColumn("_tk", text_key()).join(gone, same, "left_anti")
-    if not again.counted:
-        return rows.drop("_tk")
-    once = rows.join(small(again), same, "left_semi").dropDuplicates(["doc_id", "_tk"])
-    return rows.join(small(again), same, "left_anti").unionByName(once).drop("_tk")
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("tk") == F.col("key"))
+    rows = docs.select(text_key().alias("tk"), F.struct(*docs.columns).alias("row")).join(gone, same, "left_anti")
+    if again.counted:
+        first = rows.join(small(again), same, "left_semi").groupBy("row.doc_id", "tk").agg(F.first("row").alias("row"))
+        rows = rows.join(small(again), same, "left_anti").select("row").unionByName(first.select("row"))
+    return rows.select("row.*")

@@ -6,11 +6,18 @@ equal surrogates in all documents and spellings, different ones get different su
 letters stay letters of their script, digits digits, vowels of names vowels, listed given names become other listed
 names of the same gender, card numbers keep their kind of check digit, public addresses stay public.
 
+Names are found by titles, by listed given names, by words that names follow (met, from, Dear, signed, ...), in chains
+(A B and C D), and where a word of a name that was found in a text stands there again. Words are of any script with
+capitals; a few capitalised words that are no names (License, Street, months, ...) rule a phrase out.
+
 What a permutation can't promise is that a surrogate isn't somebody else's original, or that two templates never
 meet. A distributed check joins all distinct surrogates with all distinct originals; who collides moves on with
-another tweak, until nobody does; short names and addresses whose format is used up become longer. Listed names are
-checked like all others; where too many names of a list are originals, they become unlisted ones of the same letters'
-kinds. Only the exceptions are joined back to their documents, a tiny part; listed ones, few by the lists' size, go to all.
+another tweak, until nobody does; only those that moved are looked at again. Short names, addresses and secrets whose
+format is used up become longer. Kinds of a fixed form (phones, cards, addresses of machines, ...) can't: where one
+is so full that TRIES tweaks don't settle it, all its entities take one permutation, so that surrogates stay distinct
+and coreferent while some are other people's originals. Listed names are checked like all others; where too many
+names of a list are originals, they become unlisted ones of the same letters' kinds. Only the exceptions are joined
+back to their documents, a tiny part; listed ones, few by the lists' size, go to all.
 
 Edge cases: a null text stays null, an empty one empty, both without entities; texts of any length are read whole;
 repeated rows get the same text; null ids keep their rows; an empty table gives an empty result; other columns pass.
@@ -21,18 +28,21 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import secrets
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, small, written
+from .common import freed, in_small_batches, small, written
 
-#: Tweaks that are tried before a template of letters is made longer, and tries in all.
-WIDEN, TRIES = 6, 200
-#: The secret that permutations depend on; pass your own.
-KEY = b"pixweave surrogates"
+#: Tweaks that are tried before a template of letters is made longer, and tries in all; the tweak of kinds that are full.
+WIDEN, TRIES, FULL = 6, 60, -1
+#: Entities per task when surrogates are made.
+PER_TASK = 20_000
+#: The session setting that holds the secret (in hex) which permutations depend on.
+SETTING = "spark.pixweave.pii.key"
 
 GIVEN = {
     ("f", "latin"): "anna maria julia laura sofia emma clara elena lucia marta alice sarah emily olivia grace hannah claire camille ingrid carmen".split(),
@@ -54,6 +64,17 @@ _ALPHABETS = {
 _CLASS = {c: k for k in ("latin-vowel", "latin-consonant", "accent-vowel", "accent-consonant", "cyrillic-vowel", "cyrillic-consonant", "greek-vowel", "greek-consonant", "digit") for c in _ALPHABETS[k]}
 
 _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
+#: What names follow, as whole words: in English, German, French, Spanish and Russian.
+CUES = (
+    "met meet meets with from dear contact contacted call called ask asked by signed sincerely regards named author mentor and told thanked emailed "
+    "mit von an und liebe lieber getroffen traf gezeichnet avec chère cher rencontré par et con estimado estimada querido querida por y для от уважаемый уважаемая и"
+).split()
+#: Capitalised words that make a phrase no name.
+NOT_NAMES = frozenset(
+    "general public license licence version apache creative commons gnu mit bsd mozilla foundation software street avenue road city university college institute company inc ltd "
+    "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday "
+    "north south east west new united states kingdom republic the a an this that these those of in on for to at is are was privacy policy terms service contact home about".split()
+)
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][a-zß-öø-ÿа-яёα-ωά-ώš-žčćđłńřť]+"
 #: In this order; an entity starts where no earlier one covers the text.
 PATTERNS = (
@@ -68,7 +89,11 @@ PATTERNS = (
     ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])")),
     ("name", re.compile(rf"\b(?:{_TITLE})\b\.?\s+({_CAPITAL}(?:[ -]{_CAPITAL}){{0,2}})")),
     ("name", re.compile(r"\b((?:" + "|".join(n.capitalize() for n in _LISTED) + rf")(?: {_CAPITAL}){{1,2}})")),
+    ("name", re.compile(rf"(?<![^\W\d_])(?i:{'|'.join(CUES)}),?\s+({_CAPITAL}(?: {_CAPITAL}){{1,2}})(?![^\W\d_])")),
 )
+_CUED = PATTERNS[-1][1]
+_PAIR = re.compile(rf"(?<![^\W\d_]){_CAPITAL} {_CAPITAL}")
+_WORD = re.compile(rf"(?<![^\W\d_]){_CAPITAL}(?![^\W\d_])")
 #: Where patterns of digits can lie, and what a text must hold for the others to be tried.
 _DIGITS = re.compile(r"[+(0-9][0-9 ().+-]{5,}[0-9]")
 _NUMERIC = ("ip", "card", "ssn", "phone")
@@ -113,11 +138,16 @@ class Permutation:
                 return x
 
 
+def family(kind: str) -> str:
+    """Given names of all genders and scripts are one family of surrogates, and so on."""
+    return kind.partition("-")[0]
+
+
 class Surrogates:
     """Surrogates of canonical entities under one key."""
 
-    def __init__(self, key: bytes):
-        self.key, self.made, self.known = key, {}, {}
+    def __init__(self, key: bytes, full: Iterable[str] = ()):
+        self.key, self.made, self.known, self.full = key, {}, {}, frozenset(full)
 
     def _move(self, name: str, x: int, size: int, tweak: int) -> int:
         if size < 2:
@@ -144,6 +174,8 @@ class Surrogates:
         return "".join(reversed(out))
 
     def __call__(self, kind: str, value: str, tweak: int = 0) -> str:
+        if family(kind) in self.full:
+            tweak = FULL
         known = self.known.get((kind, value, tweak))
         if known is None:
             if len(self.known) > 200_000:
@@ -152,7 +184,7 @@ class Surrogates:
         return known
 
     def _made(self, kind: str, value: str, tweak: int) -> str:
-        longer = tweak // WIDEN  # a template that has no room left gives way to a longer one
+        longer = max(tweak, 0) // WIDEN  # a template that has no room left gives way to a longer one
         if kind == "email":
             local, _, domain = value.rpartition("@")
             local += local[0] * longer
@@ -237,8 +269,9 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     tried = {
         "email": "@" in text, "iban": bool(runs) and _IBAN.search(text) is not None, "mac": text.count(":") > 4 or text.count("-") > 4,
         "secret": any(s in low for s in _SECRETS) or any(s in text for s in _PREFIXES),
-        "name": any(t in text for t in _GENDER) or any(n in text for n in _CAPITALS),
+        "name": any(t in text for t in _GENDER) or any(n in text for n in _CAPITALS) or _PAIR.search(text) is not None,
     }
+    people: dict[str, str] = {}  # words of names, and their kinds
     for kind, pattern in PATTERNS:
         where = runs if kind in _NUMERIC else [(0, len(text))] if tried[kind] else []
         for m in (m for x, y in where for m in pattern.finditer(text, x, y)):
@@ -252,12 +285,20 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 found.append((a, b, kind, canonical(kind, text[a:b])))
                 continue
             words = [(a + w.start(), a + w.end(), w[0]) for w in re.finditer(r"[^\s-]+", text[a:b])]
+            if pattern is _CUED and (len({w for _, _, w in words}) < len(words) or any(w.lower() in NOT_NAMES for _, _, w in words)):
+                taken.pop()
+                continue
             title = text[m.start() : a].strip(" .\n\t")
             for i, (x, y, w) in enumerate(words):
                 script = _script(w)
                 gender = _GENDER.get(title) or _LISTED.get(w.lower(), ("", ""))[0]
                 given = w.lower() in _LISTED or i < len(words) - 1
                 found.append((x, y, f"given-{gender}-{script}" if given else f"surname-{script}", w.lower()))
+                people.setdefault(w, found[-1][2])
+    if people:  # the same words elsewhere in the text mean the same people
+        starts = {x for x, _ in taken}
+        inside = lambda x: any(p <= x < q for p, q in taken)
+        found += [(m.start(), m.end(), people[m[0]], m[0].lower()) for m in _WORD.finditer(text) if m[0] in people and m.start() not in starts and not inside(m.start())]
     return sorted(found)
 
 
@@ -309,45 +350,78 @@ def _listed(names: Iterable[str] = tuple(_LISTED)) -> Column:
     return F.col("kind").startswith("given") & F.col("value").isin(list(names))
 
 
-def tweaks(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, value, tweak): the entities whose first surrogate collides, with the tweak under which none does."""
-    made: Surrogates = Surrogates(key)
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's setting holds; without one a random key, which this driver keeps to its end.
+
+    Whoever has the key can turn surrogates back, so none is part of the code. Set it to get the same ones in every run.
+    """
+    held = spark.conf.get(SETTING, None)
+    if held:
+        return bytes.fromhex(held)
+    if not _random:
+        _random.append(secrets.token_bytes(32))
+    return _random[0]
+
+
+_random: list[bytes] = []
+
+
+def tweaks(entities: DataFrame, key: bytes) -> tuple[DataFrame, list[str]]:
+    """(kind, value, tweak): the entities whose first surrogate collides, with the tweak under which none does; and the
+    families that are too full for that."""
+    spark, made = entities.sparkSession, Surrogates(key)
 
     def surrogate(kinds: pa.Array, values: pa.Array, tweak: pa.Array) -> pa.Array:
         return pa.array([made(*x) for x in zip(kinds.to_pylist(), values.to_pylist(), tweak.to_pylist(), strict=True)], pa.string())
 
     make = F.arrow_udf(surrogate, "string")
-    family = F.regexp_extract("kind", "^[a-z]+", 0)  # given names of all genders are one family of surrogates
     found = written(entities.select("kind", "value").distinct(), "pii-distinct")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-found.counted // PER_TASK))
     taken = {r.value for r in found.filter(_listed()).select("value").distinct().collect()}
-    full = [n for names in GIVEN.values() if 2 * len(taken & set(names)) > len(names) for n in names]  # fewer names to spare than needed
-    state = written(found.withColumn("tweak", F.when(_listed(full), WIDEN).otherwise(0)), "pii-entities")
-    originals = state.select(family.alias("f"), F.col("value").alias("v")).distinct()
-    for _ in range(TRIES):
-        x = written(state.withColumn("family", family).withColumn("surrogate", make("kind", "value", "tweak")), "pii-surrogates")
+    full_lists = [n for names in GIVEN.values() if 2 * len(taken & set(names)) > len(names) for n in names]  # fewer names to spare than needed
+    family_ = F.split_part("kind", F.lit("-"), F.lit(1))
+    todo = found.withColumn("tweak", F.when(_listed(full_lists), WIDEN).otherwise(0)).withColumn("family", family_)
+    originals = written(todo.select(F.col("family").alias("f"), F.col("value").alias("v")).distinct(), "pii-originals")
+    settled, full = None, []  # (kind, value, tweak, family, surrogate)
+    for attempt in range(TRIES + 1):
+        x = written(todo.repartition(tasks, "kind", "value").withColumn("surrogate", make("kind", "value", "tweak")), "pii-surrogates")
         theirs = x.join(originals, (F.col("family") == F.col("f")) & (F.col("surrogate") == F.col("v")), "left_semi").select("kind", "value")
-        first = x.groupBy("family", "surrogate").agg(F.min(F.struct("tweak", "kind", "value")).alias("m"), F.count("*").alias("n")).filter("n > 1")
+        every = x if settled is None else x.unionByName(settled)
+        meeting = x.select("family", "surrogate").distinct()
+        first = every.join(meeting, ["family", "surrogate"], "left_semi").groupBy("family", "surrogate").agg(F.min(F.struct("tweak", "kind", "value")).alias("m"), F.count("*").alias("n")).filter("n > 1")
+        first = written(first, "pii-meeting")
         same = _listed() & (F.col("value") == F.col("m.value"))  # a listed name is one name, whatever title it comes with
-        twice = x.join(first, ["family", "surrogate"]).filter((F.struct("tweak", "kind", "value") != F.col("m")) & ~same).select("kind", "value")
-        moved = written(theirs.unionByName(twice).distinct().withColumn("again", F.lit(1)), "pii-moved")
-        if not moved.limit(1).count():
-            return state.filter("tweak > 0")
-        state = written(state.join(moved, ["kind", "value"], "left").select("kind", "value", (F.col("tweak") + F.coalesce("again", F.lit(0))).alias("tweak")), "pii-entities")
-    raise ValueError("a format has more entities than distinct surrogates")
+        twice = every.join(first, ["family", "surrogate"]).filter((F.struct("tweak", "kind", "value") != F.col("m")) & ~same).select("kind", "value")
+        moved = written(theirs.unionByName(twice).distinct(), "pii-moved")
+        rest = every.join(moved, ["kind", "value"], "left_anti")
+        if not moved.counted or attempt == TRIES:
+            full = [r.family for r in moved.select(family_.alias("family")).distinct().collect()]
+            return rest.filter((F.col("tweak") > 0) & ~F.col("family").isin(full)).select("kind", "value", "tweak"), full
+        again = written(every.join(moved, ["kind", "value"], "left_semi").select("kind", "value", (F.col("tweak") + 1).alias("tweak"), "family"), "pii-again")
+        settled_ = written(rest, "pii-settled")
+        freed(x, first, moved, *([] if settled is None else [settled]), *([todo] if attempt else []))
+        settled, todo = settled_, again
+    raise AssertionError
 
 
 @in_small_batches
-def surrogate_texts(docs: DataFrame, key: bytes = KEY, into: str = "pii") -> DataFrame:
-    """``docs`` with a struct column: text (the new one), kinds, starts and ends (of the entities in the new text)."""
+def surrogate_texts(docs: DataFrame, key: bytes | None = None, into: str = "pii") -> DataFrame:
+    """``docs`` with a struct column: text (the new one), kinds, starts and ends (of the entities in the new text).
+
+    Without a ``key`` the session's is taken.
+    """
+    key = key or session_key(docs.sparkSession)
     entities = written(_entities(docs.select("doc_id", "text")), "pii-found")
-    odd = written(tweaks(entities, key), "pii-odd")
+    odd, full = tweaks(entities, key)
+    odd = written(odd, "pii-odd")
     everywhere = {(r.kind, r.value): r.tweak for r in odd.filter(_listed()).collect()}  # many documents hold them
-    per = entities.join(small(odd.filter(~_listed())), ["kind", "value"]).groupBy("doc_id", "dk").agg(F.collect_set(F.struct("kind", "value", "tweak")).alias("_odd"))
-    per = written(per.select(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk"), "_odd"), "pii-exceptions")
-    x = docs.join(small(per), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_dk")), "left")
+    per = entities.join(small(odd.filter(~_listed())), ["kind", "value"]).groupBy("doc_id", "dk").agg(F.collect_set(F.struct("kind", "value", "tweak")).alias("odd"))
+    per = written(per.select(F.col("doc_id").alias("id"), F.col("dk").alias("key"), "odd"), "pii-exceptions")
+    held = docs.select(F.xxhash64("text").alias("dk"), F.struct(*docs.columns).alias("row"))
+    x = held.join(small(per), F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("dk") == F.col("key")), "left")
 
     def run(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        make = Surrogates(key)
+        make = Surrogates(key, full)
         for text, exceptions in texts:
             rows = [replaced(t, make, everywhere | {(o["kind"], o["value"]): o["tweak"] for o in odd or ()}) for t, odd in zip(text.to_pylist(), exceptions.to_pylist(), strict=True)]
             ints = pa.list_(pa.int32())
@@ -355,10 +429,11 @@ def surrogate_texts(docs: DataFrame, key: bytes = KEY, into: str = "pii") -> Dat
 
     run.__annotations__ = {"texts": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     made = F.arrow_udf(run, "text string, kinds array<string>, starts array<int>, ends array<int>")
-    return x.withColumn(into, made("text", "_odd")).drop("_id", "_dk", "_odd")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c != into]
+    return x.select(*kept, made("row.text", "odd").alias(into))
 
 
-def digest(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def digest(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """(doc_id, text, n_entities, kinds, starts, ends): texts with surrogates and where these are."""
     x = surrogate_texts(docs.select("doc_id", "text"), key)
     return x.select("doc_id", F.col("pii.text").alias("text"), F.size("pii.kinds").cast("long").alias("n_entities"), "pii.kinds", "pii.starts", "pii.ends")

@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words and their first 4, 5 and 6 letters, so that inflected forms meet. A bounded sample of
-labelled rows gives the vocabulary (all of its terms, known by 64-bit marks), the document frequencies and the
+labelled rows gives the vocabulary (all of its terms), the document frequencies and the
 examples, all of them. Like examples form a block. The weights of terms that are frequent in a block are held densely,
 with each term's largest weight in the block; all others are postings (example, weight). For a batch of queries the
 postings are added up, and these sums and the largest weights bound every block; blocks are scored in falling order of
@@ -16,20 +16,22 @@ rows every score is 0; an empty table gives an empty result; extra columns are p
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import math
 import pickle
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, written
+from .common import in_small_batches, written
 
 #: Labelled rows that the model is fitted on, at most: the model's size doesn't grow with the data.
 SAMPLE = 12_000
@@ -54,8 +56,9 @@ def term_counts(text: str | None) -> Counter:
     return out
 
 
-def mark(term: str) -> int:
-    return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def number(doc_id: str) -> int:
+    """An example's id where it is a whole number, else -1."""
+    return int(doc_id) if doc_id.removeprefix("-").isdigit() else -1
 
 
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -71,53 +74,56 @@ def held_out(doc_id: Column) -> Column:
 class Model:
     """Vocabulary, inverted index and calibration."""
 
-    terms: np.ndarray  # marks, ascending
+    terms: list[str]  # ascending
     idf: np.ndarray
-    ids: np.ndarray
+    ids: np.ndarray  # as text
     toxic: np.ndarray
     starts: np.ndarray  # of each term and one past the last: its first posting
-    example: np.ndarray  # of each posting, as is the next
-    weight: np.ndarray
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # examples; frequent terms; their largest weights; all, term x example
+    postings: np.ndarray  # rows of an example's number and the bits of a 32-bit weight
+    blocks: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]  # first example, one past the last; frequent terms; their largest weights; all, term x example
     base: float = 0.0
     curve: np.ndarray = field(default_factory=lambda: (np.arange(BINS) + 0.5) / BINS)
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    known: dict[str, int] = field(default_factory=dict)  # words seen lately, by number; the next two hold their terms
+    held: array = field(default_factory=lambda: array("i"))
+    ends: array = field(default_factory=lambda: array("q", [0]))
+    place: dict[str, int] = field(default_factory=dict)  # of every term, once it is asked for
     columns: list[np.ndarray] = field(default_factory=list)
 
     @classmethod
-    def of(cls, ids: np.ndarray, toxic: np.ndarray, marks: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> Model:
-        """The index of examples with ``sizes`` terms each, whose marks and counts follow each other."""
+    def of(cls, ids: np.ndarray, toxic: np.ndarray, terms: list[str], places: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> Model:
+        """The index of examples with ``sizes`` terms each, whose places in ``terms`` and counts follow each other."""
         n = len(ids)
-        order = np.argsort(marks, kind="stable")
-        marks = marks[order]
+        order = np.argsort(places, kind="stable")
         example = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
         weight = (1 + np.log(counts[order].astype(np.float32))).astype(np.float32)
         del order
-        starts = np.flatnonzero(np.concatenate([np.ones(min(len(marks), 1), bool), marks[1:] != marks[:-1]]))
-        held = np.diff(np.append(starts, len(marks)))
-        terms, idf = marks[starts], 1 + np.log(n / held)
-        del marks
+        held = np.bincount(places, minlength=len(terms))
+        idf = 1 + np.log(n / np.maximum(held, 1))
         weight *= np.repeat(idf.astype(np.float32), held)
         weight /= np.sqrt(np.maximum(np.bincount(example, weight.astype(np.float64) ** 2, n), 1e-24)).astype(np.float32)[example]
         term = np.repeat(np.arange(len(terms), dtype=np.int32), held)
-        blocks, rest = [], np.ones(len(term), bool)
         near = cls._alike(n, term, example, weight, held)
-        for b in range(BLOCKS):
-            own = np.flatnonzero(near == b)
-            inside = near[example] == b
-            often = np.flatnonzero(np.bincount(term[inside], minlength=len(terms)) >= max(OFTEN * len(own), 8))
-            column, row = np.full(len(terms), -1, np.int32), np.full(n, -1, np.int32)
-            column[often], row[own] = np.arange(len(often)), np.arange(len(own))
+        order = np.argsort(near, kind="stable")  # examples of a block get numbers in a row
+        number = np.empty(n, np.int32)
+        number[order] = np.arange(n)
+        example, ids, toxic, bare = number[example], ids[order], toxic[order], sizes[order] == 0
+        cuts = np.searchsorted(near[order], np.arange(BLOCKS + 1)).tolist()
+        blocks, rest = [], np.ones(len(term), bool)
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            inside = (example >= first) & (example < last)
+            often = np.flatnonzero(np.bincount(term[inside], minlength=len(terms)) >= max(OFTEN * (last - first), 8))
+            column = np.full(len(terms), -1, np.int32)
+            column[often] = np.arange(len(often))
             dense = inside & (column[term] >= 0)
-            weights = np.zeros((len(often), len(own)), np.float32)
-            weights[column[term[dense]], row[example[dense]]] = weight[dense]
+            weights = np.zeros((len(often), last - first), np.float32)
+            weights[column[term[dense]], example[dense] - first] = weight[dense]
             rest &= ~dense
-            if len(own):
-                blocks.append((own, often, weights.max(1), weights))
+            if last > first:
+                blocks.append((first, last, often, weights.max(1), weights))
         starts = np.append(0, np.cumsum(np.bincount(term[rest], minlength=len(terms))))
-        bare = sizes == 0  # texts without a term
-        base = (float(toxic[bare].sum()) + 0.01) / (float(bare.sum()) + 1)
-        return cls(terms, idf, ids, toxic, starts, example[rest], weight[rest], blocks, base)
+        postings = np.stack([example[rest], weight[rest].view(np.int32)], 1)
+        base = (float(toxic[bare].sum()) + 0.01) / (float(bare.sum()) + 1)  # of texts without a term
+        return cls(terms, idf, ids, toxic, starts, postings, blocks, base)
 
     @staticmethod
     def _alike(n: int, term: np.ndarray, example: np.ndarray, weight: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -138,76 +144,100 @@ class Model:
     def weights(self) -> np.ndarray:
         """The index as a dense array, term x example; only for small models."""
         out = np.zeros((len(self.terms), len(self.ids)), np.float32)
-        out[np.repeat(np.arange(len(self.terms)), np.diff(self.starts)), self.example] = self.weight
-        for own, often, _, weights in self.blocks:
-            out[np.ix_(often, own)] += weights
+        out[np.repeat(np.arange(len(self.terms)), np.diff(self.starts)), self.postings[:, 0]] = self.postings[:, 1].copy().view(np.float32)
+        for first, last, often, _, weights in self.blocks:
+            out[often, first:last] += weights
         return out
 
-    def places(self, marks: list[int]) -> list[int]:
-        """The terms with these marks; -1 for one that no example holds."""
-        if not len(self.terms):
-            return [-1] * len(marks)
-        at = np.searchsorted(self.terms, marks).clip(max=len(self.terms) - 1)
-        return np.where(self.terms[at] == marks, at, -1).tolist()
-
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms and their weights, of length 1."""
-        counts, found = Counter(WORD.findall((text or "").lower())), {}
+        return self.vectors([text])[0]
+
+    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``vector`` of each text."""
         if len(self.known) > KNOWN:
-            self.known.clear()
-        known = self.known
-        if new := [word for word in counts if word not in known]:
-            of = [[*{word, *(word[:p] for p in PREFIXES)}] for word in new]
-            at = iter(self.places([mark(t) for ts in of for t in ts]))
-            for word, ts in zip(new, of, strict=True):
-                known[word] = tuple(i for i in (next(at) for _ in ts) if i >= 0)
-        for word, n in counts.items():
-            for t in known[word]:
-                found[t] = found.get(t, 0) + n
-        return self.weighted(found)
-
-    def weighted(self, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(found), np.int64)
-        w = (1 + np.log(np.array([found[t] for t in at.tolist()]))) * self.idf[at] if len(at) else np.zeros(0)
-        return at, w / max(math.sqrt((w * w).sum()), 1e-12)
+            self.known, self.held, self.ends = {}, array("i"), array("q", [0])
+        counts = [Counter(WORD.findall((t or "").lower())) for t in texts]
+        self._learn([*(set().union(*counts) - self.known.keys())])
+        known, held, ends = self.known, np.array(self.held, np.int64), np.array(self.ends)
+        query = np.repeat(np.arange(len(texts)), [len(c) for c in counts])
+        word = np.array([known[w] for c in counts for w in c], np.int64)
+        n = np.array([k for c in counts for k in c.values()], np.int64)
+        sizes = (ends[1:] - ends[:-1])[word]
+        key = np.repeat(query, sizes) * len(self.terms) + held[spans(ends[word], sizes)]
+        by = np.argsort(key)
+        key, n = key[by], np.repeat(n, sizes)[by]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        query, term = np.divmod(key[first], max(len(self.terms), 1))
+        weight = (1 + np.log(np.add.reduceat(n, first) if len(first) else n)) * self.idf[term]
+        weight /= np.sqrt(np.maximum(np.bincount(query, weight * weight, len(texts)), 1e-24))[query]
+        cuts = np.cumsum(np.bincount(query, minlength=len(texts)))[:-1]
+        return list(zip(np.split(term, cuts), np.split(weight, cuts), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        """Look up the words' terms: the word, and its prefixes if it is longer."""
+        if not self.place:
+            self.place.update(zip(self.terms, range(len(self.terms)), strict=True))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        found = np.empty((len(words), len(PREFIXES) + 1), np.int64)
+        for j, begin in enumerate([words, *([w[:p] for w in words] for p in PREFIXES)]):
+            found[:, j] = [-1 if at is None else at for at in map(self.place.get, begin)]
+        holds = found >= 0
+        holds[:, 1:] &= size[:, None] > np.array(PREFIXES)
+        self.known.update(zip(words, range(len(self.ends) - 1, len(self.ends) - 1 + len(words)), strict=True))
+        self.ends.extend((self.ends[-1] + np.cumsum(holds.sum(1))).tolist())
+        self.held.extend(found[holds].tolist())
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k examples of the largest cosine above 0, largest first, ties to the first example."""
         return self.search([(at, w)], k)[0]
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
-        """``nearest`` of each query."""
-        best: list[list[tuple[float, int]]] = [[] for _ in queries]
-        if not self.blocks:
-            return best
+        """``nearest`` of each query.
+
+        A query's block of the largest bound is scored first; its k-th best cosine is the floor that other blocks'
+        bounds have to reach to be scored as well.
+        """
+        n, count = len(self.ids), len(queries)
+        if not self.blocks or not count:
+            return [[] for _ in queries]
         if not self.columns:
-            for _, often, _, _ in self.blocks:
-                self.columns.append(np.full(len(self.terms), -1, np.int16 if len(often) < 1 << 15 else np.int32))
+            for _, _, often, _, _ in self.blocks:
+                self.columns.append(np.full(len(self.terms), -1, np.int32))
                 self.columns[-1][often] = np.arange(len(often))
-        rest = np.zeros((len(queries), len(self.ids)), np.float32)
-        dense = [np.zeros((len(queries), len(often)), np.float32) for _, often, _, _ in self.blocks]
+        cosine = np.zeros((count, n), np.float32)
         for i, (at, w) in enumerate(queries):
             sizes = self.starts[at + 1] - self.starts[at]
-            posting = spans(self.starts[at], sizes)
-            rest[i] = np.bincount(self.example[posting], np.repeat(w, sizes) * self.weight[posting], len(self.ids))
-            for column, d in zip(self.columns, dense, strict=True):
-                c = column[at]
-                d[i, c[c >= 0]] = w[c >= 0]
-        parts = [rest[:, own] for own, *_ in self.blocks]
-        bound = np.stack([p.max(1) + d @ most for p, d, (_, _, most, _) in zip(parts, dense, self.blocks, strict=True)], 1) * (1 + 1e-5)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        for turn in range(len(self.blocks)):
-            for b, (own, _, _, weights) in enumerate(self.blocks):
-                floor = [x[-1][0] if len(x) == k else 0.0 for x in best]
-                rows = [i for i in np.flatnonzero(order[:, turn] == b).tolist() if bound[i, b] > 0 and bound[i, b] >= floor[i]]
-                if not rows:
-                    continue
-                cosines = parts[b][rows] + dense[b][rows] @ weights
-                for i, s in zip(rows, cosines, strict=True):
-                    bar = max(floor[i], float(np.partition(s, -k)[-k]) if len(s) > k else 0.0)
-                    hit = np.flatnonzero((s > 0) & (s >= bar))
-                    best[i] = sorted([*best[i], *zip(s[hit].tolist(), own[hit].tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            posting = self.postings.take(spans(self.starts[at], sizes), axis=0)
+            cosine[i] = np.bincount(posting[:, 0], np.repeat(w, sizes) * posting[:, 1].copy().view(np.float32), n)
+        every, weight = (np.concatenate([q[j] for q in queries]) for j in (0, 1))
+        row = np.repeat(np.arange(count), [len(at) for at, _ in queries])
+        dense, bound = [], np.empty((count, len(self.blocks)))
+        for b, (first, last, often, most, _) in enumerate(self.blocks):
+            column = self.columns[b][every]
+            has = column >= 0
+            dense.append(np.zeros((count, len(often)), np.float32))
+            dense[-1][row[has], column[has]] = weight[has]
+            bound[:, b] = (cosine[:, first:last].max(1) + dense[-1] @ most) * (1 + 1e-5)
+        best, floor = bound.argmax(1), np.zeros(count)
+        for b, (first, last, _, _, weights) in enumerate(self.blocks):
+            if len(rows := np.flatnonzero(best == b)):
+                part = cosine[rows, first:last] + dense[b][rows] @ weights
+                cosine[rows, first:last] = part
+                if last - first >= k:
+                    floor[rows] = np.partition(part, last - first - k, 1)[:, last - first - k]
+        for b, (first, last, _, _, weights) in enumerate(self.blocks):
+            other = best != b
+            open_ = other & (bound[:, b] > 0) & (bound[:, b] >= floor)
+            if len(rows := np.flatnonzero(open_)):
+                cosine[rows, first:last] += dense[b][rows] @ weights
+            cosine[other & ~open_, first:last] = 0
+        bar = np.partition(cosine, n - k, 1)[:, n - k] if n > k else np.zeros(count)
+        out = []
+        for row_, low in zip(cosine, bar, strict=True):
+            hit = np.flatnonzero((row_ > 0) & (row_ >= low))
+            out.append(list(zip(row_[hit].tolist(), hit.tolist(), strict=True)))
+        return [sorted(x, key=lambda y: (-y[0], y[1]))[:k] for x in out]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         weights = [(1 / (1.05 - min(s, 1.0)), i) for s, i in near]
@@ -219,85 +249,109 @@ class Model:
     def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int], list[float]]]:
         """Each text's score, and the ids and cosines of the examples that it comes from."""
         for i in range(0, len(texts), AT_ONCE):
-            for near in self.search([self.vector(t) for t in texts[i : i + AT_ONCE]], NEIGHBOURS):
-                yield (self.calibrated(self.vote(near)), [int(self.ids[i]) for _, i in near], [s for s, _ in near]) if near else (self.base, [], [])
+            for near in self.search(self.vectors(texts[i : i + AT_ONCE]), NEIGHBOURS):
+                yield (self.calibrated(self.vote(near)), [number(self.ids[i]) for _, i in near], [s for s, _ in near]) if near else (self.base, [], [])
 
-    def calibrate(self, votes: list[tuple[float, bool]]) -> None:
-        """Set the curve from leave-one-out votes: each bin's rate of toxic examples, never falling."""
-        middle = (np.arange(BINS) + 0.5) / BINS
-        rates = []
-        for b in range(BINS):
-            own = [y for v, y in votes if min(int(v * BINS), BINS - 1) == b]
-            rates.append((sum(own) + 2 * middle[b]) / (len(own) + 2))
-        self.curve = np.maximum.accumulate(np.array(rates))
 
+def packed(model: Model) -> list:
+    """The model as a few pieces of bytes: one with its structure, then its arrays' memory."""
+    arrays: list[pickle.PickleBuffer] = []
+    head = pickle.dumps(model, 5, buffer_callback=arrays.append)
+    return [head, *(x.raw() for x in arrays)]
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+
+def unpacked(pieces: list[bytearray]) -> Model:
+    """The model of ``packed``; its arrays share the pieces' memory."""
+    return pickle.loads(pieces[0], buffers=pieces[1:])
+
+
+@dataclass
+class Fitted:
+    """A broadcast model, and what calibration found."""
+
+    sent: Broadcast
+    curve: np.ndarray | None = None
+    base: float | None = None
+
+    def model(self) -> Model:
+        m = unpacked(self.sent.value)
+        m.curve = m.curve if self.curve is None else self.curve
+        m.base = m.base if self.base is None else self.base
+        return m
+
+
+def curve(votes: DataFrame) -> np.ndarray:
+    """For each bin of leave-one-out votes (vote, toxic) the rate of toxic examples, never falling."""
+    bin_ = F.least(F.floor(F.col("vote") * BINS), F.lit(BINS - 1)).alias("bin")
+    held = {r.bin: (r.n, r.bad) for r in votes.groupBy(bin_).agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("bad")).collect()}
+    rates = []
+    for b in range(BINS):
+        n, bad = held.get(b, (0, 0))
+        rates.append((bad + 2 * (b + 0.5) / BINS) / (n + 2))
+    return np.maximum.accumulate(np.array(rates))
+
+
+@in_small_batches
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:
     """A model from at most ``sample`` labelled rows that aren't held out; what reaches the driver is bounded by it."""
     spark = docs.sparkSession
-    text_batches(spark)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample))
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text")
-    rows = written(texts.dropDuplicates(["doc_id"]), "toxicity-sample")  # texts are shorter than their lists of terms
+    # A row per id, with its least text where texts differ. Texts are shorter than their lists of terms.
+    rows = written(texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "toxicity-sample")
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks: dict[str, int] = {}
+        numbers: dict[str, int] = {}
         found = []
         for b in batches:
             for name, toxic, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 counts = term_counts(text)
-                if len(marks) > KNOWN:
-                    marks.clear()
-                for t in counts:
-                    if t not in marks:
-                        marks[t] = mark(t)
-                found.append((toxic, name, np.array([marks[t] for t in counts], np.int64), np.array(list(counts.values()), np.int32)))
+                found.append((toxic, name, np.array([numbers.setdefault(t, len(numbers)) for t in counts], np.int64), np.array(list(counts.values()), np.int32)))
         found.sort(key=lambda x: x[:2])
-        ids = np.array([int(x[1]) if x[1].lstrip("-").isdigit() else -1 for x in found], np.int64)
-        toxic, names, sizes = np.array([x[0] == 1 for x in found], bool), {x[1]: i for i, x in enumerate(found)}, np.array([len(x[2]) for x in found], np.int64)
+        terms = sorted(numbers)
+        place = np.empty(len(terms), np.int64)
+        place[[numbers[t] for t in terms]] = np.arange(len(terms))
+        ids, toxic, sizes = np.array([x[1] for x in found], object), np.array([x[0] == 1 for x in found], bool), np.array([len(x[2]) for x in found], np.int64)
         every, counts = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]) for i in (2, 3))
-        del found, marks
-        raw = pickle.dumps((Model.of(ids, toxic, every, sizes, counts), names), 5)
-        for i in range(0, len(raw), PART):
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([raw[i : i + PART]], pa.binary())], ["at", "raw"])
-
-    # One task makes the index of the bounded sample; the driver gets it as it is sent on.
-    parts = sorted(rows.coalesce(1).mapInArrow(built, "at long, raw binary").collect())
-    model, names = pickle.loads(b"".join(p.raw for p in parts)) if parts else (None, {})
-    del parts
-    if not names:
+        del found, numbers
+        for i, raw in enumerate(packed(Model.of(ids, toxic, terms, place[every], sizes, counts))):
+            for at in range(0, max(len(raw), 1), PART):
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([at]), pa.array([bytes(raw[at : at + PART])], pa.binary())], ["i", "at", "raw"])
+
+    # One task makes the index of the bounded sample. The driver passes on its bytes, part by part, without unpacking them.
+    parts = written(rows.coalesce(1).mapInArrow(built, "i long, at long, raw binary"), "toxicity-index")
+    pieces: list[bytearray] = []
+    for part in parts.orderBy("i", "at").toLocalIterator() if rows.counted else ():
+        if part["at"] == 0:
+            pieces.append(bytearray())
+        pieces[-1] += part["raw"]
+    if not pieces:
         none = np.zeros(0, np.int64)
-        model = Model.of(none, none == 1, none, none, none)
-        model.base = 0.0
-        return model
-    sent = spark.sparkContext.broadcast((model, names))
+        return Fitted(spark.sparkContext.broadcast([bytearray(x) for x in packed(Model.of(none, none == 1, [], none, none, none))]), base=0.0)
+    sent = spark.sparkContext.broadcast(pieces)
+    del pieces
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, number = sent.value
+        m = unpacked(sent.value)
         for b in batches:
             ids, texts, votes = b.column(0).to_pylist(), b.column(2).to_pylist(), []
             for i in range(0, len(texts), AT_ONCE):
-                found = m.search([m.vector(t) for t in texts[i : i + AT_ONCE]], NEIGHBOURS + 1)
+                found = m.search(m.vectors(texts[i : i + AT_ONCE]), NEIGHBOURS + 1)
                 for name, near in zip(ids[i : i + AT_ONCE], found, strict=True):
-                    near = [x for x in near if x[1] != number[name]][:NEIGHBOURS]
+                    near = [x for x in near if m.ids[x[1]] != name][:NEIGHBOURS]
                     votes.append(m.vote(near) if near else None)
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column(1)], ["vote", "toxic"])
 
     votes = rows.mapInArrow(voted, "vote double, toxic int")
-    model.calibrate([(r.vote, r.toxic == 1) for r in votes.filter("vote is not null").collect()])
-    sent.destroy()
-    return model
+    return Fitted(sent, curve(votes.filter("vote is not null")))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", into: str = "toxicity") -> DataFrame:
+def score(docs: DataFrame, model: Fitted, text: str = "text", into: str = "toxicity") -> DataFrame:
     """``docs`` with a struct column: score, neighbours (ids of the nearest examples) and cosines."""
-    text_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
     @F.arrow_udf("score double, neighbours array<long>, cosines array<double>")
     def scored(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = sent.value
+        m = model.model()
         for part in column:
             rows = list(m.scores(part.to_pylist()))
             yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["score", "neighbours", "cosines"])

@@ -167,18 +167,20 @@ def top(rows, every, k, score):
     return out
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e5])
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e11, 1e30])
 def test_exact_topk(spark, scale):
     rows, df = vectors(spark, kind="double")
     rows = [(i, v and [c and c * scale for c in v]) for i, v in rows]
     df = df.withColumn("embedding", F.transform("embedding", lambda c: c * scale))
-    whole = [(i, [math.floor(256 * c) for c in v]) for i, v in good(rows, True)]
-    want = top(whole, 50, 5, lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)))
+    whole = [(i, [min(max(math.floor(256 * c), -(2**63)), 2**63 - 1024) for c in v]) for i, v in good(rows, True)]
+    want = top(whole, 50, 5, lambda a, b: min(max(sum(x * y for x, y in zip(a, b, strict=True)), -(2**63)), 2**63 - 1))
     got = collections.defaultdict(list)
     for r in sorted(exact_topk.top_k(df).collect(), key=lambda r: (r.query_id, r.rank)):
         got[r.query_id].append((r.vec_id, r.score))
     assert dict(got) == {i: x[0] for i, x in want.items()}
     assert exact_topk.top_k(df.limit(0)).count() == 0
+    few = exact_topk.top_k(df.filter("vec_id in (0, 7, 9)")).collect()
+    assert [(r.query_id, r.rank) for r in few] == [(0, 1), (0, 2)]
 
 
 def test_ann(spark):
@@ -230,6 +232,20 @@ def test_suffix_dedup(spark, monkeypatch, many):
     assert suffix_dedup.digest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("many", [512, 5])
+def test_shorter_repeats_are_reported(spark, monkeypatch, many):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    rnd = random.Random(12)
+    make = lambda n: "".join(rnd.choice("abcdefgh é\n") for _ in range(n))
+    shared = make(300)
+    rows = [(i, make(rnd.randint(150, 900)) + (shared if i % 2 else make(300)) + make(rnd.randint(0, 900)), "s") for i in range(60)]
+    got = {r.doc_id: r for r in suffix_dedup.digest(docs(spark, rows)).collect()}
+    assert all(r.n_removed == 0 and (i % 2 or not r.n_repeated) for i, r in got.items())
+    more = {r.n_repeated - len(shared.encode()) for r in got.values() if r.n_repeated}
+    assert more <= set(range(6)) if many > 60 else more <= set(range(suffix_dedup.SHORT - len(shared.encode()), 6))  # a next byte may agree by chance
+    assert sum(r.n_repeated > 0 for r in got.values()) >= 26
+
+
 def test_pieces_of_long_texts(monkeypatch):
     text = bytes(random.Random(4).choice(b"abc") for _ in range(5000))
     whole = [(h, p, f + k) for h, p, f, n in suffix_dedup.segments(text) for k in range(n)]
@@ -264,7 +280,7 @@ def test_toxicity(spark):
 
 def test_block_max_search_is_exact(spark):
     rows = toxic_corpus()
-    model = toxicity.fit(docs(spark, [(i, t, "s") for i, t, _ in rows]), spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))
+    model = toxicity.fit(docs(spark, [(i, t, "s") for i, t, _ in rows]), spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")).model()
     flat = model.weights.reshape(len(model.terms), -1)
     for _, t, _ in rows[:60]:
         at, w = model.vector(t)
@@ -276,10 +292,10 @@ def test_block_max_search_is_exact(spark):
 def test_neighbours_by_all_terms(spark):
     rows = toxic_corpus()
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
-    model = toxicity.fit(docs(spark, [(i, t, "s") for i, t, _ in rows]), labels)
+    model = toxicity.fit(docs(spark, [(i, t, "s") for i, t, _ in rows]), labels).model()
     train = [(i, toxicity.term_counts(t)) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5]
     held = collections.Counter(t for _, c in train for t in c)
-    assert sorted(model.ids.tolist()) == [i for i, _ in train] and len(model.terms) == len(held)
+    assert sorted(map(int, model.ids)) == [i for i, _ in train] and len(model.terms) == len(held)
 
     def vector(counts):
         w = {t: (1 + math.log(n)) * (1 + math.log(len(train) / held[t])) for t, n in counts.items() if t in held}
@@ -287,10 +303,32 @@ def test_neighbours_by_all_terms(spark):
 
     examples = {i: vector(c) for i, c in train}
     tested = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0][:30]
-    for text, (_, ids, cosines) in zip(tested, model.scores(tested), strict=True):
-        q = vector(toxicity.term_counts(text))
+    truth = {i: y for i, _, y in rows}
+
+    def vote(q, left_out=None):
         exact = {i: sum(x * e.get(t, 0.0) for t, x in q.items()) for i, e in examples.items()}
+        near = sorted(((-s, i) for i, s in exact.items() if i != left_out and s > 0))[:15]
+        weights = [(1 / (1.05 + s), truth[i]) for s, i in near]
+        return exact, sum(w for w, y in weights if y) / sum(w for w, _ in weights)
+
+    bins = [[] for _ in range(10)]
+    for i, e in examples.items():
+        v = vote(e, i)[1]
+        bins[min(int(v * 10), 9)].append(truth[i])
+    curve = np.maximum.accumulate([(sum(b) + 2 * (i + 0.5) / 10) / (len(b) + 2) for i, b in enumerate(bins)])
+    for text, (score, ids, cosines) in zip(tested, model.scores(tested), strict=True):
+        exact, v = vote(vector(toxicity.term_counts(text)))
         assert np.allclose(cosines, sorted(exact.values(), reverse=True)[:15], atol=1e-5) and np.allclose(cosines, [exact[i] for i in ids], atol=1e-5)
+        assert abs(score - np.interp(v, (np.arange(10) + 0.5) / 10, curve)) < 0.02
+
+
+def test_a_repeated_id_is_one_example(spark):
+    """Whatever the order of the rows, the least of its texts stands for it."""
+    rows = toxic_corpus(60) + [(1, "zebra text", 0), (1, "aardvark text", 0)]
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    a, b = (toxicity.fit(docs(spark, [(i, t, "s") for i, t, _ in r]), labels).model() for r in (rows, rows[::-1]))
+    assert a.terms == b.terms and (a.ids == b.ids).all() and len(set(a.ids)) == len(a.ids)
+    assert "aardvark" in a.terms and "zebra" not in a.terms
 
 
 # 7
@@ -445,12 +483,49 @@ def test_dropped_keeps_one_of_each_group(spark):
     assert kept.count(None) == 1
 
 
+def test_families_that_share_a_template(spark, monkeypatch):
+    """Clusters of many components are compared in blocks; nothing that is linked gets lost."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 12)
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    for share in (0.4, 0.6, 0.75):
+        template = [rnd.choice(vocabulary) for _ in range(int(200 * share))]
+        for _ in range(80):
+            own = [rnd.choice(vocabulary) for _ in range(200 - len(template))]
+            texts.append(" ".join(template + own))
+            if rnd.random() < 0.3:
+                own[rnd.randrange(len(own))] = "x"
+                texts.append(" ".join(template + own))
+    long = " ".join(rnd.choice(vocabulary) for _ in range(300_000))
+    texts += [long, long + " end", long[: len(long) // 2]]
+    n, comp = components_by_force(texts, 4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.digest(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect())
+    assert got == [(i, n[i], comp[i]) for i in range(len(texts))]
+
+
+def test_components_of_chains_and_stars(spark):
+    name = lambda i: b"%05d" % i
+    links = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(100, 160)] + [(300, 300), (401, 400), (400, 402), (402, 401)]
+    df = spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in links], "a binary, b binary")
+    got = {bytes(r.node): bytes(r.comp) for r in near_dedup.components(df).collect()}
+    assert got == {name(i): name(0) for i in range(1, 61)} | {name(i): name(100) for i in [*range(101, 160), 200]} | {name(401): name(400), name(402): name(400)}
+    assert near_dedup.components(df.limit(0)).count() == 0
+
+
 def test_sketches_estimate_differences():
     rnd = np.random.default_rng(1)
     a = np.unique(rnd.integers(0, 1 << 62, 400, dtype=np.uint64))
     b = np.unique(np.concatenate([a[:360], rnd.integers(0, 1 << 62, 40, dtype=np.uint64)]))
     x, y = (np.frombuffer(s, np.uint8) for s in near_dedup.odd_sketches(near_dedup.samples([a, b])))
     assert np.bitwise_count(x ^ y).sum() <= near_dedup.bar(0.8) < near_dedup.bar(0.7)
+    apart = []
+    for _ in range(300):  # pairs at similarity 0.8: the mean and the spread that the bar is made of
+        both, p, q = (rnd.integers(0, 1 << 62, k, dtype=np.uint64) for k in (400, 50, 50))
+        x, y = (np.frombuffer(z, np.uint8) for z in near_dedup.odd_sketches(near_dedup.samples([np.concatenate([both, p]), np.concatenate([both, q])])))
+        apart.append(int(np.bitwise_count(x ^ y).sum()))
+    mean, high = float(np.mean(apart)), near_dedup.bar(0.8)
+    assert max(apart) <= high and 3.5 < (high - mean) / np.std(apart) < 6.5
 
 
 # The pipeline
