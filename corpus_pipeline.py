@@ -10,34 +10,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixweave.llm import mixing, near_dedup, pii, sentencepiece_codec, toxicity
-from pixweave.llm.common import table, written
+from pixweave.llm.common import fresh, table, written
 from pixweave.llm.queries import model_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below a half; the score is learnt from the table ``labels``."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, into="_toxicity").filter(F.col("_toxicity.score") < 0.5).select(docs.columns)
+    """Documents whose toxicity score is below a half; the score is learnt from the table ``labels``.
+
+    Null and empty texts have the score of labelled texts without words, and stay unless most of those are toxic;
+    repeated rows are judged alike and all stay or go; without labels, or documents, all stay.
+    """
+    model, into = toxicity.fit(docs, table(spark, sf_dir, "labels")), fresh(docs, "toxicity")
+    return toxicity.score(docs, model, into=into).filter(F.col(into)["score"] < 0.5).select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    The smallest id stays, null ids last; of rows that repeat its id and text one. Null, empty and blank texts all stay.
+    """
     return near_dedup.dropped(docs).select(docs.columns)
 
 
 def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for personal data; ``n_chars`` follows the new text."""
-    x = pii.surrogate_texts(docs, into="_pii").withColumn("text", F.col("_pii.text"))
+    """Texts with surrogates for personal data; ``n_chars`` follows the new text.
+
+    Null texts stay null and empty ones empty; repeated rows get the same text. The key is the session's (pii.SETTING).
+    """
+    into = fresh(docs, "pii")
+    x = pii.surrogate_texts(docs, into=into).withColumn("text", F.col(into)["text"])
     return x.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them whole.
+
+    Null, empty and blank texts have no words, so the mix takes none of them; a null source is one of its own;
+    repeated rows are documents of their own.
+    """
     return mixing.mixed(docs).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every row."""
+    """(doc_id, n_tokens, ids) of every row, null ids and repeated rows included; null and empty texts have the two marks only."""
     return sentencepiece_codec.encoded(docs, model_path())
 
 
