@@ -22,6 +22,8 @@ from .common import BROADCAST_ROWS, small, written
 #: Fixed values of the contract: weights repeat along the sources, in code point order.
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
+#: Ranges of names that sources are numbered by.
+RANGES = 64
 #: Cells per level when the documents at the edge of a source's target are looked for.
 CELLS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,22 +46,29 @@ def sized(docs: DataFrame) -> DataFrame:
 def targets(histogram: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(source, source_size, mean, target): the budget poured by weight, none above ``cap`` times its size.
 
-    The level of the water is found in closed form: sources fill up in the order of cap/weight. There is a row per
-    source, so the windows without a partition see as few rows as there are sources.
+    Sources are numbered in code point order by ranges of names: each range is numbered by a task of its own, and the
+    ranges' sizes, few numbers, give what to add. The level of the water is found by Newton steps on sums over all
+    sources; as the sum is concave in the level, the steps rise to it and end once no further source fills up.
     """
     per = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    x = per.withColumn("w", w).withColumn("top", cap * F.col("source_size"))
-    order = Window.orderBy(F.col("top") / F.col("w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = x.withColumn("budget", share * F.sum("source_size").over(everything))
-    x = x.withColumn("level", (F.col("budget") - F.coalesce(F.sum("top").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    reached = F.when(F.col("level") <= F.col("top") / F.col("w"), F.struct(F.row_number().over(order).alias("at"), F.col("level")))
-    x = x.withColumn("level", F.min(reached).over(everything)["level"])
-    target = F.coalesce(F.least("top", F.col("w") * F.col("level")), F.col("top"))
+    ranged = per.repartitionByRange(RANGES, F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    ranged = written(ranged, "mix-sources")
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())
+    at = F.row_number().over(inside) - 1 + F.col("before")
+    w = F.element_at(F.array(*map(F.lit, weights)), (at % len(weights) + 1).cast("int"))
+    x = ranged.join(F.broadcast(before), "range").withColumn("w", w).withColumn("top", cap * F.col("source_size"))
+    x = written(x, "mix-weights")
+    budget, level = share * (x.agg(F.sum("source_size")).first()[0] or 0), 0.0
+    while True:
+        open_ = F.col("top") > F.col("w") * F.lit(level)
+        poured, left = x.agg(F.sum(F.least(F.col("top"), F.col("w") * F.lit(level))), F.sum(F.when(open_, F.col("w")))).first()
+        higher = level + (budget - (poured or 0.0)) / left if left else level
+        if not higher > level * (1 + 1e-15):
+            break
+        level = higher
+    target = F.least(F.col("top"), F.col("w") * F.lit(level))
     return x.select("source", "source_size", (F.col("source_size") / F.col("docs")).alias("mean"), target.alias("target"))
 
 
