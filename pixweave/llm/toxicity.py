@@ -4,8 +4,8 @@ Terms are lower-cased words and their first 4, 5 and 6 letters, so that inflecte
 labelled rows gives the vocabulary (all of its terms), the document frequencies and the
 examples, all of them. Like examples form a block. The weights of terms that are frequent in a block are held densely,
 with each term's largest weight in the block; all others are postings (example, weight). For a batch of queries the
-postings are added up, and these sums and the largest weights bound every block; blocks are scored in falling order of
-their bounds until none can beat the k-th best cosine, so the neighbours are exact. Neighbours vote with weights that
+postings are added up, and these sums and the largest weights bound every block; the block of the largest bound is
+scored, then those whose bound reaches the k-th best cosine in it, so the neighbours are exact. Neighbours vote with weights that
 fall with distance; the vote is calibrated by the examples' own leave-one-out votes. The neighbours are returned as
 evidence.
 
@@ -16,22 +16,22 @@ rows every score is 0; an empty table gives an empty result; extra columns are p
 
 from __future__ import annotations
 
-import itertools
 import math
 import pickle
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, written
+from .common import freed, in_small_batches, sliced, written
 
 #: Labelled rows that the model is fitted on, at most: the model's size doesn't grow with the data.
 SAMPLE = 12_000
@@ -39,7 +39,7 @@ NEIGHBOURS, AT_ONCE = 15, 256
 #: Blocks of like examples, the terms that tell them apart, and the share of a block that makes a term frequent in it.
 BLOCKS, LIKE, OFTEN = 8, 512, 1 / 8
 #: Words remembered with their terms, at most.
-KNOWN = 100_000
+KNOWN = 50_000
 #: Bytes of the index that travel in a row.
 PART = 1 << 22
 BINS = 10
@@ -79,7 +79,7 @@ class Model:
     ids: np.ndarray  # as text
     toxic: np.ndarray
     starts: np.ndarray  # of each term and one past the last: its first posting
-    postings: np.ndarray  # rows of an example's number and the bits of a 32-bit weight
+    postings: np.ndarray  # rows of an example's number and the bits of its 32-bit weight, which are gathered together
     blocks: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]  # first example, one past the last; frequent terms; their largest weights; all, term x example
     base: float = 0.0
     curve: np.ndarray = field(default_factory=lambda: (np.arange(BINS) + 0.5) / BINS)
@@ -246,10 +246,11 @@ class Model:
     def calibrated(self, vote: float) -> float:
         return float(np.interp(vote, (np.arange(BINS) + 0.5) / BINS, self.curve))
 
-    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int], list[float]]]:
+    def scores(self, texts: Sequence[str | None] | pa.Array) -> Iterator[tuple[float, list[int], list[float]]]:
         """Each text's score, and the ids and cosines of the examples that it comes from."""
         for i in range(0, len(texts), AT_ONCE):
-            for near in self.search(self.vectors(texts[i : i + AT_ONCE]), NEIGHBOURS):
+            part = texts[i : i + AT_ONCE]
+            for near in self.search(self.vectors(part.to_pylist() if isinstance(part, pa.Array) else part), NEIGHBOURS):
                 yield (self.calibrated(self.vote(near)), [number(self.ids[i]) for _, i in near], [s for s, _ in near]) if near else (self.base, [], [])
 
 
@@ -301,31 +302,47 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:
     # A row per id, with its least text where texts differ. Texts are shorter than their lists of terms.
     rows = written(texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "toxicity-sample")
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each part's terms and their counts, as Arrow writes them: to Spark a row with bytes."""
+        for b in sliced(batches, 500):
+            found = [term_counts(t) for t in b.column(2).to_pylist()]
+            terms, n = pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))
+            part = pa.RecordBatch.from_arrays([b.column(0), b.column(1), terms, n], ["doc_id", "toxic", "terms", "n"])
+            with pa.BufferOutputStream() as out:
+                with pa.ipc.new_stream(out, part.schema) as writer:
+                    writer.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["raw"])
+
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[str, int] = {}
-        found = []
-        for b in batches:
-            for name, toxic, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                counts = term_counts(text)
-                found.append((toxic, name, np.array([numbers.setdefault(t, len(numbers)) for t in counts], np.int64), np.array(list(counts.values()), np.int32)))
-        found.sort(key=lambda x: x[:2])
-        terms = sorted(numbers)
-        place = np.empty(len(terms), np.int64)
-        place[[numbers[t] for t in terms]] = np.arange(len(terms))
-        ids, toxic, sizes = np.array([x[1] for x in found], object), np.array([x[0] == 1 for x in found], bool), np.array([len(x[2]) for x in found], np.int64)
-        every, counts = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]) for i in (2, 3))
-        del found, numbers
-        for i, raw in enumerate(packed(Model.of(ids, toxic, terms, place[every], sizes, counts))):
+        parts = [pa.ipc.open_stream(raw).read_all() for b in batches for raw in b.column(0).to_pylist()]
+        docs_ = pa.concat_tables(parts).sort_by([("toxic", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        del parts
+        ids, toxic = np.array(docs_["doc_id"].to_pylist(), object), docs_["toxic"].to_numpy() == 1
+        terms, n = (docs_[c].chunk(0) for c in ("terms", "n"))
+        sizes, counts = np.diff(terms.offsets.to_numpy()), n.flatten().to_numpy()
+        coded = terms.flatten().dictionary_encode()
+        order = pa.compute.sort_indices(coded.dictionary).to_numpy()
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        places, names = place[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order)).to_pylist()
+        del docs_, terms, n, coded
+        pa.default_memory_pool().release_unused()
+        for i, raw in enumerate(packed(Model.of(ids, toxic, names, places, sizes, counts))):
             for at in range(0, max(len(raw), 1), PART):
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([at]), pa.array([bytes(raw[at : at + PART])], pa.binary())], ["i", "at", "raw"])
 
     # One task makes the index of the bounded sample. The driver passes on its bytes, part by part, without unpacking them.
-    parts = written(rows.coalesce(1).mapInArrow(built, "i long, at long, raw binary"), "toxicity-index")
+    held = {}
+    if rows.counted:
+        terms = written(rows.mapInArrow(counted, "raw binary"), "toxicity-terms")
+        parts = written(terms.coalesce(1).mapInArrow(built, "i long, at long, raw binary"), "toxicity-index")
+        held = {(p["i"], p["at"]): p["raw"] for p in parts.toLocalIterator()}
+        freed(terms, parts)
     pieces: list[bytearray] = []
-    for part in parts.orderBy("i", "at").toLocalIterator() if rows.counted else ():
-        if part["at"] == 0:
+    for key in sorted(held):
+        if key[1] == 0:
             pieces.append(bytearray())
-        pieces[-1] += part["raw"]
+        pieces[-1] += held.pop(key)
     if not pieces:
         none = np.zeros(0, np.int64)
         return Fitted(spark.sparkContext.broadcast([bytearray(x) for x in packed(Model.of(none, none == 1, [], none, none, none))]), base=0.0)
@@ -353,13 +370,14 @@ def score(docs: DataFrame, model: Fitted, text: str = "text", into: str = "toxic
     def scored(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model.model()
         for part in column:
-            rows = list(m.scores(part.to_pylist()))
+            rows = list(m.scores(part))
             yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["score", "neighbours", "cosines"])
 
     return docs.withColumn(into, scored(text))
 
 
+@in_small_batches
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, neighbours): the contract's columns and the evidence."""
-    x = score(docs.select("doc_id", "text"), fit(docs, labels))
+    x = written(score(docs.select("doc_id", "text"), fit(docs, labels)).select("doc_id", "toxicity"), "toxicity-scores")
     return x.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.col("toxicity.neighbours").alias("neighbours"))
