@@ -220,7 +220,6 @@ def _compiled() -> list[tuple[int, str, str, int, str]]:
 
 #: (order, label, keyword, priority, pattern)
 RULES = _compiled()
-KEYWORDS = sorted({key for _, _, key, _, _ in RULES})
 #: Every rule and base phrase needs one of these somewhere; what lacks them all is not read as words.
 GATE = "licen[sc]e|copyright|public|gpl|agpl|gfdl|apache|asl|mit|x11|bsd|mozilla|mpl|eclipse|epl|cddl|eupl|zlib|libpng|unencumbered|wtfpl|cc0|cc[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+by|creative|cecill|mulan|odbl|odc|pddl|reserved|proprietary|spdx|redistribution|endorse|exception|permission|perl"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -231,21 +230,24 @@ def _place(match: Column) -> tuple[Column, Column]:
     return F.regexp_extract(match, "#([0-9]+)", 1).cast("long"), F.regexp_extract(match, "#([0-9]+)$", 1).cast("long")
 
 
-def _found(words: Column, rules: list[tuple], held: Column) -> Column:
-    """array<struct<rule, label, priority, first, last>>: every match of the rules whose keyword is in ``held``."""
-    table = F.array(*(F.struct(F.lit(o).alias("rule"), F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(p).alias("priority"), F.lit(rx).alias("rx")) for o, label, key, p, rx in rules))
+def _matches(words: Column, rule: tuple) -> Column:
+    """array<struct<rule, label, priority, first, last>>: every match of one rule. Its pattern is a literal, compiled once a task."""
+    order, label, _, priority, rx = rule
 
-    def matches(r: Column, w: Column) -> Column:
-        def detection(m: Column) -> Column:
-            first, last = _place(m)
-            return F.struct(r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"), first.alias("first"), last.alias("last"))
+    def detection(m: Column) -> Column:
+        first, last = _place(m)
+        return F.struct(F.lit(order).alias("rule"), F.lit(label).alias("label"), F.lit(priority).alias("priority"), first.alias("first"), last.alias("last"))
 
-        return F.transform(F.regexp_extract_all(w, r["rx"], F.lit(0)), detection)
+    return F.transform(F.regexp_extract_all(words, F.lit(rx), F.lit(0)), detection)
 
-    def run(s: Column) -> Column:
-        return F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(s["held"], r["key"])), lambda r: matches(r, s["words"])))
 
-    return _once(F.struct(words.alias("words"), held.alias("held")), run)
+def _found(words: Column, low: Column) -> Column:
+    """Every match of the rules whose keyword is in ``low``: the rules of a keyword stand behind one look for it."""
+    by_key: dict[str, list[tuple]] = {}
+    for rule in RULES:
+        by_key.setdefault(rule[2], []).append(rule)
+    none = F.array().cast("array<struct<rule:int,label:string,priority:int,first:bigint,last:bigint>>")
+    return F.flatten(F.array(*(F.when(F.contains(low, F.lit(k)), F.concat(*(_matches(words, r) for r in rules))).otherwise(none) for k, rules in by_key.items())))
 
 
 def _once(value: Column, use) -> Column:
@@ -253,13 +255,40 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: The priorities of rules, lowest first, and detections that are looked at in one inner loop.
+PRIORITIES, AT_ONCE = sorted({p for _, _, _, p, _ in RULES}), 64
+
+
 def _kept(found: Column) -> Column:
-    def hides(e: Column, d: Column) -> Column:
-        longer = (e["last"] - e["first"]) > (d["last"] - d["first"])
-        first = (e["last"] == d["last"]) & (e["first"] == d["first"]) & (e["rule"] < d["rule"])
-        return (e["first"] <= d["first"]) & (e["last"] >= d["last"]) & ((e["priority"] > d["priority"]) | (e["priority"] == d["priority"]) & (longer | first))
+    """The detections that no other one hides, by their places.
+
+    Sorted by first word, then last word, priority and rule (the latter three falling, falling, rising), whatever hides a
+    detection stands before it. ``reach`` holds for each priority the last word that detections of it or above have
+    reached so far; a detection that one has reached is hidden. The sorted detections are gone through in parts, so
+    that the list of those kept isn't copied at each step.
+    """
+    key = F.transform(found, lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("minus_last"), (-d["priority"]).alias("minus_priority"), d["rule"].alias("rule"), d["label"].alias("label")))
+    levels = F.array(*map(F.lit, PRIORITIES))
+
+    def step(acc: Column, d: Column) -> Column:
+        last, priority = -d["minus_last"], -d["minus_priority"]
+        hidden = F.get(acc["reach"], (F.array_position(levels, priority) - 1).cast("int")) >= last
+        reach = F.zip_with(levels, acc["reach"], lambda p, r: F.when(p <= priority, F.greatest(r, last)).otherwise(r))
+        one = F.array(F.struct(d["rule"].alias("rule"), d["label"].alias("label"), priority.alias("priority"), d["first"].alias("first"), last.alias("last")))
+        return F.struct(reach.alias("reach"), F.when(hidden, acc["kept"]).otherwise(F.concat(acc["kept"], one)).alias("kept"))
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: hides(e, d)))
+    kind = "array<struct<rule:int,label:string,priority:int,first:bigint,last:bigint>>"
+    start = F.array_repeat(F.lit(-1).cast("long"), len(PRIORITIES))
+
+    def run(parts: Column) -> Column:
+        def whole(acc: Column, part: Column) -> Column:
+            inner = F.aggregate(part, F.struct(acc["reach"].alias("reach"), F.array().cast(kind).alias("kept")), step)
+            return _once(inner, lambda x: F.struct(x["reach"].alias("reach"), F.concat(acc["parts"], F.array(x["kept"])).alias("parts")))
+
+        return F.aggregate(parts, F.struct(start.alias("reach"), F.array().cast(f"array<{kind}>").alias("parts")), whole, lambda acc: F.flatten(acc["parts"]))
+
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / AT_ONCE)), lambda i: F.slice(s, (i * AT_ONCE + 1).cast("int"), AT_ONCE))
+    return F.when(F.size(found) < 2, found).otherwise(_once(F.array_sort(key), lambda s: _once(cut(s), run)))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -268,20 +297,18 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     base: array<struct<label, first>>; detections: array<struct<rule, label, priority, first, last>>, null where the
     text holds no keyword.
     """
-    base = [(i, label, "", 100, _pattern(phrase)) for i, (phrase, label) in enumerate(BASE)]
-    keys = F.array(*map(F.lit, KEYWORDS))
-
     def read(low: Column) -> Column:
         gated = low.rlike(GATE)
         listed = F.transform(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), lambda w, i: F.concat(w, F.lit("#"), i.cast("string")))
         return F.struct(
             F.regexp_count(low, F.lit(WORD)).cast("long").alias("n"),
-            F.when(gated, F.struct(F.concat(F.lit(" "), F.array_join(listed, " ")).alias("words"), F.filter(keys, lambda k: F.contains(low, k)).alias("held"))).alias("gated"),
+            F.when(gated, F.struct(F.concat(F.lit(" "), F.array_join(listed, " ")).alias("words"), low.alias("low"))).alias("gated"),
         )
 
     def detect(g: Column) -> Column:
-        of_base = F.transform(_found(g["words"], base, F.array(F.lit(""))), lambda d: F.struct(d["label"].alias("label"), d["first"].alias("first")))
-        return F.struct(of_base.alias("base"), _once(_found(g["words"], RULES, g["held"]), _kept).alias("detections"))
+        matches = F.concat(*(_matches(g["words"], (i, label, "", 100, _pattern(phrase))) for i, (phrase, label) in enumerate(BASE)))
+        of_base = F.transform(matches, lambda d: F.struct(d["label"].alias("label"), d["first"].alias("first")))
+        return F.struct(of_base.alias("base"), _once(_found(g["words"], g["low"]), _kept).alias("detections"))
 
     low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
     found = F.when(F.col("_read.gated").isNotNull(), _once(F.col("_read.gated"), detect))
