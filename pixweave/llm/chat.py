@@ -4,8 +4,10 @@ A line's quote level is the number of ">" it starts with. Runs of lines of one l
 paragraphs and their lines of at least three words, lower-cased with white space squeezed, are hashed; a quoted unit
 links to the original, the earliest message of the conversation that has it unquoted at a lower turn. A message
 replies to the latest original among its quotes of the lowest level that links. Pointer doubling over these links
-gives every message its thread's root and its depth. Sorted by (conv_id, thread_root, reply_depth, turn) a
-conversation is in reply order. A conversation is never gathered into one row or task, however many turns it has.
+gives every message its thread's root and its depth, and along a walk around the thread's tree its position: first a
+message, then each reply to it by turn, each followed by its own replies. Sorted by (conv_id, thread_root, position) a
+conversation is in reply order, without quotes. A conversation is never gathered into one row or task, however many
+turns it has or replies a message gets.
 
 Only DataFrame functions are used. Edge cases: a null text is an empty message; messages without a conversation or
 turn stay, without links; rows that repeat a (conv_id, turn) share one place in the thread; a quote without an
@@ -14,11 +16,13 @@ original stays unlinked but is still taken out; an empty table gives an empty re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import freed, written
 
+#: Turns of replies to one message that are put in order by one task.
+SPAN = 1024
 MARKS = r"^[ \t]*(?:>[ \t]*)+"
 #: The line that mail programs put before a quote (fixed wordings in four languages).
 ATTRIBUTION = r"^[ \t]*(?:On .* wrote|Am .* schrieb.*|Le .* a écrit|El .* escribió)[ \t]*:[ \t]*$"
@@ -95,17 +99,61 @@ def threads(links: DataFrame) -> DataFrame:
     state = written(links.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("long").alias("steps")), "chat-threads")
     while True:
         there = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
-        new = written(state.join(there, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.col("up2").isNotNull().alias("moved")), "chat-threads")
-        if not new.filter("moved").limit(1).count():
+        new = written(state.join(there, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.col("up2").isNotNull().alias("moved")), "chat-threads", F.col("moved"))
+        if not new.counted:
             return new.select("conv_id", "turn", F.col("up").alias("thread_root"), F.col("steps").alias("reply_depth"))
+        freed(state)
         state = new.drop("moved")
+        state.scratch = new.scratch
+
+
+def _next_reply(links: DataFrame) -> DataFrame:
+    """(conv_id, turn, sibling): of each reply the next one, by turn, to the same message; null for the last.
+
+    Replies are put in order SPAN turns at a time, and then the spans, so that no task holds all replies to one message.
+    """
+    x = links.select("conv_id", "reply_to", "turn", F.floor(F.col("turn") / SPAN).alias("span"))
+    inside = Window.partitionBy("conv_id", "reply_to", "span").orderBy("turn")
+    spans = x.groupBy("conv_id", "reply_to", "span").agg(F.min("turn").alias("first"))
+    after = spans.withColumn("after", F.lead("first").over(Window.partitionBy("conv_id", "reply_to").orderBy("span"))).drop("first")
+    x = written(x.withColumn("sibling", F.lead("turn").over(inside)), "chat-replies")
+    x = x.join(written(after, "chat-spans"), ["conv_id", "reply_to", "span"])
+    return x.select("conv_id", "turn", F.coalesce("sibling", "after").alias("sibling"))
+
+
+def positions(links: DataFrame) -> DataFrame:
+    """(conv_id, turn, to_end): of every message with a link the messages of its thread from it on, in reply order.
+
+    The walk around a tree enters and leaves each message once: from entering to its first reply's entering, or its own
+    leaving; from leaving to its next sibling's entering, or its parent's leaving. Pointer doubling along the walk sums
+    the messages that are still to be entered.
+    """
+    first = links.groupBy("conv_id", F.col("reply_to").alias("turn")).agg(F.min("turn").alias("child"))
+    nodes = links.select("conv_id", "turn", F.col("reply_to").alias("parent")).join(_next_reply(links), ["conv_id", "turn"])
+    nodes = written(nodes.join(first, ["conv_id", "turn"], "full"), "chat-nodes")
+    enter = F.when(F.col("child").isNotNull(), F.struct(F.col("child").alias("turn"), F.lit(False).alias("leaving"))).otherwise(F.struct("turn", F.lit(True).alias("leaving")))
+    leave = F.when(F.col("sibling").isNotNull(), F.struct(F.col("sibling").alias("turn"), F.lit(False).alias("leaving"))).when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("turn"), F.lit(True).alias("leaving")))
+    steps = F.array(F.struct(F.lit(False).alias("leaving"), enter.alias("to"), F.lit(1).cast("long").alias("n")), F.struct(F.lit(True).alias("leaving"), leave.alias("to"), F.lit(0).cast("long").alias("n")))
+    state = written(nodes.select("conv_id", "turn", F.explode(steps).alias("s")).select("conv_id", "turn", "s.*"), "chat-walk")
+    while True:
+        there = state.select(F.col("conv_id").alias("_conv"), F.struct("turn", "leaving").alias("_at"), F.col("to").alias("_to"), F.col("n").alias("_n"))
+        x = state.join(there, (F.col("conv_id") == F.col("_conv")) & (F.col("to") == F.col("_at")), "left")
+        new = written(x.select("conv_id", "turn", "leaving", F.col("_to").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")), "chat-walk", F.col("to").isNotNull())
+        freed(state)
+        state = new
+        if not new.counted:
+            return new.filter("not leaving").select("conv_id", "turn", F.col("n").alias("to_end"))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """A row per message: conv_id, turn, role, text (without quotes), formatted, n_quotes, quote_depth, n_linked, reply_to, thread_root, reply_depth."""
+    """A row per message: conv_id, turn, role, text (without quotes), formatted, n_quotes, quote_depth, n_linked, reply_to,
+    thread_root, reply_depth, position."""
     x = written(parsed(messages.select("conv_id", "turn", "role", "text")), "chat-parsed")
     links = written(replies(x), "chat-links")
     tree = links.join(threads(links), ["conv_id", "turn"])
+    place = written(positions(links), "chat-positions")
+    # A thread's root is entered first: what comes before a message is what the root has to the end, less what it has itself.
+    tree = written(tree.join(place, ["conv_id", "turn"]).join(place.select("conv_id", F.col("turn").alias("thread_root"), F.col("to_end").alias("all")), ["conv_id", "thread_root"]), "chat-tree")
     y = x.join(tree, ["conv_id", "turn"], "left")
     quotes = F.filter("passages", lambda p: p["level"] > 0)
     zero = F.lit(0).cast("long")
@@ -114,4 +162,5 @@ def conversations(messages: DataFrame) -> DataFrame:
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("own"), F.lit("<|end|>\n")).alias("formatted"),
         F.size(quotes).cast("long").alias("n_quotes"), F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).cast("long").alias("quote_depth"),
         F.coalesce("n_linked", zero).alias("n_linked"), "reply_to", F.coalesce("thread_root", "turn").alias("thread_root"), F.coalesce("reply_depth", zero).alias("reply_depth"),
+        F.coalesce(F.col("all") - F.col("to_end"), zero).alias("position"),
     )

@@ -128,11 +128,14 @@ originals AS (SELECT conv_id, unit, min(turn) AS original FROM u WHERE level = 0
 linked AS (SELECT q.conv_id, q.turn, q.level, f.original FROM u q JOIN originals f ON f.conv_id = q.conv_id AND f.unit = q.unit WHERE q.level > 0 AND f.original < q.turn),
 links AS (SELECT conv_id, turn, arg_max(original, (-level, original)) AS reply_to, count(DISTINCT original) AS n_linked FROM linked GROUP BY conv_id, turn),
 up(conv_id, turn, top, steps) AS (SELECT conv_id, turn, reply_to, 1 FROM links UNION ALL SELECT up.conv_id, up.turn, links.reply_to, steps + 1 FROM up JOIN links ON links.conv_id = up.conv_id AND links.turn = up.top),
-tree AS (SELECT conv_id, turn, arg_max(top, steps) AS thread_root, max(steps) AS reply_depth FROM up GROUP BY conv_id, turn)
+tree AS (SELECT conv_id, turn, arg_max(top, steps) AS thread_root, max(steps) AS reply_depth FROM up GROUP BY conv_id, turn),
+down(conv_id, root, turn, path) AS (SELECT DISTINCT conv_id, thread_root, thread_root, [thread_root] FROM tree UNION ALL
+  SELECT down.conv_id, down.root, links.turn, list_append(down.path, links.turn) FROM down JOIN links ON links.conv_id = down.conv_id AND links.reply_to = down.turn),
+places AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, root ORDER BY path) - 1 AS position FROM down)
 SELECT m.conv_id, m.turn, m.role, o.own AS text, '<|' || coalesce(m.role, '') || '|>' || chr(10) || o.own || '<|end|>' || chr(10) AS formatted,
   CAST(n_quotes AS BIGINT) AS n_quotes, CAST(quote_depth AS BIGINT) AS quote_depth, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, reply_to,
-  coalesce(thread_root, m.turn) AS thread_root, CAST(coalesce(reply_depth, 0) AS BIGINT) AS reply_depth
-FROM m JOIN o USING (r) LEFT JOIN links ON links.conv_id = m.conv_id AND links.turn = m.turn LEFT JOIN tree ON tree.conv_id = m.conv_id AND tree.turn = m.turn
+  coalesce(thread_root, m.turn) AS thread_root, CAST(coalesce(reply_depth, 0) AS BIGINT) AS reply_depth, CAST(coalesce(position, 0) AS BIGINT) AS position
+FROM m JOIN o USING (r) LEFT JOIN places ON places.conv_id = m.conv_id AND places.turn = m.turn LEFT JOIN links ON links.conv_id = m.conv_id AND links.turn = m.turn LEFT JOIN tree ON tree.conv_id = m.conv_id AND tree.turn = m.turn
 """
 
 
