@@ -167,13 +167,19 @@ class Codec:
         ids[0], ids[1:-1], ids[-1] = self.bos, inner, self.eos
         size = self.length[ids]
         if (size < 0).any():  # unknown pieces have no length of their own
-            size[1:-1] = [len(p.surface.encode()) for p in self.plain.encode(norm.decode(), out_type="immutable_proto").pieces]
+            size[1:-1] = [len(p.surface.encode()) for p in self.plain.encode(norm.decode(), out_type="proto").pieces]
         ends = np.cumsum(size)
-        if ends[-1] != len(norm):
-            raise ValueError(f"pieces of {ends[-1]} bytes don't spell the normalised text of {len(norm)} bytes")
+        if ends[-1] != len(norm):  # pieces that don't spell the normalised text; no public model has been seen to do so
+            return self._by_library(text or "")
         marks = align[ends]
         return ids, np.concatenate([align[:1] * 0, marks[:-1]]), marks
 
+    def _by_library(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``encode`` by the library's own ids and places."""
+        pieces, size = self.sp.encode(text, out_type="proto").pieces, len(text.encode())
+        ids = np.array([self.bos, *(p.id for p in pieces), self.eos], "<u4")
+        return ids, np.array([0, *(p.begin for p in pieces), size]), np.array([0, *(p.end for p in pieces), size])
+
     def decode(self, ids: np.ndarray) -> str:
         """The library's decode: pieces put end to end, without the space that normalisation put in front."""
         try:
