@@ -4,10 +4,15 @@ The largest inner product becomes the least distance once every vector gets one
 largest length (queries get 0). Centroids are fitted on a bounded sample by k-means with a penalty on full clusters.
 Every vector goes to its nearest list and, if it lies near a boundary, to more lists whose centroids are almost as
 near and lie in other directions. A query walks the graph of centroids from a fixed entry, nearest first, and takes
-the lists whose centroid is at most ``ratio`` times as far as the nearest one. The ratio is calibrated on the sample,
-against brute force, for the recall that is asked for. Every row is indexed. Lists are dealt out to shards, and large
-shards and many queries are cut into blocks, so a task's memory has a bound; a task answers each of its queries once,
-from all the lists that it holds.
+the lists whose centroid is at most ``ratio`` times as far as the nearest one, and on until they hold k vectors
+besides its own. The ratio is calibrated on the sample, against brute force, for the recall that is asked for. Every
+row is indexed.
+
+Lists that lie near each other form a shard of about SHARD_ROWS vectors, so there are as many shards as the data
+needs, and a query goes to the shards of its lists only, with the numbers of these lists. A shard that has come out
+too large is cut into blocks, as are its queries; a task's memory has a bound, and it answers each of its queries once,
+from all the lists that it holds. Vectors are scaled by a power of two, which changes no order and no tie, so that
+squares of very large or small components don't leave the range of numbers.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id;
 a shorter vector counts as padded with zeros; equal vectors are folded and dealt out again, ties go to smaller ids;
@@ -17,6 +22,7 @@ repeated ids are rows of their own; an empty table gives an empty result; extra
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +37,8 @@ from .common import written
 
 #: Vectors that the lists are fitted on, at most, and lists at most: what is broadcast doesn't grow with the data.
 SAMPLE, LISTS = 16_384, 4096
-#: Vectors per list aimed at; shards that lists are dealt out to; vectors and queries that meet in one task, at most.
-LIST_ROWS, SHARDS, BLOCK, ASKED = 256, 8, 65_536, 4096
+#: Vectors per list and per shard aimed at; vectors and queries that meet in one task, at most.
+LIST_ROWS, SHARD_ROWS, BLOCK, ASKED = 256, 8192, 65_536, 4096
 #: Replicas of a boundary vector at most, and how much farther than the nearest their centroids may be.
 REPLICAS, BOUNDARY = 4, 1.1
 DEGREE, BEAM = 16, 16
@@ -52,6 +58,8 @@ class Lists:
     entry: int
     longest: float
     ratio: float = 1.0
+    sizes: np.ndarray | None = None  # vectors in each list
+    shard: np.ndarray | None = None  # of each list
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(self.longest**2 - (x * x).sum(1), 0))[:, None]], 1)
@@ -74,8 +82,9 @@ class Lists:
                 out.append(mine)
         return out
 
-    def choose(self, q: np.ndarray) -> list[int]:
-        """Lists for a query: best-first search of the graph, for as long as centroids within the ratio turn up."""
+    def choose(self, q: np.ndarray, enough: int = 0) -> list[int]:
+        """Lists for a query: best-first search of the graph, for as long as centroids within the ratio turn up, and then
+        until the lists hold ``enough`` vectors (one in several lists counts once at least)."""
         c, seen = self.centroids, np.zeros(len(self.centroids), bool)
         q = np.append(q, 0.0)
         seen[self.entry] = True
@@ -85,13 +94,39 @@ class Lists:
             d, j = heapq.heappop(heap)
             found.append((d, j))
             best = sorted([*best, d])[:BEAM]
-            if len(best) == BEAM and d > max(best[-1], self.ratio * best[0]):
+            if len(best) == BEAM and d > max(best[-1], self.ratio * best[0]) and self._held(found) >= enough * REPLICAS:
                 break
             new = self.graph[j][~seen[self.graph[j]]]
             seen[new] = True
             for x in zip(np.linalg.norm(c[new] - q, axis=1).tolist(), new.tolist(), strict=True):
                 heapq.heappush(heap, x)
-        return [j for d, j in found if d <= self.ratio * best[0] + 1e-12]
+        found.sort()
+        lists = [j for d, j in found if d <= self.ratio * best[0] + 1e-12]
+        while self._held(found[: len(lists)]) < enough * REPLICAS and len(lists) < len(found):
+            lists.append(found[len(lists)][1])
+        return lists
+
+    def _held(self, found: list[tuple[float, int]]) -> int:
+        return int(self.sizes[[j for _, j in found]].sum()) if self.sizes is not None and found else 0
+
+
+def grouped(points: np.ndarray, weights: np.ndarray, parts: int) -> np.ndarray:
+    """A group number for each point: halved across the direction in which they spread most, by weight, again and again."""
+    out = np.zeros(len(points), np.int64)
+    todo, first = [(np.arange(len(points)), parts)], 0
+    while todo:
+        own, n = todo.pop()
+        if n <= 1 or len(own) <= 1:
+            out[own] = first
+            first += 1
+            continue
+        x = points[own] - points[own].mean(0)
+        by = own[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+        left = n // 2
+        cut = int(np.searchsorted(np.cumsum(weights[by]), weights[by].sum() * left / n))
+        cut = min(max(cut, 1), len(by) - 1)
+        todo += [(by[cut:], n - left), (by[:cut], left)]
+    return out
 
 
 def fit(sample: np.ndarray, longest: float, n: int, k: int, recall: float = RECALL, seed: int = 7) -> Lists:
@@ -137,36 +172,52 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vec: str = "embedding",
     single = isinstance(df.schema[vec].dataType.elementType, T.FloatType)
     dtype = "<f4" if single else "<f8"
     rows = vectors.valid(df, vec, id_).filter(F.exists("v", lambda x: x != 0))
-    n, dims, _ = vectors.shape(rows)
+    _, dims, largest = vectors.shape(rows)
+    power = math.frexp(largest)[1] if largest else 0
     all_ = written(vectors.folded(rows, dims, k + 1, dtype), "ann-vectors")
     asked = written(vectors.packed(rows.filter(F.col("id") % every == 0), dims, dtype).withColumn("key", vectors.key()), "ann-queries")
     sample = all_.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).toArrow().column(0).to_pylist()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    read = lambda packed: np.frombuffer(b"".join(packed), dtype).reshape(-1, dims).astype(np.float64)
-    longest = rows.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    lists = spark.sparkContext.broadcast(fit(read(sample), longest, all_.count(), k, recall))
+    plain = lambda packed: np.frombuffer(b"".join(packed), dtype).reshape(-1, dims).astype(np.float64)
+    read = lambda packed: np.ldexp(plain(packed), -power)
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt((read(b.column(0).to_pylist()) ** 2).sum(1)).max())])], ["longest"])
+
+    longest = all_.select("vec").mapInArrow(lengths, "longest double").agg(F.max("longest")).first()[0]
+    lists = fit(read(sample), longest, all_.counted, k, recall)
+    placer = spark.sparkContext.broadcast(lists)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = lists.value.place(read(b.column(0).to_pylist())) if b.num_rows else []
+            at = placer.value.place(read(b.column(0).to_pylist())) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32()))], ["vec", "ids", "lists"])
 
+    posted = written(all_.mapInArrow(place, "vec binary, ids array<long>, lists array<int>").withColumn("list", F.explode("lists")).drop("lists"), "ann-lists")
+    sizes = np.zeros(len(lists.centroids), np.int64)
+    for r in posted.groupBy("list").count().collect():  # at most LISTS rows
+        sizes[r["list"]] = r["count"]
+    lists.sizes, lists.shard = sizes, grouped(lists.centroids, sizes, -(-int(sizes.sum()) // SHARD_ROWS))
+    chooser = spark.sparkContext.broadcast(lists)
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, packed, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), []
+            keys, packed, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
             for i, q in enumerate(read(packed) if packed else ()):
                 by_shard: dict[int, list[int]] = {}
-                for j in lists.value.choose(q):
-                    by_shard.setdefault(j % SHARDS, []).append(j)
-                rows += [(keys[i], packed[i], s, found) for s, found in by_shard.items()]
+                for j in chooser.value.choose(q, k + 1):
+                    by_shard.setdefault(int(chooser.value.shard[j]), []).append(j)
+                out += [(keys[i], packed[i], s, found) for s, found in by_shard.items()]
             kinds = (pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["key", "vec", "shard", "lists"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], ["key", "vec", "shard", "lists"])
 
-    posted = all_.mapInArrow(place, "vec binary, ids array<long>, lists array<int>").withColumn("list", F.explode("lists")).drop("lists")
-    posted = written(posted.withColumn("shard", F.col("list") % SHARDS), "ann-lists")
+    posted = posted.withColumn("shard", F.element_at(F.array(*map(F.lit, lists.shard.tolist())), F.col("list") + 1).cast("int"))
     distinct = asked.groupBy("key").agg(F.first("vec").alias("vec"))
-    chosen = written(distinct.mapInArrow(choose, "key binary, vec binary, shard int, lists array<int>"), "ann-chosen")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-asked.counted // ASKED))
+    chosen = written(distinct.repartition(tasks).mapInArrow(choose, "key binary, vec binary, shard int, lists array<int>"), "ann-chosen")
     # A row per shard: into how many blocks its vectors and its queries are cut.
     blocks = posted.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = F.broadcast(blocks.join(F.broadcast(chosen.groupBy("shard").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("rounds"))), "shard"))
@@ -195,7 +246,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vec: str = "embedding",
                 s = (x[top] * one).sum(1)  # the same sum wherever the vector lies
                 best = np.lexsort((first[top], -s))[: k + 1]
                 out[0].extend([key] * len(best))
-                out[1].extend(s[best].tolist())
+                out[1].extend(np.ldexp(s[best], 2 * power).tolist())
                 out[2].extend(ids[j] for j in top[best].tolist())
         return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.int64()))], ["key", "score", "ids"])
 
