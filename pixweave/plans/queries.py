@@ -87,14 +87,30 @@ def same_origin_links(spark, sf_dir):
     return x.filter(same).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-@query("""SELECT page_id, tag, CAST(count(*) AS BIGINT) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<(script|style|title)([^>]*)>.*?</(script|style|title)>', '<\\1\\2>', 'g'), '(?s)<!--.*?-->', '', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages) WHERE tag IN ('a', 'nav', 'li', 'ul', 'title', 'script', 'h1', 'meta') GROUP BY page_id, tag""")
+@query("""SELECT page_id, tag, CAST(count(*) AS BIGINT) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<(script|style|title)([^>]*)>.*?</(script|style|title)>', '<\\1\\2>', 'g'), '(?s)<!--.*?-->', '', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages) GROUP BY page_id, tag""")
 def dom_tags(spark, sf_dir):
-    x = dom_nodes(_table(spark, sf_dir, "pages").select("page_id", "html")).filter(F.col("tag").isin("a", "nav", "li", "ul", "title", "script", "h1", "meta"))
+    x = dom_nodes(_table(spark, sf_dir, "pages").select("page_id", "html")).filter("tag is not null and tag <> '#document'")
     return x.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 # Candidates of injected markup.
 
+# Markup that differs by page: slots of one kind, of another, or of both.
+
+
+@query(_rows("SELECT page_id, 1 AS slot_idx, 1 AS cand_idx, CASE page_id % 4 WHEN 0 THEN 'img-src' WHEN 1 THEN 'anchor-image' WHEN 2 THEN 'meta-og' ELSE 'img-srcset' END AS source, CASE page_id % 4 WHEN 0 THEN 50 WHEN 1 THEN 100 WHEN 2 THEN 35 ELSE 70 END AS priority, b || ['a', 'b', 'c', 'd'][page_id % 4 + 1] || s || '.jpg' AS resolved_url FROM p UNION ALL SELECT page_id, 1, 2, 'img-src', 50, b || 'x' || s || '.png' FROM p WHERE page_id % 4 IN (1, 3) UNION ALL SELECT page_id, 2, 1, 'css-inline', 20, b || 'bg' || (page_id % 7) || '.gif' FROM p WHERE page_id % 7 < 3"))
+def mixed_pages(spark, sf_dir):
+    s, k = F.col("page_id").cast("string"), F.col("page_id") % 4
+    image = F.concat(F.lit('<p>text</p><img alt="" src="a'), s, F.lit('.jpg">'))
+    anchor = F.concat(F.lit('<div><a href="b'), s, F.lit('.jpg"><b><img src="x'), s, F.lit('.png"></b></a></div>'))
+    meta = F.concat(F.lit('<meta property="og:image" content="c'), s, F.lit('.jpg">'))
+    srcset = F.concat(F.lit('<IMG SRC=x'), s, F.lit(".png SRCSET='d"), s, F.lit(".jpg 2x'>"))
+    own = F.when(k == 0, image).when(k == 1, anchor).when(k == 2, meta).otherwise(srcset)
+    more = F.when(F.col("page_id") % 7 < 3, F.concat(F.lit("<div style='background:url(bg"), (F.col("page_id") % 7).cast("string"), F.lit(".gif)'></div>"))).otherwise("<!-- none -->")
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.lit(BASE).alias("url"), F.concat(F.lit("<html><head></head><body>"), own, more).alias("html"))
+    return extract.candidates(pages, keep=("page_id",)).select("page_id", "slot_idx", "cand_idx", "source", "priority", "resolved_url")
+
+
 GALLERY = '<a href="/full/{p}.jpg"><img src="thumb/{p}.jpg" data-original="o/{p}.png"></a><a href="/view/{p}"><img src="../t2/{p}.gif#x"></a>'
 
 
