@@ -54,7 +54,7 @@ class Lists:
     """Centroids with their graph; ``longest`` is the length that vectors are brought to."""
 
     centroids: np.ndarray
-    graph: np.ndarray
+    graph: list[np.ndarray]
     entry: int
     longest: float
     ratio: float = 1.0
@@ -129,9 +129,22 @@ def grouped(points: np.ndarray, weights: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
+def linked(c: np.ndarray) -> list[np.ndarray]:
+    """The graph: each centroid's neighbours. Links to the DEGREE nearest ones go both ways, so that a centroid far from
+    all others, which is nobody's nearest, is reached from those that it is nearest to; a ring keeps all in one piece."""
+    n = len(c)
+    near = [np.argsort(distances(c[at : at + 512], c), 1, kind="stable")[:, 1 : DEGREE + 1] for at in range(0, n, 512)]
+    forward = np.concatenate(near) if n > 1 else np.zeros((1, 0), np.int64)
+    ring = (np.arange(n) + 1) % n
+    a = np.concatenate([np.repeat(np.arange(n), forward.shape[1]), np.arange(n)])
+    b = np.concatenate([forward.ravel(), ring])
+    pairs = np.unique(np.stack([np.concatenate([a, b]), np.concatenate([b, a])], 1), axis=0)
+    return np.split(pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(1, n)))
+
+
 def fit(sample: np.ndarray, longest: float, n: int, k: int, recall: float = RECALL, seed: int = 7) -> Lists:
     """Lists for ``n`` vectors from a sample of them."""
-    out = Lists(np.zeros((1, sample.shape[1] + 1)), np.zeros((1, 0), np.int64), 0, longest)
+    out = Lists(np.zeros((1, sample.shape[1] + 1)), [np.zeros(0, np.int64)], 0, longest)
     x = out.lifted(sample)
     rng = np.random.default_rng(seed)
     lists = max(1, min(LISTS, -(-n // LIST_ROWS), len(x) // 2 or 1))
@@ -148,10 +161,7 @@ def fit(sample: np.ndarray, longest: float, n: int, k: int, recall: float = RECA
         np.add.at(sums, mine, x)
         c = np.where(load[:, None] > 0, sums / np.maximum(load, 1)[:, None], x[rng.choice(len(x), lists)])
     out.centroids = c
-    near = [np.argsort(distances(c[at : at + 512], c), 1, kind="stable")[:, 1 : DEGREE + 1] for at in range(0, lists, 512)]
-    forward = np.concatenate(near) if lists > 1 else np.zeros((1, 0), np.int64)
-    ring = (np.arange(lists) + 1) % lists  # keeps the graph in one piece
-    out.graph = np.concatenate([forward, ring[:, None]], 1)
+    out.graph = linked(c)
     out.entry = int(np.argmin(distances(c.mean(0)[None, :], c)[0]))
     asked = rng.choice(len(x), min(len(x), 256), replace=False)
     held = out.place(sample)

@@ -252,6 +252,20 @@ def test_ann(spark, monkeypatch, kind, scale):
     assert ann.search(df.limit(0)).count() == 0 and ann.search(df.filter("vec_id = 0")).count() == 0
 
 
+def test_ann_finds_a_group_apart():
+    """Tight groups far from everything else, as near-duplicates are: their lists are found from any entry."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for g in range(10):
+        x[600 * g : 600 * g + 60] = x[600 * g] + 0.01 * rng.normal(size=(60, 64))
+    lists = ann.fit(x, float(np.linalg.norm(x, axis=1).max()), len(x), 20)
+    placed = lists.place(x)
+    for g in range(10):
+        chosen = set(lists.choose(x[600 * g + 3]))
+        assert sum(bool(chosen & set(placed[600 * g + i])) for i in range(60)) >= 55
+
+
 def test_ann_fills_up_from_further_lists():
     """A query on a centroid of its own still gets lists with enough vectors."""
     rng = np.random.default_rng(3)
