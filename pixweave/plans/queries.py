@@ -98,7 +98,16 @@ def dom_tags(spark, sf_dir):
 # Markup that differs by page: slots of one kind, of another, or of both.
 
 
-@query(_rows("SELECT page_id, 1 AS slot_idx, 1 AS cand_idx, CASE page_id % 4 WHEN 0 THEN 'img-src' WHEN 1 THEN 'anchor-image' WHEN 2 THEN 'meta-og' ELSE 'img-srcset' END AS source, CASE page_id % 4 WHEN 0 THEN 50 WHEN 1 THEN 100 WHEN 2 THEN 35 ELSE 70 END AS priority, b || ['a', 'b', 'c', 'd'][page_id % 4 + 1] || s || '.jpg' AS resolved_url FROM p UNION ALL SELECT page_id, 1, 2, 'img-src', 50, b || 'x' || s || '.png' FROM p WHERE page_id % 4 IN (1, 3) UNION ALL SELECT page_id, 2, 1, 'css-inline', 20, b || 'bg' || (page_id % 7) || '.gif' FROM p WHERE page_id % 7 < 3"))
+@query(_rows("""SELECT page_id, 1 AS slot_idx, 1 AS cand_idx,
+  CASE page_id % 4 WHEN 0 THEN 'img-src' WHEN 1 THEN 'anchor-image' WHEN 2 THEN 'meta-og' ELSE 'img-srcset' END AS source,
+  CASE page_id % 4 WHEN 0 THEN 50 WHEN 1 THEN 100 WHEN 2 THEN 35 ELSE 70 END AS priority, b || ['a', 'b', 'c', 'd'][page_id % 4 + 1] || s || '.jpg' AS resolved_url
+  FROM p
+UNION ALL SELECT page_id, 1, 2, 'img-src', 50, b || 'x' || s || '.png'
+  FROM p
+  WHERE page_id % 4 IN (1, 3)
+UNION ALL SELECT page_id, 2, 1, 'css-inline', 20, b || 'bg' || (page_id % 7) || '.gif'
+  FROM p
+  WHERE page_id % 7 < 3"""))
 def mixed_pages(spark, sf_dir):
     s, k = F.col("page_id").cast("string"), F.col("page_id") % 4
     image = F.concat(F.lit('<p>text</p><img alt="" src="a'), s, F.lit('.jpg">'))
@@ -135,7 +144,8 @@ def srcset_ranked(spark, sf_dir):
     return _candidates(spark, sf_dir, '<img src="s.jpg" srcset="b{p}.jpg 400w, c{p}.jpg 1200w, a{p}.jpg 800w, d{p}.jpg 200w, data:x 9w">')
 
 
-@query(_rows("SELECT page_id, CAST(CASE WHEN page_id % 2 = 0 THEN 100 + page_id ELSE 0 END AS BIGINT) AS width, CAST(CASE WHEN page_id % 2 = 0 THEN 0 ELSE 2 END AS DOUBLE) AS density, 'a' || s || '.jpg' AS url FROM p"))
+@query(_rows("""SELECT page_id, CAST(CASE WHEN page_id % 2 = 0 THEN 100 + page_id ELSE 0 END AS BIGINT) AS width, CAST(CASE WHEN page_id % 2 = 0 THEN 0 ELSE 2 END AS DOUBLE) AS density, 'a' || s || '.jpg' AS url
+  FROM p"""))
 def srcset_best(spark, sf_dir):
     p = F.col("page_id").cast("string")
     text = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("b.jpg 50w, a"), p, F.lit(".jpg "), (F.col("page_id") + 100).cast("string"), F.lit("w"))).otherwise(F.concat(F.lit("b.jpg, a"), p, F.lit(".jpg 2x, c.jpg 1.5x")))
@@ -207,7 +217,9 @@ def base_href(spark, sf_dir):
 # URLs and tokens.
 
 
-@query(_rows("SELECT page_id, kind, CASE kind WHEN 0 THEN b || 'a' || s || '.jpg' WHEN 1 THEN 'https://site.example/r' || s WHEN 2 THEN 'https://site.example/u' || s WHEN 3 THEN 'http://o.example/' || s WHEN 4 THEN 'https://p.example/' || s WHEN 5 THEN b || s || '?q=a%20b' WHEN 6 THEN b || '%C3%A9%20' || s WHEN 7 THEN NULL ELSE NULL END AS resolved FROM p, (SELECT unnest(range(9)) AS kind)"))
+@query(_rows("""SELECT page_id, kind,
+  CASE kind WHEN 0 THEN b || 'a' || s || '.jpg' WHEN 1 THEN 'https://site.example/r' || s WHEN 2 THEN 'https://site.example/u' || s WHEN 3 THEN 'http://o.example/' || s WHEN 4 THEN 'https://p.example/' || s WHEN 5 THEN b || s || '?q=a%20b' WHEN 6 THEN b || '%C3%A9%20' || s WHEN 7 THEN NULL ELSE NULL END AS resolved
+  FROM p, (SELECT unnest(range(9)) AS kind)"""))
 def resolve_urls(spark, sf_dir):
     s = F.col("page_id").cast("string")
     raws = [F.concat(F.lit("a"), s, F.lit(".jpg#f")), F.concat(F.lit("/r"), s), F.concat(F.lit("../u"), s), F.concat(F.lit("http://o.example/"), s), F.concat(F.lit("//p.example/"), s), F.concat(s, F.lit("?q=a%20b")), F.concat(F.lit("é "), s), F.concat(F.lit("DATA:x"), s), F.concat(F.lit("mailto:a@b"), s)]
@@ -215,7 +227,13 @@ def resolve_urls(spark, sf_dir):
     return x.select("page_id", F.col("at").cast("long").alias("kind"), urls.resolve_url(F.lit(BASE), "raw").alias("resolved"))
 
 
-@query(_rows("SELECT page_id, 'img-' || s || '_x1' AS token FROM p UNION ALL SELECT page_id, s FROM p WHERE length(s) >= 4 AND s NOT IN ('1024','1080','1200','1280','1600','1920','2048') UNION ALL SELECT page_id, 'id-' || (page_id + 1000) FROM p"))
+@query(_rows("""SELECT page_id, 'img-' || s || '_x1' AS token
+  FROM p
+UNION ALL SELECT page_id, s
+  FROM p
+  WHERE length(s) >= 4 AND s NOT IN ('1024','1080','1200','1280','1600','1920','2048')
+UNION ALL SELECT page_id, 'id-' || (page_id + 1000)
+  FROM p"""))
 def url_tokens(spark, sf_dir):
     s = F.col("page_id").cast("string")
     url = F.concat(F.lit("https://site.example/photos/"), s, F.lit("/IMG-"), s, F.lit("_x1.jpg?page=zz9999&ref=id-"), (F.col("page_id") + 1000).cast("string"), F.lit("&w=8888"))
@@ -225,7 +243,9 @@ def url_tokens(spark, sf_dir):
 # Next pages.
 
 
-@query(_rows("SELECT page_id, CASE page_id % 5 WHEN 0 THEN b || 'p' || (page_id + 1) WHEN 1 THEN b || 'rel' || s WHEN 2 THEN b || 'label' || s WHEN 3 THEN b || 'text' || s ELSE NULL END AS next_url FROM p"))
+@query(_rows("""SELECT page_id,
+  CASE page_id % 5 WHEN 0 THEN b || 'p' || (page_id + 1) WHEN 1 THEN b || 'rel' || s WHEN 2 THEN b || 'label' || s WHEN 3 THEN b || 'text' || s ELSE NULL END AS next_url
+  FROM p"""))
 def next_page(spark, sf_dir):
     s = F.col("page_id").cast("string")
     kinds = [
@@ -285,7 +305,10 @@ def _landing_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return extract.slots(pages, url="page_url"), responses
 
 
-@query(_rows("SELECT CAST(page_id AS INTEGER) AS page_no, 'https://site.example/' || CASE page_id % 4 WHEN 0 THEN 'orig/x/pic-' || s || '.jpg' WHEN 3 THEN 'view/' || s ELSE 'thumbs/pic-' || s || '.jpg' END AS resolved_url, CASE WHEN page_id % 4 IN (0, 3) THEN 110 ELSE 50 END AS priority, CASE WHEN page_id % 4 IN (0, 3) THEN 2 ELSE 1 END AS n FROM p"))
+@query(_rows("""SELECT CAST(page_id AS INTEGER) AS page_no, 'https://site.example/' || CASE page_id % 4 WHEN 0 THEN 'orig/x/pic-' || s || '.jpg' WHEN 3 THEN 'view/' || s ELSE 'thumbs/pic-' || s || '.jpg' END AS resolved_url,
+  CASE WHEN page_id % 4 IN (0, 3) THEN 110 ELSE 50 END AS priority,
+  CASE WHEN page_id % 4 IN (0, 3) THEN 2 ELSE 1 END AS n
+  FROM p"""))
 def landing_match(spark, sf_dir):
     slots, responses = _landing_tables(spark, sf_dir)
     x = landing.resolve(slots, responses, use_index=False)
@@ -298,7 +321,8 @@ def _answers(page_ids: DataFrame, land, body) -> DataFrame:
     return page_ids.select(land.alias("url"), none.alias("final_url"), F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), none.alias("content_disposition"), F.encode(body, "UTF-8").alias("body"), none.alias("error"), F.lit(1).alias("attempts"))
 
 
-@query("SELECT CAST(page_id // 4 AS VARCHAR) AS run_id, CAST(page_id % 4 AS INTEGER) AS page_no, 'https://site.example/orig/pic-' || page_id || '.jpg?v=' || CASE page_id % 2 WHEN 0 THEN 'own' ELSE 'next' END AS resolved_url, 110 AS priority FROM pages")
+@query("""SELECT CAST(page_id // 4 AS VARCHAR) AS run_id, CAST(page_id % 4 AS INTEGER) AS page_no, 'https://site.example/orig/pic-' || page_id || '.jpg?v=' || CASE page_id % 2 WHEN 0 THEN 'own' ELSE 'next' END AS resolved_url, 110 AS priority
+  FROM pages""")
 def landing_index(spark, sf_dir):
     """Every landing page holds its own slot's original and the next slot's. So the index answers each second slot, whose page is not read then."""
     n = F.col("page_id")
@@ -312,7 +336,9 @@ def landing_index(spark, sf_dir):
     return x.select("run_id", "page_no", F.col("candidates")[0]["resolved_url"].alias("resolved_url"), F.col("candidates")[0]["priority"].alias("priority"))
 
 
-@query("SELECT CAST(page_id AS INTEGER) AS page_no, 'https://site.example/' || CASE WHEN page_id % 2 = 0 THEN 'b/pic-' || page_id || '.jpg' ELSE 'thumbs/pic-' || page_id || '.jpg' END AS resolved_url, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS n FROM pages")
+@query("""SELECT CAST(page_id AS INTEGER) AS page_no, 'https://site.example/' || CASE WHEN page_id % 2 = 0 THEN 'b/pic-' || page_id || '.jpg' ELSE 'thumbs/pic-' || page_id || '.jpg' END AS resolved_url,
+  CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS n
+  FROM pages""")
 def landing_own(spark, sf_dir):
     """The best match is a URL that the slot has already: it doesn't count, and another one wins (even pages) or none (odd ones)."""
     n = F.col("page_id")
@@ -342,7 +368,11 @@ def landing_ambiguous(spark, sf_dir):
     return x.select("page_no", F.size("candidates").alias("n"))
 
 
-@query(_rows("SELECT CAST(page_id AS INTEGER) AS page_no, 'pic-' || s AS token FROM p UNION ALL SELECT CAST(page_id AS INTEGER), s FROM p WHERE length(s) >= 4 AND s NOT IN ('1024','1080','1200','1280','1600','1920','2048')"))
+@query(_rows("""SELECT CAST(page_id AS INTEGER) AS page_no, 'pic-' || s AS token
+  FROM p
+UNION ALL SELECT CAST(page_id AS INTEGER), s
+  FROM p
+  WHERE length(s) >= 4 AND s NOT IN ('1024','1080','1200','1280','1600','1920','2048')"""))
 def slot_tokens(spark, sf_dir):
     slots, _ = _landing_tables(spark, sf_dir)
     return landing.slot_tokens(slots).select("page_no", "token")
@@ -389,7 +419,8 @@ def _image_bodies(spark, sf_dir) -> DataFrame:
 _FORMATS = "['png','gif','bmp','jpeg','webp','tiff','avif'][CAST(page_id % 7 AS INTEGER) + 1]"
 
 
-@query(f"SELECT page_id, {_FORMATS} AS format, CAST(page_id % 3000 + 1 AS BIGINT) AS width, CAST(page_id % 700 + 2 AS BIGINT) AS height, '.' || CASE {_FORMATS} WHEN 'jpeg' THEN 'jpg' ELSE {_FORMATS} END AS extension FROM pages")
+@query(f"""SELECT page_id, {_FORMATS} AS format, CAST(page_id % 3000 + 1 AS BIGINT) AS width, CAST(page_id % 700 + 2 AS BIGINT) AS height, '.' || CASE {_FORMATS} WHEN 'jpeg' THEN 'jpg' ELSE {_FORMATS} END AS extension
+  FROM pages""")
 def image_headers(spark, sf_dir):
     none = F.lit(None).cast("string")
     x = _image_bodies(spark, sf_dir).select("page_id", images.image_info(F.col("body"), none, none).alias("i"))
@@ -452,7 +483,9 @@ def url_seen(spark, sf_dir):
     return download.url_seen(_table(spark, sf_dir, "events").select("event_id", "user_id"), _table(spark, sf_dir, "supplier"), "user_id", "s_suppkey")
 
 
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'a b' || p_partkey || '.jpg' WHEN 1 THEN 'x_' || p_partkey || '.png' WHEN 2 THEN 'f' || p_partkey || '.jpeg' WHEN 3 THEN 'image_' || left(sha256(CAST(p_partkey AS VARCHAR)), 8) || '.jpg' ELSE '_CON.png' END AS filename FROM part")
+@query("""SELECT p_partkey,
+  CASE p_partkey % 5 WHEN 0 THEN 'a b' || p_partkey || '.jpg' WHEN 1 THEN 'x_' || p_partkey || '.png' WHEN 2 THEN 'f' || p_partkey || '.jpeg' WHEN 3 THEN 'image_' || left(sha256(CAST(p_partkey AS VARCHAR)), 8) || '.jpg' ELSE '_CON.png' END AS filename
+  FROM part""")
 def filename_resolve(spark, sf_dir):
     s, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 5
     disposition = F.when(k == 1, F.concat(F.lit('attachment; filename="dir/x:'), s, F.lit('.dat"'))).when(k == 4, "inline; filename=CON.png")
@@ -460,14 +493,20 @@ def filename_resolve(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", names.resolve_filename(disposition, path, F.when(k.isin(1, 4), ".png").otherwise(".jpg"), F.sha2(s, 256)).alias("filename"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || '.png' WHEN 1 THEN p_name || '.jfif' WHEN 2 THEN p_name || '.JPG.png' ELSE p_name || '.tiff' END AS filename FROM (SELECT p_partkey, regexp_replace(p_name, '[^a-z]', '', 'g') AS p_name FROM part)")
+@query("""SELECT p_partkey,
+  CASE p_partkey % 4 WHEN 0 THEN p_name || '.png' WHEN 1 THEN p_name || '.jfif' WHEN 2 THEN p_name || '.JPG.png' ELSE p_name || '.tiff' END AS filename
+  FROM (SELECT p_partkey, regexp_replace(p_name, '[^a-z]', '', 'g') AS p_name
+  FROM part)""")
 def ensure_extension(spark, sf_dir):
     k, name = F.col("p_partkey") % 4, F.regexp_replace("p_name", "[^a-z]", "")
     given = F.concat(name, F.when(k == 0, "").when(k == 1, ".jfif").when(k == 2, ".JPG").otherwise(".tiff"))
     return _table(spark, sf_dir, "part").select("p_partkey", names.ensure_extension(given, F.when(k == 1, ".jpg").when(k == 3, "tif").otherwise(".png")).alias("filename"))
 
 
-@query("SELECT o_orderkey, 'img-' || (o_orderkey % 100) || CASE WHEN n = 1 THEN '' ELSE '_' || n END || '.jpg' AS filename FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 100 ORDER BY o_orderkey) AS n FROM orders)")
+@query("""SELECT o_orderkey, 'img-' || (o_orderkey % 100) || CASE WHEN n = 1 THEN '' ELSE '_' || n END || '.jpg' AS filename
+  FROM (SELECT o_orderkey, o_custkey,
+  row_number() OVER (PARTITION BY o_custkey, o_orderkey % 100 ORDER BY o_orderkey) AS n
+  FROM orders)""")
 def allocate_names(spark, sf_dir):
     x = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("img-"), (F.col("o_orderkey") % 100).cast("string"), F.lit(".jpg")).alias("base"))
     return download.allocate_names(x, ["o_custkey"], "base", ["o_orderkey"]).select("o_orderkey", "filename")
@@ -486,7 +525,10 @@ def fallback_chain(spark, sf_dir):
     return download.fallback(_tries(spark, sf_dir), ["l_orderkey"], "l_linenumber")
 
 
-@query(f"SELECT l_orderkey % 10 AS run_id, count(*) FILTER (WHERE st = 'Downloaded') AS downloaded, count(*) FILTER (WHERE st = 'Skipped') AS skipped, count(*) FILTER (WHERE st = 'Duplicate') AS duplicates, count(*) FILTER (WHERE st = 'Error') AS errors, count(*) AS total_slots FROM (SELECT c.l_orderkey, {_STATUS.replace('l_orderkey', 'c.l_orderkey').replace('l_linenumber', 'c.chosen')} AS st FROM ({_CHAIN}) c) GROUP BY 1")
+@query(f"""SELECT l_orderkey % 10 AS run_id, count(*) FILTER (WHERE st = 'Downloaded') AS downloaded, count(*) FILTER (WHERE st = 'Skipped') AS skipped, count(*) FILTER (WHERE st = 'Duplicate') AS duplicates, count(*) FILTER (WHERE st = 'Error') AS errors, count(*) AS total_slots
+  FROM (SELECT c.l_orderkey, {_STATUS.replace('l_orderkey', 'c.l_orderkey').replace('l_linenumber', 'c.chosen')} AS st
+  FROM ({_CHAIN}) c)
+  GROUP BY 1""")
 def run_summary(spark, sf_dir):
     x = download.fallback(_tries(spark, sf_dir), ["l_orderkey"], "l_linenumber").withColumn("run_id", F.col("l_orderkey") % 10)
     return download.summary(x, ["run_id"])
