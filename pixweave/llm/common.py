@@ -112,6 +112,11 @@ def in_small_batches(operator):
     return run
 
 
+def bounded(df: DataFrame, name: str) -> DataFrame:
+    """``df``, which holds a map of texts through Python, ``written`` in small batches: for executors with little memory."""
+    return in_small_batches(written)(df, name)
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A name like ``name`` that no column of ``docs`` has."""
     while name.lower() in (c.lower() for c in docs.columns):

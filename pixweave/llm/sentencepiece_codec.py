@@ -120,7 +120,7 @@ class Codec:
     """
 
     #: Parts remembered at most; then all are forgotten.
-    REMEMBERED = 600_000
+    REMEMBERED = 200_000
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2

@@ -44,6 +44,8 @@ SHORT, SHORT_RUN = 256, 32
 ANCHOR, PIECE = 64, 1 << 22
 #: Bytes in a shard aimed at; distinct segments of an anchor beyond which they are cut into runs of so many windows.
 SHARD, MANY, RUN = 1 << 20, 512, 8
+#: Shards that one task sorts, one after the other.
+PER_TASK = 8
 
 _TABLE = np.random.default_rng(20240611).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -225,7 +227,8 @@ def _shards(cut: DataFrame, shards: int, length: int, short: int) -> DataFrame:
         return pa.table([pa.array([r[i] for r in out], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
 
     x = cut.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
-    return x.groupBy("shard").applyInArrow(run, "anchor long, seg binary, first int, last int, removed boolean")
+    # Sorting takes time by the MB, so tasks are made by shards and not by what shuffled bytes would have them be.
+    return x.repartition(-(-shards // PER_TASK), "shard").groupBy("shard").applyInArrow(run, "anchor long, seg binary, first int, last int, removed boolean")
 
 
 def _windows(runs: DataFrame, length: int) -> DataFrame:

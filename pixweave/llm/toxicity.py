@@ -280,6 +280,10 @@ class Fitted:
         m.base = m.base if self.base is None else self.base
         return m
 
+    def release(self) -> None:
+        """Take the model from all executors, once what was scored with it has been written."""
+        self.sent.destroy()
+
 
 def curve(votes: DataFrame) -> np.ndarray:
     """For each bin of leave-one-out votes (vote, toxic) the rate of toxic examples, never falling."""
@@ -379,5 +383,7 @@ def score(docs: DataFrame, model: Fitted, text: str = "text", into: str = "toxic
 @in_small_batches
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, neighbours): the contract's columns and the evidence."""
-    x = written(score(docs.select("doc_id", "text"), fit(docs, labels)).select("doc_id", "toxicity"), "toxicity-scores")
+    model = fit(docs, labels)
+    x = written(score(docs.select("doc_id", "text"), model).select("doc_id", "toxicity"), "toxicity-scores")
+    model.release()
     return x.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.col("toxicity.neighbours").alias("neighbours"))
