@@ -88,6 +88,35 @@ class Model:
     ends: array = field(default_factory=lambda: array("q", [0]))
     place: dict[str, int] = field(default_factory=dict)  # of every term, once it is asked for
     columns: list[np.ndarray] = field(default_factory=list)
+    compact: dict = field(default_factory=dict)  # what ``filled`` makes the model from; how it travels
+
+    def __getstate__(self) -> dict:
+        return self.compact | {"base": self.base, "curve": self.curve}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(self.filled(state).__dict__, base=state["base"], curve=state["curve"])
+
+    @classmethod
+    def filled(cls, compact: dict) -> Model:
+        """The model from counts: a weight is (1 + log count) * idf of its term / length of its example."""
+        ids, held, lengths = compact["ids"], compact["held"], compact["lengths"]
+        idf = 1 + np.log(len(ids) / np.maximum(held, 1))
+        of_term, starts, example = idf.astype(np.float32), compact["starts"].astype(np.int64), compact["example"]
+
+        def weight(counts: np.ndarray, idfs: np.ndarray, examples: np.ndarray) -> np.ndarray:
+            table = 1 + np.log(np.maximum(np.arange(int(counts.max(initial=0)) + 1), 1).astype(np.float32))
+            return table.astype(np.float32)[counts] * idfs / lengths[examples]
+
+        postings = np.empty((len(example), 2), np.int32)
+        postings[:, 0] = example
+        postings[:, 1] = weight(compact["count"], np.repeat(of_term, np.diff(starts)), example).view(np.int32)
+        blocks = []
+        for first, last, often, row, column, count in compact["blocks"]:
+            weights = np.zeros((len(often), last - first), np.float32)
+            weights[row, column] = weight(count, of_term[often[row]], column.astype(np.int64) + first)
+            blocks.append((first, last, often, weights.max(1), weights))
+        terms = compact["terms"].split("\n") if compact["terms"] else []
+        return cls(terms, idf, ids, compact["toxic"], starts, postings, blocks, compact=compact)
 
     @classmethod
     def of(cls, ids: np.ndarray, toxic: np.ndarray, terms: list[str], places: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> Model:
@@ -95,12 +124,14 @@ class Model:
         n = len(ids)
         order = np.argsort(places, kind="stable")
         example = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
-        weight = (1 + np.log(counts[order].astype(np.float32))).astype(np.float32)
+        counts = counts[order]
+        weight = (1 + np.log(counts.astype(np.float32))).astype(np.float32)
         del order
         held = np.bincount(places, minlength=len(terms))
         idf = 1 + np.log(n / np.maximum(held, 1))
         weight *= np.repeat(idf.astype(np.float32), held)
-        weight /= np.sqrt(np.maximum(np.bincount(example, weight.astype(np.float64) ** 2, n), 1e-24)).astype(np.float32)[example]
+        lengths = np.sqrt(np.maximum(np.bincount(example, weight.astype(np.float64) ** 2, n), 1e-24)).astype(np.float32)
+        weight /= lengths[example]
         term = np.repeat(np.arange(len(terms), dtype=np.int32), held)
         near = cls._alike(n, term, example, weight, held)
         order = np.argsort(near, kind="stable")  # examples of a block get numbers in a row
@@ -108,22 +139,26 @@ class Model:
         number[order] = np.arange(n)
         example, ids, toxic, bare = number[example], ids[order], toxic[order], sizes[order] == 0
         cuts = np.searchsorted(near[order], np.arange(BLOCKS + 1)).tolist()
+        small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
         blocks, rest = [], np.ones(len(term), bool)
         for first, last in zip(cuts[:-1], cuts[1:], strict=True):
             inside = (example >= first) & (example < last)
             often = np.flatnonzero(np.bincount(term[inside], minlength=len(terms)) >= max(OFTEN * (last - first), 8))
-            column = np.full(len(terms), -1, np.int32)
-            column[often] = np.arange(len(often))
-            dense = inside & (column[term] >= 0)
-            weights = np.zeros((len(often), last - first), np.float32)
-            weights[column[term[dense]], example[dense] - first] = weight[dense]
-            rest &= ~dense
+            row = np.full(len(terms), -1, np.int32)
+            row[often] = np.arange(len(often))
+            dense = np.flatnonzero(inside & (row[term] >= 0))
+            rest[dense] = False
             if last > first:
-                blocks.append((first, last, often, weights.max(1), weights))
+                blocks.append((first, last, often, small(row[term[dense]]), small(example[dense] - first), small(counts[dense])))
         starts = np.append(0, np.cumsum(np.bincount(term[rest], minlength=len(terms))))
-        postings = np.stack([example[rest], weight[rest].view(np.int32)], 1)
-        base = (float(toxic[bare].sum()) + 0.01) / (float(bare.sum()) + 1)  # of texts without a term
-        return cls(terms, idf, ids, toxic, starts, postings, blocks, base)
+        compact = {
+            "terms": "\n".join(terms), "held": small(held), "lengths": lengths[order], "ids": ids, "toxic": toxic,
+            "starts": small(starts), "example": small(example[rest]), "count": small(counts[rest]), "blocks": blocks,
+        }
+        del weight, term, example, counts, rest
+        model = cls.filled(compact)
+        model.base = (float(toxic[bare].sum()) + 0.01) / (float(bare.sum()) + 1)  # of texts without a term
+        return model
 
     @staticmethod
     def _alike(n: int, term: np.ndarray, example: np.ndarray, weight: np.ndarray, held: np.ndarray) -> np.ndarray:
