@@ -1,7 +1,8 @@
 """From raw documents to tokenised training text, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return
-the columns of ``documents``.
+the columns of ``documents``. Stages that map texts through Python write their result in small batches before they
+return, so that workers of all stages fit beside each other in a small executor.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixweave.llm import mixing, near_dedup, pii, sentencepiece_codec, toxicity
-from pixweave.llm.common import fresh, table, written
+from pixweave.llm.common import bounded, fresh, freed, table, written
 from pixweave.llm.queries import model_path
 
 
@@ -21,7 +22,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     repeated rows are judged alike and all stay or go; without labels, or documents, all stay.
     """
     model, into = toxicity.fit(docs, table(spark, sf_dir, "labels")), fresh(docs, "toxicity")
-    return toxicity.score(docs, model, into=into).filter(F.col(into)["score"] < 0.5).select(docs.columns)
+    kept = bounded(toxicity.score(docs, model, into=into).filter(F.col(into)["score"] < 0.5).select(docs.columns), "pipeline-toxicity")
+    model.release()
+    return kept
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +42,7 @@ def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     into = fresh(docs, "pii")
     x = pii.surrogate_texts(docs, into=into).withColumn("text", F.col(into)["text"])
-    return x.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return bounded(x.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns), "pipeline-pii")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row, null ids and repeated rows included; null and empty texts have the two marks only."""
-    return sentencepiece_codec.encoded(docs, model_path())
+    return bounded(sentencepiece_codec.encoded(docs, model_path()), "pipeline-ids")
 
 
 STAGES = [
@@ -70,6 +73,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over the table ``documents``; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        done = stage(spark, docs, sf_dir)
+        done = done if getattr(done, "scratch", None) else written(done, f"pipeline-{name}")
+        freed(docs)
+        docs = done
+    return docs
