@@ -120,7 +120,10 @@ class Model:
 
     @classmethod
     def of(cls, ids: np.ndarray, toxic: np.ndarray, terms: list[str], places: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> Model:
-        """The index of examples with ``sizes`` terms each, whose places in ``terms`` and counts follow each other."""
+        """The index of examples with ``sizes`` terms each, whose places in ``terms`` and counts follow each other.
+
+        The model that is returned can only travel; what arrives is filled in.
+        """
         n = len(ids)
         order = np.argsort(places, kind="stable")
         example = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
@@ -130,10 +133,14 @@ class Model:
         held = np.bincount(places, minlength=len(terms))
         idf = 1 + np.log(n / np.maximum(held, 1))
         weight *= np.repeat(idf.astype(np.float32), held)
-        lengths = np.sqrt(np.maximum(np.bincount(example, weight.astype(np.float64) ** 2, n), 1e-24)).astype(np.float32)
+        squares = np.zeros(n)
+        for at in range(0, len(weight), 1 << 20):
+            squares += np.bincount(example[at : at + (1 << 20)], weight[at : at + (1 << 20)].astype(np.float64) ** 2, n)
+        lengths = np.sqrt(np.maximum(squares, 1e-24)).astype(np.float32)
         weight /= lengths[example]
         term = np.repeat(np.arange(len(terms), dtype=np.int32), held)
         near = cls._alike(n, term, example, weight, held)
+        del weight
         order = np.argsort(near, kind="stable")  # examples of a block get numbers in a row
         number = np.empty(n, np.int32)
         number[order] = np.arange(n)
@@ -155,8 +162,7 @@ class Model:
             "terms": "\n".join(terms), "held": small(held), "lengths": lengths[order], "ids": ids, "toxic": toxic,
             "starts": small(starts), "example": small(example[rest]), "count": small(counts[rest]), "blocks": blocks,
         }
-        del weight, term, example, counts, rest
-        model = cls.filled(compact)
+        model = cls([], held, ids, toxic, starts, held, [], compact=compact)
         model.base = (float(toxic[bare].sum()) + 0.01) / (float(bare.sum()) + 1)  # of texts without a term
         return model
 
@@ -353,18 +359,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:
                 yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["raw"])
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [pa.ipc.open_stream(raw).read_all() for b in batches for raw in b.column(0).to_pylist()]
-        docs_ = pa.concat_tables(parts).sort_by([("toxic", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-        del parts
-        ids, toxic = np.array(docs_["doc_id"].to_pylist(), object), docs_["toxic"].to_numpy() == 1
-        terms, n = (docs_[c].chunk(0) for c in ("terms", "n"))
-        sizes, counts = np.diff(terms.offsets.to_numpy()), n.flatten().to_numpy()
-        coded = terms.flatten().dictionary_encode()
-        order = pa.compute.sort_indices(coded.dictionary).to_numpy()
+        ids, toxic, sizes, terms, counts = [], [], [], [], []
+        for b in batches:
+            for raw in b.column(0):
+                part = pa.ipc.open_stream(raw.as_buffer()).read_all().combine_chunks().to_batches()[0]
+                ids += part["doc_id"].to_pylist()
+                toxic += part["toxic"].to_pylist()
+                sizes.append(np.diff(part["terms"].offsets.to_numpy()))
+                terms.append(part["terms"].flatten().dictionary_encode())
+                counts.append(part["n"].flatten().to_numpy())
+        coded = pa.chunked_array(terms).unify_dictionaries()
+        del terms
+        names = coded.chunk(0).dictionary
+        order = pa.compute.sort_indices(names).to_numpy()
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
-        places, names = place[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order)).to_pylist()
-        del docs_, terms, n, coded
+        places, names = place[np.concatenate([c.indices.to_numpy() for c in coded.chunks])], names.take(pa.array(order)).to_pylist()
+        del coded
+        # Examples are numbered by label and id, whatever the order in which they come.
+        number = sorted(range(len(ids)), key=lambda i: (toxic[i], ids[i]))
+        sizes, counts = np.concatenate(sizes), np.concatenate(counts)
+        starts = np.cumsum(sizes) - sizes
+        at = spans(starts[number], sizes[number])
+        places, counts, sizes = places[at], counts[at], sizes[number]
+        ids, toxic = np.array([ids[i] for i in number], object), np.array([toxic[i] == 1 for i in number], bool)
+        del at
         pa.default_memory_pool().release_unused()
         for i, raw in enumerate(packed(Model.of(ids, toxic, names, places, sizes, counts))):
             for at in range(0, max(len(raw), 1), PART):
