@@ -215,6 +215,7 @@ def _mapped(docs: DataFrame, model_path: str, row, schema: T.StructType) -> Data
                 rows = [row(codec, x) for x in part.column(1).to_pylist()]
                 columns = [part.column(0), *(pa.array([r[i] for r in rows], out[i + 1]) for i in range(len(schema) - 1))]
                 yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+        codec.known.clear()  # the worker goes on to other tasks
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

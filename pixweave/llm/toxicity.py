@@ -119,15 +119,14 @@ class Model:
         return cls(terms, idf, ids, compact["toxic"], starts, postings, blocks, compact=compact)
 
     @classmethod
-    def of(cls, ids: np.ndarray, toxic: np.ndarray, terms: list[str], places: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> Model:
-        """The index of examples with ``sizes`` terms each, whose places in ``terms`` and counts follow each other.
+    def of(cls, ids: np.ndarray, toxic: np.ndarray, terms: list[str], places: np.ndarray, example: np.ndarray, counts: np.ndarray) -> Model:
+        """The index of postings: a term's place in ``terms``, the example that holds it, and how often it does.
 
         The model that is returned can only travel; what arrives is filled in.
         """
         n = len(ids)
         order = np.argsort(places, kind="stable")
-        example = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
-        counts = counts[order]
+        example, counts, sizes = example[order], counts[order], np.bincount(example, minlength=n)
         weight = (1 + np.log(counts.astype(np.float32))).astype(np.float32)
         del order
         held = np.bincount(places, minlength=len(terms))
@@ -364,28 +363,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:
             for raw in b.column(0):
                 part = pa.ipc.open_stream(raw.as_buffer()).read_all().combine_chunks().to_batches()[0]
                 ids += part["doc_id"].to_pylist()
-                toxic += part["toxic"].to_pylist()
+                toxic += [t == 1 for t in part["toxic"].to_pylist()]
                 sizes.append(np.diff(part["terms"].offsets.to_numpy()))
                 terms.append(part["terms"].flatten().dictionary_encode())
-                counts.append(part["n"].flatten().to_numpy())
+                n = part["n"].flatten().to_numpy()
+                counts.append(n.astype(np.min_scalar_type(int(n.max(initial=0)))))
         coded = pa.chunked_array(terms).unify_dictionaries()
-        del terms
+        del terms, part, n, raw, b
         names = coded.chunk(0).dictionary
         order = pa.compute.sort_indices(names).to_numpy()
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
-        places, names = place[np.concatenate([c.indices.to_numpy() for c in coded.chunks])], names.take(pa.array(order)).to_pylist()
-        del coded
-        # Examples are numbered by label and id, whatever the order in which they come.
-        number = sorted(range(len(ids)), key=lambda i: (toxic[i], ids[i]))
-        sizes, counts = np.concatenate(sizes), np.concatenate(counts)
-        starts = np.cumsum(sizes) - sizes
-        at = spans(starts[number], sizes[number])
-        places, counts, sizes = places[at], counts[at], sizes[number]
-        ids, toxic = np.array([ids[i] for i in number], object), np.array([toxic[i] == 1 for i in number], bool)
-        del at
+        places, names = np.concatenate([place[c.indices.to_numpy()] for c in coded.chunks]), names.take(pa.array(order)).to_pylist()
+        del coded, place, order
         pa.default_memory_pool().release_unused()
-        for i, raw in enumerate(packed(Model.of(ids, toxic, names, places, sizes, counts))):
+        # Examples are numbered by label and id, whatever the order in which they come.
+        number = np.empty(len(ids), np.int32)
+        number[(by := sorted(range(len(ids)), key=lambda i: (toxic[i], ids[i])))] = np.arange(len(ids), dtype=np.int32)
+        example = np.repeat(number, np.concatenate(sizes))
+        ids, toxic, counts = np.array([ids[i] for i in by], object), np.array([toxic[i] for i in by], bool), np.concatenate(counts)
+        for i, raw in enumerate(packed(Model.of(ids, toxic, names, places, example, counts))):
             for at in range(0, max(len(raw), 1), PART):
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([at]), pa.array([bytes(raw[at : at + PART])], pa.binary())], ["i", "at", "raw"])
 
