@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -112,6 +114,19 @@ def in_small_batches(operator):
     return run
 
 
+def tidied(batches: Iterator) -> Iterator:
+    """What a Python worker yields; at its end the memory that it has freed goes back to the system.
+
+    Workers are kept for the tasks of later operators, and their allocators keep what was freed once.
+    """
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def bounded(df: DataFrame, name: str) -> DataFrame:
     """``df``, which holds a map of texts through Python, ``written`` in small batches: for executors with little memory."""
     return in_small_batches(written)(df, name)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, in_small_batches, likely, sliced, small, written
+from .common import freed, in_small_batches, likely, sliced, small, tidied, written
 
 BANDS, ROWS = 24, 4
 #: MinHash samples, the first BANDS * ROWS of which make band keys, and the bits of a sketch of all.
@@ -174,7 +174,7 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     x = docs.select("doc_id", text_key().alias("tk"), F.col("text").cast("binary").alias("text"))
-    return x.mapInArrow(run, f"doc_id {kind}, tk binary, n long, node binary, bands array<long>, sketch binary")
+    return x.mapInArrow(lambda batches: tidied(run(batches)), f"doc_id {kind}, tk binary, n long, node binary, bands array<long>, sketch binary")
 
 
 def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

@@ -22,6 +22,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import tidied
+
 
 SPACE = "\u2581".encode()
 
@@ -217,7 +219,7 @@ def _mapped(docs: DataFrame, model_path: str, row, schema: T.StructType) -> Data
                 yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
         codec.known.clear()  # the worker goes on to other tasks
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: tidied(run(batches)), schema)
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:

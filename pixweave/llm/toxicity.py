@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, in_small_batches, sliced, written
+from .common import freed, in_small_batches, sliced, tidied, written
 
 #: Labelled rows that the model is fitted on, at most: the model's size doesn't grow with the data.
 SAMPLE = 12_000
@@ -389,8 +389,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:
     # One task makes the index of the bounded sample. The driver passes on its bytes, part by part, without unpacking them.
     held = {}
     if rows.counted:
-        terms = written(rows.mapInArrow(counted, "raw binary"), "toxicity-terms")
-        parts = written(terms.coalesce(1).mapInArrow(built, "i long, at long, raw binary"), "toxicity-index")
+        terms = written(rows.mapInArrow(lambda b: tidied(counted(b)), "raw binary"), "toxicity-terms")
+        parts = written(terms.coalesce(1).mapInArrow(lambda b: tidied(built(b)), "i long, at long, raw binary"), "toxicity-index")
         held = {(p["i"], p["at"]): p["raw"] for p in parts.toLocalIterator()}
         freed(terms, parts)
     pieces: list[bytearray] = []
@@ -415,22 +415,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:
                     votes.append(m.vote(near) if near else None)
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column(1)], ["vote", "toxic"])
 
-    votes = rows.mapInArrow(voted, "vote double, toxic int")
+    votes = rows.mapInArrow(lambda b: tidied(voted(b)), "vote double, toxic int")
     return Fitted(sent, curve(votes.filter("vote is not null")))
 
 
 def score(docs: DataFrame, model: Fitted, text: str = "text", into: str = "toxicity") -> DataFrame:
     """``docs`` with a struct column: score, neighbours (ids of the nearest examples) and cosines."""
+
     @F.arrow_udf("score double, neighbours array<long>, cosines array<double>")
     def scored(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = model.model()
-        for part in column:
-            rows = list(m.scores(part))
-            yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["score", "neighbours", "cosines"])
+        return tidied(_scored(model, column))
 
     return docs.withColumn(into, scored(text))
 
 
+def _scored(model: Fitted, column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    m = model.model()
+    for part in column:
+        rows = list(m.scores(part))
+        yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["score", "neighbours", "cosines"])
+
+
 @in_small_batches
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, neighbours): the contract's columns and the evidence."""
