@@ -39,7 +39,7 @@ NEIGHBOURS, AT_ONCE = 15, 256
 #: Blocks of like examples, the terms that tell them apart, and the share of a block that makes a term frequent in it.
 BLOCKS, LIKE, OFTEN = 8, 512, 1 / 8
 #: Words remembered with their terms, at most.
-KNOWN = 50_000
+KNOWN = 30_000
 #: Bytes of the index that travel in a row.
 PART = 1 << 22
 BINS = 10
@@ -347,13 +347,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:
     rows = written(texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "toxicity-sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each part's terms and their counts, as Arrow writes them: to Spark a row with bytes."""
-        for b in sliced(batches, 500):
+        """Each part's terms and their counts, as Arrow writes them, compressed: to Spark a row with bytes."""
+        for b in sliced(batches, 250):
             found = [term_counts(t) for t in b.column(2).to_pylist()]
             terms, n = pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))
             part = pa.RecordBatch.from_arrays([b.column(0), b.column(1), terms, n], ["doc_id", "toxic", "terms", "n"])
             with pa.BufferOutputStream() as out:
-                with pa.ipc.new_stream(out, part.schema) as writer:
+                with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                     writer.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["raw"])
 
