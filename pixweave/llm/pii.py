@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import freed, in_small_batches, small, written
+from .common import freed, in_small_batches, small, tidied, written
 
 #: Tweaks that are tried before a template of letters is made longer, and tries in all; the tweak of kinds that are full.
 WIDEN, TRIES, FULL = 6, 60, -1
@@ -343,7 +343,7 @@ def _entities(docs: DataFrame) -> DataFrame:
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "dk", "kind", "value"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("dk"), "text").mapInArrow(run, f"doc_id {kind}, dk long, kind string, value string")
+    return docs.select("doc_id", F.xxhash64("text").alias("dk"), "text").mapInArrow(lambda batches: tidied(run(batches)), f"doc_id {kind}, dk long, kind string, value string")
 
 
 def _listed(names: Iterable[str] = tuple(_LISTED)) -> Column:
@@ -427,8 +427,11 @@ def surrogate_texts(docs: DataFrame, key: bytes | None = None, into: str = "pii"
             ints = pa.list_(pa.int32())
             yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([[s[2] for s in r[1]] for r in rows], pa.list_(pa.string())), pa.array([[s[0] for s in r[1]] for r in rows], ints), pa.array([[s[1] for s in r[1]] for r in rows], ints)], ["text", "kinds", "starts", "ends"])
 
-    run.__annotations__ = {"texts": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    made = F.arrow_udf(run, "text string, kinds array<string>, starts array<int>, ends array<int>")
+    def tidy(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return tidied(run(texts))
+
+    tidy.__annotations__ = {"texts": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    made = F.arrow_udf(tidy, "text string, kinds array<string>, starts array<int>, ends array<int>")
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c != into]
     return x.select(*kept, made("row.text", "odd").alias(into))
 
