@@ -171,6 +171,7 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tk", "n", "node", "bands", "sketch"])
             pa.default_memory_pool().release_unused()
+        _powers.clear()  # the worker goes on to other tasks
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     x = docs.select("doc_id", text_key().alias("tk"), F.col("text").cast("binary").alias("text"))
@@ -201,6 +202,7 @@ def _full(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> D
             for a, b in chunks(found):
                 full = [s.tobytes() for s in shingles(found[a:b], words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(full, pa.binary())], ["node", "full"])
+        _powers.clear()
 
     full = written(texts.mapInArrow(run, "node binary, full binary").dropDuplicates(["node"]), "near-sets")
     freed(rep)

@@ -70,11 +70,52 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+class Terms:
+    """Ascending terms in little memory: their text, where each ends, and their hashes, by which they are found."""
+
+    def __init__(self, joined: str = "") -> None:
+        terms = joined.split("\n") if joined else []
+        self.text = np.frombuffer((joined + "\n").encode() if joined else b"", np.uint8)
+        self.ends = np.append(0, np.flatnonzero(self.text == ord("\n")) + 1).astype(np.int32)
+        hashes = np.fromiter(map(hash, terms), np.int64, len(terms))
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.order]
+        same = np.flatnonzero(self.hashes[1:] == self.hashes[:-1])
+        self.odd = {terms[i]: i for i in self.order[np.union1d(same, same + 1)].tolist()}  # terms that share a hash
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Terms) and np.array_equal(self.text, other.text)
+
+    def __contains__(self, word: str) -> bool:
+        return self.places([word])[0] >= 0
+
+    def places(self, words: Sequence[str]) -> np.ndarray:
+        """Each word's place, -1 for those that are no terms."""
+        out = np.full(len(words), -1, np.int64)
+        if not len(self):
+            return out
+        h = np.fromiter(map(hash, words), np.int64, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self) - 1)
+        hit = np.flatnonzero(self.hashes[at] == h)
+        out[hit] = found = self.order[at[hit]]
+        meant = [words[i] + "\n" for i in hit.tolist()]
+        start, end = self.ends[found].astype(np.int64), self.ends[found + 1]
+        if self.text[spans(start, end - start)].tobytes() != "".join(meant).encode("utf-8", "surrogatepass"):  # a word that only has a term's hash
+            out[hit] = [j if self.text[a:b].tobytes() == w.encode("utf-8", "surrogatepass") else -1 for j, a, b, w in zip(found, start, end, meant, strict=True)]
+        if self.odd:
+            for i in hit.tolist():
+                out[i] = self.odd.get(words[i], out[i])
+        return out
+
+
 @dataclass
 class Model:
     """Vocabulary, inverted index and calibration."""
 
-    terms: list[str]  # ascending
+    terms: Terms  # ascending
     idf: np.ndarray
     ids: np.ndarray  # as text
     toxic: np.ndarray
@@ -86,9 +127,8 @@ class Model:
     known: dict[str, int] = field(default_factory=dict)  # words seen lately, by number; the next two hold their terms
     held: array = field(default_factory=lambda: array("i"))
     ends: array = field(default_factory=lambda: array("q", [0]))
-    place: dict[str, int] = field(default_factory=dict)  # of every term, once it is asked for
     columns: list[np.ndarray] = field(default_factory=list)
-    compact: dict = field(default_factory=dict)  # what ``filled`` makes the model from; how it travels
+    compact: dict = field(default_factory=dict)  # what ``filled`` makes the model from; how it travels. One that has arrived is without
 
     def __getstate__(self) -> dict:
         return self.compact | {"base": self.base, "curve": self.curve}
@@ -107,52 +147,60 @@ class Model:
             table = 1 + np.log(np.maximum(np.arange(int(counts.max(initial=0)) + 1), 1).astype(np.float32))
             return table.astype(np.float32)[counts] * idfs / lengths[examples]
 
-        postings = np.empty((len(example), 2), np.int32)
+        terms = Terms(compact["terms"])
+        postings, idfs = np.empty((len(example), 2), np.int32), np.repeat(of_term, np.diff(starts))
         postings[:, 0] = example
-        postings[:, 1] = weight(compact["count"], np.repeat(of_term, np.diff(starts)), example).view(np.int32)
+        for at in range(0, len(example), 1 << 20):
+            to = at + (1 << 20)
+            postings[at:to, 1] = weight(compact["count"][at:to], idfs[at:to], example[at:to]).view(np.int32)
+        del idfs
         blocks = []
         for first, last, often, row, column, count in compact["blocks"]:
             weights = np.zeros((len(often), last - first), np.float32)
             weights[row, column] = weight(count, of_term[often[row]], column.astype(np.int64) + first)
             blocks.append((first, last, often, weights.max(1), weights))
-        terms = compact["terms"].split("\n") if compact["terms"] else []
-        return cls(terms, idf, ids, compact["toxic"], starts, postings, blocks, compact=compact)
+        return cls(terms, idf, ids, compact["toxic"], starts, postings, blocks)
 
     @classmethod
     def of(cls, ids: np.ndarray, toxic: np.ndarray, terms: list[str], places: np.ndarray, example: np.ndarray, counts: np.ndarray) -> Model:
         """The index of postings: a term's place in ``terms``, the example that holds it, and how often it does.
 
-        The model that is returned can only travel; what arrives is filled in.
+        The model that is returned can only travel; what arrives is filled in. The postings are sorted where they are,
+        and worked on in parts: there are millions of them.
         """
-        n = len(ids)
+        n, term = len(ids), places
+        sizes, held = np.bincount(example, minlength=n), np.bincount(places, minlength=len(terms))
         order = np.argsort(places, kind="stable")
-        example, counts, sizes = example[order], counts[order], np.bincount(example, minlength=n)
-        weight = (1 + np.log(counts.astype(np.float32))).astype(np.float32)
+        for x in (places, example, counts):
+            x[:] = x[order]
         del order
-        held = np.bincount(places, minlength=len(terms))
-        idf = 1 + np.log(n / np.maximum(held, 1))
-        weight *= np.repeat(idf.astype(np.float32), held)
-        squares = np.zeros(n)
-        for at in range(0, len(weight), 1 << 20):
-            squares += np.bincount(example[at : at + (1 << 20)], weight[at : at + (1 << 20)].astype(np.float64) ** 2, n)
+        parts = [slice(at, at + (1 << 20)) for at in range(0, len(term), 1 << 20)]
+        idf = (1 + np.log(n / np.maximum(held, 1))).astype(np.float32)
+        weight, squares = np.empty(len(term), np.float32), np.zeros(n)
+        for part in parts:
+            weight[part] = (1 + np.log(counts[part].astype(np.float32))) * idf[term[part]]
+            squares += np.bincount(example[part], weight[part].astype(np.float64) ** 2, n)
         lengths = np.sqrt(np.maximum(squares, 1e-24)).astype(np.float32)
-        weight /= lengths[example]
-        term = np.repeat(np.arange(len(terms), dtype=np.int32), held)
+        for part in parts:
+            weight[part] /= lengths[example[part]]
         near = cls._alike(n, term, example, weight, held)
         del weight
         order = np.argsort(near, kind="stable")  # examples of a block get numbers in a row
         number = np.empty(n, np.int32)
         number[order] = np.arange(n)
-        example, ids, toxic, bare = number[example], ids[order], toxic[order], sizes[order] == 0
+        for part in parts:
+            example[part] = number[example[part]]
+        ids, toxic, bare = ids[order], toxic[order], sizes[order] == 0
         cuts = np.searchsorted(near[order], np.arange(BLOCKS + 1)).tolist()
         small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
         blocks, rest = [], np.ones(len(term), bool)
         for first, last in zip(cuts[:-1], cuts[1:], strict=True):
-            inside = (example >= first) & (example < last)
+            inside = np.flatnonzero((example >= first) & (example < last))
             often = np.flatnonzero(np.bincount(term[inside], minlength=len(terms)) >= max(OFTEN * (last - first), 8))
             row = np.full(len(terms), -1, np.int32)
             row[often] = np.arange(len(often))
-            dense = np.flatnonzero(inside & (row[term] >= 0))
+            dense = inside[row[term[inside]] >= 0]
+            del inside
             rest[dense] = False
             if last > first:
                 blocks.append((first, last, often, small(row[term[dense]]), small(example[dense] - first), small(counts[dense])))
@@ -161,7 +209,7 @@ class Model:
             "terms": "\n".join(terms), "held": small(held), "lengths": lengths[order], "ids": ids, "toxic": toxic,
             "starts": small(starts), "example": small(example[rest]), "count": small(counts[rest]), "blocks": blocks,
         }
-        model = cls([], held, ids, toxic, starts, held, [], compact=compact)
+        model = cls(Terms(), held, ids, toxic, starts, held, [], compact=compact)
         model.base = (float(toxic[bare].sum()) + 0.01) / (float(bare.sum()) + 1)  # of texts without a term
         return model
 
@@ -216,12 +264,10 @@ class Model:
 
     def _learn(self, words: list[str]) -> None:
         """Look up the words' terms: the word, and its prefixes if it is longer."""
-        if not self.place:
-            self.place.update(zip(self.terms, range(len(self.terms)), strict=True))
         size = np.fromiter(map(len, words), np.int64, len(words))
         found = np.empty((len(words), len(PREFIXES) + 1), np.int64)
         for j, begin in enumerate([words, *([w[:p] for w in words] for p in PREFIXES)]):
-            found[:, j] = [-1 if at is None else at for at in map(self.place.get, begin)]
+            found[:, j] = self.terms.places(begin)
         holds = found >= 0
         holds[:, 1:] &= size[:, None] > np.array(PREFIXES)
         self.known.update(zip(words, range(len(self.ends) - 1, len(self.ends) - 1 + len(words)), strict=True))
@@ -243,7 +289,7 @@ class Model:
             return [[] for _ in queries]
         if not self.columns:
             for _, _, often, _, _ in self.blocks:
-                self.columns.append(np.full(len(self.terms), -1, np.int32))
+                self.columns.append(np.full(len(self.terms), -1, np.min_scalar_type(-max(len(often), 1))))
                 self.columns[-1][often] = np.arange(len(often))
         cosine = np.zeros((count, n), np.float32)
         for i, (at, w) in enumerate(queries):
@@ -302,10 +348,18 @@ def packed(model: Model) -> list:
 
 
 def unpacked(pieces: list[bytearray]) -> Model:
-    """The model of ``packed``; its arrays share the pieces' memory."""
+    """The model of ``packed``, filled in; the pieces aren't needed any more."""
     return pickle.loads(pieces[0], buffers=pieces[1:])
 
 
+def received(sent: Broadcast) -> Model:
+    """The model that was sent, without the bytes that it came in: idle workers would keep them, and later tasks read them again."""
+    model = unpacked(sent.value)
+    if getattr(sent, "_path", None):  # with encryption a worker gets the bytes only once
+        sent.__dict__.pop("_value", None)
+    return model
+
+
 @dataclass
 class Fitted:
     """A broadcast model, and what calibration found."""
@@ -315,7 +369,7 @@ class Fitted:
     base: float | None = None
 
     def model(self) -> Model:
-        m = unpacked(self.sent.value)
+        m = received(self.sent)
         m.curve = m.curve if self.curve is None else self.curve
         m.base = m.base if self.base is None else self.base
         return m
@@ -405,7 +459,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:
     del pieces
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = unpacked(sent.value)
+        m = received(sent)
         for b in batches:
             ids, texts, votes = b.column(0).to_pylist(), b.column(2).to_pylist(), []
             for i in range(0, len(texts), AT_ONCE):

@@ -414,6 +414,40 @@ def test_a_repeated_id_is_one_example(spark):
     assert "aardvark" in a.terms and "zebra" not in a.terms
 
 
+class Sent:
+    """A broadcast as a worker has it: read from a file, and kept once it has been read."""
+
+    def __init__(self, value):
+        self._path, self.stored = "file", value
+
+    @property
+    def value(self):
+        if not hasattr(self, "_value"):
+            self._value = [bytearray(x) for x in self.stored]
+        return self._value
+
+
+def test_a_worker_keeps_no_bytes_of_the_model():
+    counts = [toxicity.term_counts(t) for _, t, _ in toxic_corpus(60)]
+    terms = sorted(set().union(*counts))
+    places = np.array([terms.index(t) for c in counts for t in c], np.int32)
+    example = np.repeat(np.arange(60, dtype=np.int32), [len(c) for c in counts])
+    ids, toxic = np.array([*map(str, range(60))], object), np.arange(60) % 3 == 0
+    sent = Sent(toxicity.packed(toxicity.Model.of(ids, toxic, terms, places, example, np.array([n for c in counts for n in c.values()], np.uint8))))
+    first, again = (toxicity.Fitted(sent).model() for _ in range(2))
+    assert not hasattr(sent, "_value") and not first.compact
+    assert (first.weights == again.weights).all() and len(first.terms) == len(terms)
+
+
+def test_terms_are_found_whatever_their_hashes(monkeypatch):
+    found = ["a", "ab", "b", "ü", "zz"]
+    for hashed in (hash, len, lambda w: 0):
+        monkeypatch.setattr(toxicity, "hash", hashed, raising=False)
+        terms = toxicity.Terms("\n".join(found))
+        assert terms.places(["b", "", "zz", "zy", "ü", "abc", "a", "\udc80"]).tolist() == [2, -1, 4, -1, 3, -1, 0, -1]
+        assert toxicity.Terms("").places(["a"]).tolist() == [-1] and "ab" in terms and "ba" not in terms
+
+
 # 7
 
 
