@@ -6,10 +6,12 @@ import ctypes
 import functools
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,12 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 #: Rows with texts that a Python worker gets at a time: thousands of long texts don't fit beside each other.
 BATCH = 1000
+#: Seconds from one time that the driver's JVM gives memory back to the next, at least.
+TRIM_S = 5.0
 
 _written: dict[str, None] = {}
 _own: list[str] = []
+_trimmed: list[float] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,21 +42,44 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, count: Column | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, count: Column | None = None, per_file: int = 0) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and outlives lost executors.
 
     The result's ``counted`` is the number of rows (or of those for which ``count`` is true), taken by the same job.
+    No file gets more than ``per_file`` rows, if that is above 0.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count_if(F.lit(True) if count is None else count).alias("n")).write.parquet(path)
+    writer = df.observe(seen, F.count_if(F.lit(True) if count is None else count).alias("n")).write
+    (writer.option("maxRecordsPerFile", per_file) if per_file > 0 else writer).parquet(path)
     _written[path] = None
     back = spark.read.schema(df.schema).parquet(path)
     back.scratch, back.counted = path, seen.get["n"]
+    if not _trimmed or time.monotonic() - _trimmed[-1] > TRIM_S:
+        trimmed(spark)
     return back
 
 
+def trimmed(spark: SparkSession) -> str | None:
+    """Have the driver's JVM give freed native memory back to the system; its answer, or None from a JVM that can't.
+
+    What compiles, loads and compresses beside the heap allocates from pools that keep what was freed once. In a driver
+    that plans thousands of stages they grow from one to the next.
+    """
+    jvm = spark._jvm
+    try:
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return call.invoke(beans, args)
+    except Py4JError:
+        return None
+    finally:
+        _trimmed[:] = [time.monotonic()]
+
+
 def freed(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and that nothing reads any more."""
     for table_ in tables:
@@ -120,6 +148,11 @@ def tidied(batches: Iterator) -> Iterator:
     Workers are kept for the tasks of later operators, and their allocators keep what was freed once.
     """
     yield from batches
+    given_back()
+
+
+def given_back() -> None:
+    """Memory that this Python process has freed goes back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

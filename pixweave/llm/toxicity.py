@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, in_small_batches, sliced, tidied, written
+from .common import freed, given_back, in_small_batches, sliced, tidied, written
 
 #: Labelled rows that the model is fitted on, at most: the model's size doesn't grow with the data.
 SAMPLE = 12_000
@@ -42,6 +42,8 @@ BLOCKS, LIKE, OFTEN = 8, 512, 1 / 8
 KNOWN = 30_000
 #: Bytes of the index that travel in a row.
 PART = 1 << 22
+#: Such rows in a file, which an executor writes and the driver's JVM passes on at a time.
+PASSED = 4
 BINS = 10
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -352,6 +354,20 @@ def unpacked(pieces: list[bytearray]) -> Model:
     return pickle.loads(pieces[0], buffers=pieces[1:])
 
 
+def passed_on(parts: DataFrame) -> list[bytearray]:
+    """The pieces of ``packed`` from written rows (i, at, raw), a file at a time: a partition may hold all, and the JVM several copies."""
+    held = {}
+    name = F.col("_metadata.file_name")
+    for r in parts.select(name.alias("name")).distinct().collect():
+        held |= {(p.i, p.at): p.raw for p in parts.filter(name == r.name).collect()}
+    pieces: list[bytearray] = []
+    for key in sorted(held):
+        if key[1] == 0:
+            pieces.append(bytearray())
+        pieces[-1] += held.pop(key)
+    return pieces
+
+
 def received(sent: Broadcast) -> Model:
     """The model that was sent, without the bytes that it came in: idle workers would keep them, and later tasks read them again."""
     model = unpacked(sent.value)
@@ -441,22 +457,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([at]), pa.array([bytes(raw[at : at + PART])], pa.binary())], ["i", "at", "raw"])
 
     # One task makes the index of the bounded sample. The driver passes on its bytes, part by part, without unpacking them.
-    held = {}
+    pieces: list[bytearray] = []
     if rows.counted:
         terms = written(rows.mapInArrow(lambda b: tidied(counted(b)), "raw binary"), "toxicity-terms")
-        parts = written(terms.coalesce(1).mapInArrow(lambda b: tidied(built(b)), "i long, at long, raw binary"), "toxicity-index")
-        held = {(p["i"], p["at"]): p["raw"] for p in parts.toLocalIterator()}
+        parts = written(terms.coalesce(1).mapInArrow(lambda b: tidied(built(b)), "i long, at long, raw binary"), "toxicity-index", per_file=PASSED)
+        pieces = passed_on(parts)
         freed(terms, parts)
-    pieces: list[bytearray] = []
-    for key in sorted(held):
-        if key[1] == 0:
-            pieces.append(bytearray())
-        pieces[-1] += held.pop(key)
     if not pieces:
         none = np.zeros(0, np.int64)
         return Fitted(spark.sparkContext.broadcast([bytearray(x) for x in packed(Model.of(none, none == 1, [], none, none, none))]), base=0.0)
     sent = spark.sparkContext.broadcast(pieces)
     del pieces
+    given_back()
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = received(sent)

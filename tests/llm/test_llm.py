@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixweave.llm import ann, chat, exact_topk, license_scan, mixing, near_dedup, pii, sentencepiece_codec, suffix_array, suffix_dedup, toxicity
+from pixweave.llm import ann, chat, common, exact_topk, license_scan, mixing, near_dedup, pii, sentencepiece_codec, suffix_array, suffix_dedup, toxicity
 from pixweave.llm.queries import model_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, tk string, node string, size long, u string"
@@ -349,6 +349,26 @@ def toxic_corpus(n=400):
     return rows
 
 
+def test_index_passes_the_driver_in_turns(spark, monkeypatch):
+    """Pieces are whole, empty ones too, and only a few of their parts are collected at a time, though one partition has all."""
+    rnd = random.Random(6)
+    want = [rnd.randbytes(n) for n in (950, 0, 100, 2500)]
+    rows = [(i, at, x[at : at + 100]) for i, x in enumerate(want) for at in range(0, max(len(x), 1), 100)]
+    rnd.shuffle(rows)
+    parts = spark.createDataFrame([(i, at, bytearray(x)) for i, at, x in rows], "i long, at long, raw binary").coalesce(1)
+    parts = common.written(parts, "parts", per_file=3)
+    sizes, collect = [], type(parts).collect
+
+    def seen(df):
+        out = collect(df)
+        sizes.append(sum(len(r.raw) for r in out if "raw" in df.columns))
+        return out
+
+    monkeypatch.setattr(type(parts), "collect", seen)
+    assert toxicity.passed_on(parts) == want
+    assert max(sizes) <= 300 and sum(sizes) == sum(map(len, want))
+
+
 def test_toxicity(spark):
     rows = toxic_corpus()
     df = docs(spark, [(i, t, "s") for i, t, _ in rows] + [(9001, None, "s"), (9002, "", "s"), (None, "scummy idiots", "s")])
@@ -775,3 +795,22 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert not [r for r in pii_.collect() if r.text and ("ann@" in r.text or "Ann Lee" in r.text)] and pii_.count() == near.count()
     assert {r.doc_id for r in mix.filter("length(trim(text)) > 0").collect()} >= {3} and ids.count() == mix.count()
     assert ids.filter("doc_id = 3").first().n_tokens > 60_000
+
+
+def test_written_has_the_driver_give_freed_memory_back(spark, monkeypatch):
+    """Native memory that the driver's JVM has freed doesn't stay in its pools."""
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+
+    def used():
+        with open(f"/proc/{pid}/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) / 1024
+
+    common.freed(common.written(spark.range(10), "first"))
+    held = [spark._jvm.java.util.zip.Deflater() for _ in range(2000)]
+    for x in held[:-1]:  # the last one keeps the others' place from shrinking by itself
+        x.end()
+    monkeypatch.setattr(common, "_trimmed", [], raising=False)
+    before = used()
+    common.freed(common.written(spark.range(10), "second"))
+    assert before - used() > 50
+    held[-1].end()
