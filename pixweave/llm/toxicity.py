@@ -3,8 +3,8 @@
 Terms are lower-cased words and their first 4, 5 and 6 letters, so that inflected forms meet. A bounded sample of
 labelled rows gives the vocabulary (all of its terms), the document frequencies and the
 examples, all of them. Like examples form a block. The weights of terms that are frequent in a block are held densely,
-with each term's largest weight in the block; all others are postings (example, weight). For a batch of queries the
-postings are added up, and these sums and the largest weights bound every block; the block of the largest bound is
+with each term's largest weight in the block; all others are postings, a term's examples by how often they hold it, so
+that a run of them has one count. For a batch of queries the postings are added up, and these sums and the largest weights bound every block; the block of the largest bound is
 scored, then those whose bound reaches the k-th best cosine in it, so the neighbours are exact. Neighbours vote with weights that
 fall with distance; the vote is calibrated by the examples' own leave-one-out votes. The neighbours are returned as
 evidence.
@@ -16,10 +16,10 @@ rows every score is 0; an empty table gives an empty result; extra columns are p
 
 from __future__ import annotations
 
-import math
+import functools
 import pickle
 import re
-from array import array
+import sys
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -38,8 +38,10 @@ SAMPLE = 12_000
 NEIGHBOURS, AT_ONCE = 15, 256
 #: Blocks of like examples, the terms that tell them apart, and the share of a block that makes a term frequent in it.
 BLOCKS, LIKE, OFTEN = 8, 512, 1 / 8
-#: Words remembered with their terms, at most.
-KNOWN = 30_000
+#: Characters of texts whose words are looked up at a time, at least.
+CHARS = 1 << 17
+#: What the hashes of words are made with.
+BASE = 0x9E3779B97F4A7C15
 #: Bytes of the index that travel in a row.
 PART = 1 << 22
 #: Such rows in a file, which an executor writes and the driver's JVM passes on at a time.
@@ -72,18 +74,54 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+@functools.cache
+def letters() -> np.ndarray:
+    """Of each character whether WORD takes it."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for m in WORD.finditer("".join(map(chr, range(len(out))))):
+        out[m.start() : m.end()] = True
+    return out
+
+
+def summed(text: np.ndarray, starts: np.ndarray, longest: int) -> np.ndarray:
+    """Running sums over bytes; the hash of what stands from one of ``starts`` to any place in its word is their difference."""
+    powers = np.full(longest + 1, BASE, np.uint64)
+    powers[0] = 1
+    np.cumprod(powers, out=powers)
+    place = np.arange(len(text)) - np.repeat(np.append(0, starts), np.diff(starts, prepend=0, append=len(text)))
+    np.minimum(place, longest, out=place)
+    out = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers[place], out=out[1:])
+    return out
+
+
+def same(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes of ``a`` from each place i are those of ``b`` from j. Eight are read at once, so eight more follow the last."""
+    eights = [np.ndarray(len(x) - 7, "<u8", x, strides=(1,)) for x in (a, b)]
+    cover = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    out, left, at = np.ones(len(sizes), bool), np.arange(len(sizes)), 0
+    while len(left):
+        odd = (eights[0][i[left] + at] ^ eights[1][j[left] + at]) & cover[np.minimum(sizes[left] - at, 8)]
+        out[left[odd != 0]] = False
+        at += 8
+        left = left[(odd == 0) & (sizes[left] > at)]
+    return out
+
+
 class Terms:
     """Ascending terms in little memory: their text, where each ends, and their hashes, by which they are found."""
 
     def __init__(self, joined: str = "") -> None:
-        terms = joined.split("\n") if joined else []
-        self.text = np.frombuffer((joined + "\n").encode() if joined else b"", np.uint8)
+        self.text = np.frombuffer((joined + "\n").encode() + bytes(8) if joined else bytes(8), np.uint8)
         self.ends = np.append(0, np.flatnonzero(self.text == ord("\n")) + 1).astype(np.int32)
-        hashes = np.fromiter(map(hash, terms), np.int64, len(terms))
+        hashes = np.empty(len(self.ends) - 1, np.uint64)
+        for at in range(0, len(hashes), 1 << 14):
+            ends = self.ends[at : at + (1 << 14) + 1].astype(np.int64)
+            own = ends - ends[0]
+            sums = summed(self.text[ends[0] : ends[-1]], own[:-1], int(np.diff(own).max()))
+            hashes[at : at + (1 << 14)] = sums[own[1:] - 1] - sums[own[:-1]]
         self.order = np.argsort(hashes, kind="stable").astype(np.int32)
         self.hashes = hashes[self.order]
-        same = np.flatnonzero(self.hashes[1:] == self.hashes[:-1])
-        self.odd = {terms[i]: i for i in self.order[np.union1d(same, same + 1)].tolist()}  # terms that share a hash
 
     def __len__(self) -> int:
         return len(self.order)
@@ -96,21 +134,30 @@ class Terms:
 
     def places(self, words: Sequence[str]) -> np.ndarray:
         """Each word's place, -1 for those that are no terms."""
-        out = np.full(len(words), -1, np.int64)
-        if not len(self):
-            return out
-        h = np.fromiter(map(hash, words), np.int64, len(words))
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self) - 1)
-        hit = np.flatnonzero(self.hashes[at] == h)
-        out[hit] = found = self.order[at[hit]]
-        meant = [words[i] + "\n" for i in hit.tolist()]
-        start, end = self.ends[found].astype(np.int64), self.ends[found + 1]
-        if self.text[spans(start, end - start)].tobytes() != "".join(meant).encode("utf-8", "surrogatepass"):  # a word that only has a term's hash
-            out[hit] = [j if self.text[a:b].tobytes() == w.encode("utf-8", "surrogatepass") else -1 for j, a, b, w in zip(found, start, end, meant, strict=True)]
-        if self.odd:
-            for i in hit.tolist():
-                out[i] = self.odd.get(words[i], out[i])
-        return out
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        text, starts = np.frombuffer(b"".join(raw) + bytes(8), np.uint8), np.cumsum(sizes) - sizes
+        sums = summed(text, starts, int(sizes.max(initial=0)))
+        return self.find(text, starts, sizes, sums[starts + sizes] - sums[starts])
+
+    def find(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word, given as bytes of a text; other terms of the same hash are passed over."""
+        out, at = np.full(len(hashes), -1, np.int64), np.empty(len(hashes), np.int64)
+        by = np.argsort(hashes)  # ascending hashes are found near each other
+        at[by] = np.searchsorted(self.hashes, hashes[by])
+        left = np.flatnonzero(sizes)
+        while True:
+            left = left[at[left] < len(self)]
+            left = left[self.hashes[at[left]] == hashes[left]]
+            if not len(left):
+                return out
+            found = self.order[at[left]]
+            begin = self.ends[found].astype(np.int64)
+            equal = self.ends[found + 1] - 1 - begin == sizes[left]
+            equal[equal] = same(self.text, begin[equal], text, starts[left[equal]], sizes[left[equal]])
+            out[left[equal]] = found[equal]
+            left = left[~equal]
+            at[left] += 1
 
 
 @dataclass
@@ -121,14 +168,15 @@ class Model:
     idf: np.ndarray
     ids: np.ndarray  # as text
     toxic: np.ndarray
-    starts: np.ndarray  # of each term and one past the last: its first posting
-    postings: np.ndarray  # rows of an example's number and the bits of its 32-bit weight, which are gathered together
+    lists: pa.LargeBinaryArray  # of each term: its postings, which are examples' numbers, by count
+    kind: np.dtype  # of such a number
+    runs: np.ndarray  # of each term and one past the last: its first run, of postings of one count
+    sizes: np.ndarray  # of each run
+    levels: np.ndarray  # of each run: 1 + log count
+    scale: np.ndarray  # of each example: 1 / length
     blocks: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]  # first example, one past the last; frequent terms; their largest weights; all, term x example
     base: float = 0.0
     curve: np.ndarray = field(default_factory=lambda: (np.arange(BINS) + 0.5) / BINS)
-    known: dict[str, int] = field(default_factory=dict)  # words seen lately, by number; the next two hold their terms
-    held: array = field(default_factory=lambda: array("i"))
-    ends: array = field(default_factory=lambda: array("q", [0]))
     columns: list[np.ndarray] = field(default_factory=list)
     compact: dict = field(default_factory=dict)  # what ``filled`` makes the model from; how it travels. One that has arrived is without
 
@@ -149,19 +197,20 @@ class Model:
             table = 1 + np.log(np.maximum(np.arange(int(counts.max(initial=0)) + 1), 1).astype(np.float32))
             return table.astype(np.float32)[counts] * idfs / lengths[examples]
 
-        terms = Terms(compact["terms"])
-        postings, idfs = np.empty((len(example), 2), np.int32), np.repeat(of_term, np.diff(starts))
-        postings[:, 0] = example
-        for at in range(0, len(example), 1 << 20):
-            to = at + (1 << 20)
-            postings[at:to, 1] = weight(compact["count"][at:to], idfs[at:to], example[at:to]).view(np.int32)
-        del idfs
+        terms, counts = Terms(compact["terms"]), compact["count"]
+        begins = np.append(True, counts[1:] != counts[:-1])[: len(counts)]
+        begins[starts[starts < len(counts)]] = True
+        first = np.flatnonzero(begins)
+        runs, sizes = np.searchsorted(first, starts).astype(np.int32), np.diff(first, append=len(counts)).astype(np.int32)
+        levels = (1 + np.log(counts[first].astype(np.float64))).astype(np.float32)
+        del begins, first
+        lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts * example.itemsize), pa.py_buffer(example)])
         blocks = []
         for first, last, often, row, column, count in compact["blocks"]:
             weights = np.zeros((len(often), last - first), np.float32)
             weights[row, column] = weight(count, of_term[often[row]], column.astype(np.int64) + first)
             blocks.append((first, last, often, weights.max(1), weights))
-        return cls(terms, idf, ids, compact["toxic"], starts, postings, blocks)
+        return cls(terms, idf, ids, compact["toxic"], lists, example.dtype, runs, sizes, levels, 1 / lengths.astype(np.float64), blocks)
 
     @classmethod
     def of(cls, ids: np.ndarray, toxic: np.ndarray, terms: list[str], places: np.ndarray, example: np.ndarray, counts: np.ndarray) -> Model:
@@ -172,7 +221,7 @@ class Model:
         """
         n, term = len(ids), places
         sizes, held = np.bincount(example, minlength=n), np.bincount(places, minlength=len(terms))
-        order = np.argsort(places, kind="stable")
+        order = np.lexsort((counts, places))
         for x in (places, example, counts):
             x[:] = x[order]
         del order
@@ -211,7 +260,7 @@ class Model:
             "terms": "\n".join(terms), "held": small(held), "lengths": lengths[order], "ids": ids, "toxic": toxic,
             "starts": small(starts), "example": small(example[rest]), "count": small(counts[rest]), "blocks": blocks,
         }
-        model = cls(Terms(), held, ids, toxic, starts, held, [], compact=compact)
+        model = cls(Terms(), held, ids, toxic, None, held.dtype, held, held, held, held, [], compact=compact)
         model.base = (float(toxic[bare].sum()) + 0.01) / (float(bare.sum()) + 1)  # of texts without a term
         return model
 
@@ -234,48 +283,57 @@ class Model:
     def weights(self) -> np.ndarray:
         """The index as a dense array, term x example; only for small models."""
         out = np.zeros((len(self.terms), len(self.ids)), np.float32)
-        out[np.repeat(np.arange(len(self.terms)), np.diff(self.starts)), self.postings[:, 0]] = self.postings[:, 1].copy().view(np.float32)
+        term = np.repeat(np.arange(len(self.terms)), np.diff(self.runs))  # of each run
+        example = self._posted(np.arange(len(self.terms)), int(self.sizes.sum()))
+        out[np.repeat(term, self.sizes), example] = np.repeat(self.idf[term] * self.levels, self.sizes) * self.scale[example]
         for first, last, often, _, weights in self.blocks:
             out[often, first:last] += weights
         return out
 
+    def _posted(self, terms: np.ndarray, n: int) -> np.ndarray:
+        """The terms' postings, n in all, one list after the other."""
+        return np.frombuffer(self.lists.take(pa.array(terms)).buffers()[2], self.kind, n) if n else np.zeros(0, self.kind)
+
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms and their weights, of length 1."""
         return self.vectors([text])[0]
 
     def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """``vector`` of each text."""
-        if len(self.known) > KNOWN:
-            self.known, self.held, self.ends = {}, array("i"), array("q", [0])
-        counts = [Counter(WORD.findall((t or "").lower())) for t in texts]
-        self._learn([*(set().union(*counts) - self.known.keys())])
-        known, held, ends = self.known, np.array(self.held, np.int64), np.array(self.ends)
-        query = np.repeat(np.arange(len(texts)), [len(c) for c in counts])
-        word = np.array([known[w] for c in counts for w in c], np.int64)
-        n = np.array([k for c in counts for k in c.values()], np.int64)
-        sizes = (ends[1:] - ends[:-1])[word]
-        key = np.repeat(query, sizes) * len(self.terms) + held[spans(ends[word], sizes)]
-        by = np.argsort(key)
-        key, n = key[by], np.repeat(n, sizes)[by]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-        query, term = np.divmod(key[first], max(len(self.terms), 1))
-        weight = (1 + np.log(np.add.reduceat(n, first) if len(first) else n)) * self.idf[term]
+        out, at, n = [], 0, 0
+        for i, text in enumerate(texts, 1):
+            n += len(text or "")
+            if n >= CHARS or i == len(texts):
+                out += self._vectors(texts[at:i])
+                at, n = i, 0
+        return out
+
+    def _vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The words are read as numbers, and no strings are made of them: each stands in two arrays of all texts' bytes and characters."""
+        low = [(t or "").lower() for t in texts]
+        joined = "\n" + "\n".join(low) + "\n"
+        letter = letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
+        edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        first, last = edges[::2], edges[1::2]
+        query = np.searchsorted(np.cumsum([len(t) + 1 for t in low]), first, side="right")
+        text = np.frombuffer(joined.encode("utf-8", "surrogatepass") + bytes(8), np.uint8)
+        begins = np.flatnonzero((text & 0xC0) != 0x80)  # of each character
+        starts, size = begins[first], last - first
+        sums = summed(text, starts, int((begins[last] - starts).max(initial=0)))
+        keys = []
+        for p in (None, *PREFIXES):  # the word, and its prefixes if it is longer
+            longer = np.flatnonzero(size > (p or 0))
+            start, end = starts[longer], begins[last[longer] if p is None else first[longer] + p]
+            term = self.terms.find(text, start, end - start, sums[end] - sums[start])
+            keys.append((query[longer] * len(self.terms) + term)[term >= 0])
+        key = np.sort(np.concatenate(keys))
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        query, term = np.divmod(key[at], max(len(self.terms), 1))
+        weight = (1 + np.log(np.diff(at, append=len(key)))) * self.idf[term]
         weight /= np.sqrt(np.maximum(np.bincount(query, weight * weight, len(texts)), 1e-24))[query]
         cuts = np.cumsum(np.bincount(query, minlength=len(texts)))[:-1]
         return list(zip(np.split(term, cuts), np.split(weight, cuts), strict=True))
 
-    def _learn(self, words: list[str]) -> None:
-        """Look up the words' terms: the word, and its prefixes if it is longer."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        found = np.empty((len(words), len(PREFIXES) + 1), np.int64)
-        for j, begin in enumerate([words, *([w[:p] for w in words] for p in PREFIXES)]):
-            found[:, j] = self.terms.places(begin)
-        holds = found >= 0
-        holds[:, 1:] &= size[:, None] > np.array(PREFIXES)
-        self.known.update(zip(words, range(len(self.ends) - 1, len(self.ends) - 1 + len(words)), strict=True))
-        self.ends.extend((self.ends[-1] + np.cumsum(holds.sum(1))).tolist())
-        self.held.extend(found[holds].tolist())
-
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k examples of the largest cosine above 0, largest first, ties to the first example."""
         return self.search([(at, w)], k)[0]
@@ -294,12 +352,16 @@ class Model:
                 self.columns.append(np.full(len(self.terms), -1, np.min_scalar_type(-max(len(often), 1))))
                 self.columns[-1][often] = np.arange(len(often))
         cosine = np.zeros((count, n), np.float32)
-        for i, (at, w) in enumerate(queries):
-            sizes = self.starts[at + 1] - self.starts[at]
-            posting = self.postings.take(spans(self.starts[at], sizes), axis=0)
-            cosine[i] = np.bincount(posting[:, 0], np.repeat(w, sizes) * posting[:, 1].copy().view(np.float32), n)
         every, weight = (np.concatenate([q[j] for q in queries]) for j in (0, 1))
         row = np.repeat(np.arange(count), [len(at) for at, _ in queries])
+        runs = self.runs[every + 1] - self.runs[every]
+        run = spans(self.runs[every], runs)
+        sizes, parts = self.sizes[run], np.repeat(weight * self.idf[every], runs) * self.levels[run]
+        ends = np.cumsum(np.bincount(row, runs, count).astype(np.int64)).tolist()
+        for i, (at, _) in enumerate(queries):
+            own = slice(ends[i - 1] if i else 0, ends[i])
+            cosine[i] = np.bincount(self._posted(at, int(sizes[own].sum())), np.repeat(parts[own], sizes[own]), n) * self.scale
+        del runs, run, sizes, parts
         dense, bound = [], np.empty((count, len(self.blocks)))
         for b, (first, last, often, most, _) in enumerate(self.blocks):
             column = self.columns[b][every]
@@ -320,10 +382,11 @@ class Model:
             if len(rows := np.flatnonzero(open_)):
                 cosine[rows, first:last] += dense[b][rows] @ weights
             cosine[other & ~open_, first:last] = 0
-        bar = np.partition(cosine, n - k, 1)[:, n - k] if n > k else np.zeros(count)
         out = []
-        for row_, low in zip(cosine, bar, strict=True):
-            hit = np.flatnonzero((row_ > 0) & (row_ >= low))
+        for row_, low in zip(cosine, np.maximum(floor, np.finfo(np.float32).tiny).astype(np.float32), strict=True):
+            hit = np.flatnonzero(row_ >= low)
+            if len(hit) > 4 * k:  # the floor comes from one block
+                hit = hit[row_[hit] >= np.partition(row_[hit], len(hit) - k)[len(hit) - k]]
             out.append(list(zip(row_[hit].tolist(), hit.tolist(), strict=True)))
         return [sorted(x, key=lambda y: (-y[0], y[1]))[:k] for x in out]
 

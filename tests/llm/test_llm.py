@@ -468,6 +468,37 @@ def test_terms_are_found_whatever_their_hashes(monkeypatch):
         assert toxicity.Terms("").places(["a"]).tolist() == [-1] and "ab" in terms and "ba" not in terms
 
 
+def test_terms_are_told_apart_by_their_letters(monkeypatch):
+    """Bases that give many terms one hash, so that others have to be passed over."""
+    found = ["a", "ab", "abcdefgh", "abcdefghijklmnopqr", "abcdefghijklmnopqs", "ba", "bä", "ß" * 9, "𝔸b"]
+    for base in (0, 1, toxicity.BASE):
+        monkeypatch.setattr(toxicity, "BASE", base)
+        terms = toxicity.Terms("\n".join(found))
+        assert terms.places(found).tolist() == [*range(len(found))]
+        assert terms.places(["", "b", "abcdefghijklmnopqt", "abcdefg", "äb", "ß" * 8]).tolist() == [-1] * 6
+
+
+def test_words_are_read_without_strings_of_them(monkeypatch):
+    """A text's vector comes from its characters as numbers, and is the one that words and prefixes give."""
+    texts = ["", None, "Straße_straße straßen 12x y²z ⅷ", "İstanbul İSTANBULS ＡＢＣＤＥ", "𝔸𝔹𝔻𝔼𝔽𝔾 a\u0301b\n\ncafé caféterias", "x" * 300 + " " + "x" * 299, "日本語日本語 idiots idiotic" * 50, "under\u2028line 7"]
+    counts = [toxicity.term_counts(t) for t in texts]
+    terms = sorted(set().union(*counts) - {"café", "idiots"}, key=str.encode)
+    held = [[t for t in c if t in terms] for c in counts]
+    places, example = np.array([terms.index(t) for h in held for t in h], np.int32), np.repeat(np.arange(len(texts), dtype=np.int32), [len(h) for h in held])
+    n = np.array([c[t] for c, h in zip(counts, held, strict=True) for t in h], np.uint8)
+    model = toxicity.unpacked([bytearray(x) for x in toxicity.packed(toxicity.Model.of(np.array([*map(str, range(len(texts)))], object), np.arange(len(texts)) > 3, terms, places, example, n))])
+    monkeypatch.setattr(toxicity, "CHARS", 40)
+    toxicity.letters()
+    monkeypatch.setattr(toxicity, "WORD", None)
+    for (at, w), c in zip(model.vectors(texts), counts, strict=True):
+        want = {terms.index(t): (1 + math.log(k)) * model.idf[terms.index(t)] for t, k in c.items() if t in terms}
+        size = math.sqrt(sum(x * x for x in want.values()))
+        assert at.tolist() == sorted(want) and np.allclose(w, [want[i] / size for i in at.tolist()])
+    near = [model.nearest(at, w, 3) for at, w in model.vectors(texts)]
+    number = {name: i for i, name in enumerate(model.ids.tolist())}
+    assert all(x[0][1] == number[str(i)] and abs(x[0][0] - 1) < 1e-5 for i, x in enumerate(near) if x) and sum(map(bool, near)) == len(texts) - 2
+
+
 # 7
 
 
