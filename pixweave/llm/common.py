@@ -80,6 +80,16 @@ def trimmed(spark: SparkSession) -> str | None:
         _trimmed[:] = [time.monotonic()]
 
 
+def collected(spark: SparkSession) -> None:
+    """Have executors collect their garbage, after which their heaps shrink to what is in use.
+
+    A heap that has grown to its limit in one stage stays there, while the Python workers of the next need memory beside
+    it. A task for each core asks for it, so that every executor is reached that has its cores free.
+    """
+    n = max(spark.sparkContext.defaultParallelism, 1)
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def freed(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and that nothing reads any more."""
     for table_ in tables:

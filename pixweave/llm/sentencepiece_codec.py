@@ -122,7 +122,7 @@ class Codec:
     """
 
     #: Parts remembered at most; then all are forgotten.
-    REMEMBERED = 200_000
+    REMEMBERED = 50_000
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2

@@ -349,6 +349,26 @@ def toxic_corpus(n=400):
     return rows
 
 
+def test_executors_collect_before_the_python_stages(spark, monkeypatch):
+    """Collecting reaches the JVM of the tasks, and each stage that runs Python asks for it before it does anything else."""
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory
+    count = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if "Concurrent" not in b.getName())
+    before = count()
+    common.collected(spark)
+    assert count() > before
+
+    def asked(_):
+        raise InterruptedError
+
+    monkeypatch.setattr(corpus_pipeline, "collected", asked)
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "mixing":
+            with pytest.raises(InterruptedError):
+                stage(spark, None, "")
+
+
 def test_index_passes_the_driver_in_turns(spark, monkeypatch):
     """Pieces are whole, empty ones too, and only a few of their parts are collected at a time, though one partition has all."""
     rnd = random.Random(6)
